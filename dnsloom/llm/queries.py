@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dnsloom.llm import ann, decontam, mixing, quality, tokens
+from dnsloom.llm import ann, decontam, jaccard, mixing, quality, tokens
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_mixing": mixing.op5_mixing,
         "op6_token_output": tokens.op6_token_output,
         "op7_decontamination": decontam.op7_decontamination,
+        "op10_jaccard_join": jaccard.op10_jaccard_join,
     }
 
 
@@ -20,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_nearest_neighbours": ann.OP1_SQL,
         "op5_mixing": mixing.OP5_SQL,
         "op7_decontamination": decontam.OP7_SQL,
+        "op10_jaccard_join": jaccard.OP10_SQL,
     }
