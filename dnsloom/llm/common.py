@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
+_FOLDERS: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables settled inside are deleted at the end, but for those settled with ``keep``."""
+    folder = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    try:
+        yield
+    finally:
+        _FOLDERS.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settle(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and no executor's loss undoes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    folder = shared_dir(spark) if keep or not _FOLDERS else _FOLDERS[-1]
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

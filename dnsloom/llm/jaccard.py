@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import flat_bytes, mix64, portions, settle
+from dnsloom.llm.common import flat_bytes, mix64, portions, scratch, settle
 from dnsloom.llm.graph import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -270,7 +270,11 @@ def _possible(pairs: DataFrame, rows: DataFrame, sizes: Sizes) -> DataFrame:
 
 def classes(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
     """Per row of ``docs``: id, size (distinct n-grams), component (smallest id reachable by links, its own included)."""
-    sizes = Sizes(num, den)
+    with scratch(docs.sparkSession):
+        return settle(_classes(docs, n, Sizes(num, den), id_col, text_col, cell), "classes", keep=True)
+
+
+def _classes(docs: DataFrame, n: int, sizes: Sizes, id_col: str, text_col: str, cell: int) -> DataFrame:
     table = settle(sketches(docs, n, sizes, id_col, text_col), "sketches")
     some = table.filter("size > 0")
     heads = settle(some.groupBy("print").agg(F.min("id").alias("id"), F.min("tid").alias("tid"), F.min("size").alias("size")), "heads")
@@ -296,7 +300,7 @@ def classes(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_co
     rest = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
     rest = rest.select("key", "id", "root", "size", "bins", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
-    def open_cells(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def open_cells(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = key[1], key[2]
         a = pdf if i == j else pdf[pdf["mine"] == i]
         b = pdf if i == j else pdf[pdf["mine"] == j]
