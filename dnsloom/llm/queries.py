@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dnsloom.llm import ann, decontam, jaccard, mixing, quality, tokens
+from dnsloom.llm import ann, decontam, jaccard, mixing, quality, secrets, tokens
 
 
 def queries() -> dict:
     return {
         "op1_nearest_neighbours": ann.op1_nearest_neighbours,
         "op2_quality": quality.op2_quality,
+        "op4_secrets": secrets.op4_secrets,
         "op5_mixing": mixing.op5_mixing,
         "op6_token_output": tokens.op6_token_output,
         "op7_decontamination": decontam.op7_decontamination,
@@ -19,6 +20,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_nearest_neighbours": ann.OP1_SQL,
+        "op4_secrets": secrets.OP4_SQL,
         "op5_mixing": mixing.OP5_SQL,
         "op7_decontamination": decontam.OP7_SQL,
         "op10_jaccard_join": jaccard.OP10_SQL,
