@@ -92,3 +92,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def spread(rows: int, per_part: int, least: int = 1) -> int:
     """A number of partitions or blocks that follows the number of rows."""
     return max(least, -(-int(rows) // per_part))
+
+
+_BLANK = bytes(32 if 9 <= c <= 13 else c for c in range(256))
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else _BLANK[c] for c in range(256))
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(256)], np.uint64)
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the white-space words of every row, where each row's words begin, and each word's first byte and the byte after it (n x 2)."""
+    text = np.frombuffer(raw.tobytes().translate(_LOWER if lower else _BLANK), np.uint8)
+    solid = text != 32
+    edge = at[:-1][at[:-1] < len(text)]
+    opens, closes = solid.copy(), solid.copy()
+    opens[1:] &= ~solid[:-1]
+    opens[edge] |= solid[edge]
+    closes[:-1] &= ~solid[1:]
+    inner = edge[edge > 0] - 1
+    closes[inner] |= solid[inner]
+    w = np.flatnonzero(opens)
+    begin = np.searchsorted(w, at, "left")
+    if not len(w):
+        return np.zeros(0, np.uint64), begin, np.zeros((0, 2), np.int64)
+    size = np.diff(np.concatenate([w, [len(text)]]))
+    place = np.arange(w[0], len(text)) - np.repeat(w, size)
+    coded = np.where(solid[w[0] :], text[w[0] :].astype(np.uint64) + np.uint64(1), np.uint64(0)) * _POWERS[place & 255]
+    if size.max() > 256:  # powers repeat beyond 256 bytes; the round is mixed in, so long words stay told apart
+        far = (place > 255) & solid[w[0] :]
+        coded[far] = mix64(coded[far] + (place[far] >> 8).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    return mix64(np.add.reduceat(coded, w - w[0])), begin, np.stack([w, np.flatnonzero(closes) + 1], axis=1)

@@ -38,37 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import flat_bytes, mix64, portions, scratch, settle
+from dnsloom.llm.common import flat_bytes, mix64, portions, scratch, settle, word_hashes
 from dnsloom.llm.graph import components
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(256)], np.uint64)
 #: Members of a cell of a large group.
 CELL = 4096
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of every row (A-Z lower-cased) and where each row's words begin."""
-    text = np.frombuffer(raw.tobytes().translate(_LOWER), np.uint8)
-    solid = text != 32
-    opens = solid.copy()
-    opens[1:] &= ~solid[:-1]
-    edge = at[:-1][at[:-1] < len(text)]
-    opens[edge] |= solid[edge]
-    w = np.flatnonzero(opens)
-    begin = np.searchsorted(w, at, "left")
-    if not len(w):
-        return np.zeros(0, np.uint64), begin
-    size = np.diff(np.concatenate([w, [len(text)]]))
-    place = np.arange(w[0], len(text)) - np.repeat(w, size)
-    # Beyond 256 bytes powers repeat, scrambled by the round, so long words stay told apart.
-    coded = np.where(solid[w[0] :], text[w[0] :].astype(np.uint64) + np.uint64(1), np.uint64(0)) * _POWERS[place & 255]
-    if size.max() > 256:
-        far = place > 255
-        coded[far] = mix64(coded[far] + (place[far] >> 8).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) * (solid[w[0] :][far])
-    return mix64(np.add.reduceat(coded, w - w[0])), begin
-
-
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct hashes of a row's word n-grams; of the whole row if it has fewer words."""
     k = min(n, len(words))
@@ -139,7 +115,7 @@ def _sets(batch_texts: pa.Array, n: int):
     """The sorted distinct n-gram hashes of each text, in order."""
     raw, at = flat_bytes(batch_texts)
     for a, b in portions(np.diff(at), 4 << 20):
-        words, begin = word_hashes(raw[at[a] : at[b]], at[a : b + 1] - at[a])
+        words, begin, _ = word_hashes(raw[at[a] : at[b]], at[a : b + 1] - at[a], lower=True)
         for i in range(b - a):
             yield ngrams(words[begin[i] : begin[i + 1]], n)
 

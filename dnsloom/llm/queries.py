@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from dnsloom.llm import ann, decontam, jaccard, mixing, quality, secrets, tokens
+from dnsloom.llm import ann, decontam, jaccard, mixing, quality, secrets, substring, suffixdedup, tokens
 
 
 def queries() -> dict:
     return {
         "op1_nearest_neighbours": ann.op1_nearest_neighbours,
         "op2_quality": quality.op2_quality,
+        "op3_suffix_dedup": suffixdedup.op3_suffix_dedup,
         "op4_secrets": secrets.op4_secrets,
         "op5_mixing": mixing.op5_mixing,
         "op6_token_output": tokens.op6_token_output,
         "op7_decontamination": decontam.op7_decontamination,
+        "op9_substring_dedup": substring.op9_substring_dedup,
         "op10_jaccard_join": jaccard.op10_jaccard_join,
     }
 
@@ -23,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_secrets": secrets.OP4_SQL,
         "op5_mixing": mixing.OP5_SQL,
         "op7_decontamination": decontam.OP7_SQL,
+        "op9_substring_dedup": substring.OP9_SQL,
         "op10_jaccard_join": jaccard.OP10_SQL,
     }
