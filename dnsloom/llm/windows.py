@@ -184,7 +184,7 @@ def repeated(texts: DataFrame, cut: Tokens, length: int, k: int, kernel: Callabl
     wide = once.join(many.select("h"), "h").mapInArrow(_window_rows(window_key), "key long, h long, ph long, at int, several boolean, piece binary")
     wide = wide.withColumn("wh", F.xxhash64("piece"))
     merged = wide.groupBy("key", "wh").agg(F.min(F.xxhash64("ph", "at")).alias("lo"), F.max(F.xxhash64("ph", "at")).alias("hi"), F.max("several").alias("several"), F.first("piece").alias("piece"))
-    merged = merged.select("key", F.lit(None).cast("long").alias("h"), F.col("wh").alias("ph"), F.lit(-1).alias("at"), (F.col("several") | (F.col("lo") < F.col("hi"))).alias("several"), "piece")
+    merged = merged.select("key", F.col("key").alias("h"), F.col("wh").alias("ph"), F.lit(-1).alias("at"), (F.col("several") | (F.col("lo") < F.col("hi"))).alias("several"), "piece")
     hot = not many.isEmpty()
     work = few.unionByName(merged) if hot else few
     total = once.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
