@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dnsloom.llm import ann, decontam, jaccard, mixing, quality, secrets, substring, suffixdedup, tokens
+from dnsloom.llm import ann, decontam, jaccard, licenses, mixing, quality, secrets, substring, suffixdedup, tokens
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_mixing": mixing.op5_mixing,
         "op6_token_output": tokens.op6_token_output,
         "op7_decontamination": decontam.op7_decontamination,
+        "op8_licenses": licenses.op8_licenses,
         "op9_substring_dedup": substring.op9_substring_dedup,
         "op10_jaccard_join": jaccard.op10_jaccard_join,
     }
