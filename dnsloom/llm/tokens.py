@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import flat_bytes, portions, shared_dir, spread
+from dnsloom.llm.common import arrow_rows, flat_bytes, portions, shared_dir, spread
 
 #: Options of the Parquet writer: row groups and pages that a selective read can skip.
 LAYOUT = {
@@ -44,7 +44,7 @@ LAYOUT = {
     "parquet.enable.dictionary#n_tokens": "false",
 }
 #: A task forgets its words beyond so many.
-REMEMBER = 700_000
+REMEMBER = 500_000
 PUNCTUATION = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
 DOCS_PER_FILE = 10_000
 ROWS = "doc_id long, n_tokens long, part int, place long, ids array<int>"
@@ -76,7 +76,6 @@ class WordEncoder:
         self.odd = re.compile("|".join(["[\x1c-\x1f\u03a3]", *(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values())]))
         self.end = np.array([end_id], "<i4").tobytes()
         self.words: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
@@ -87,9 +86,9 @@ class WordEncoder:
             ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<i4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
-                self.letters.update(zip(some, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
+                self.words.update(zip(some, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
             else:
-                self.letters.update((w, self._whole(w)) for w in some)
+                self.words.update((w, self._whole(w)) for w in some)
 
     def _learn(self, new: list[str]) -> None:
         plain, rest = [], []
@@ -99,15 +98,12 @@ class WordEncoder:
                 plain.append((w, core.lower(), w[len(core) :]))
             else:
                 rest.append(w)
-        need = {c for _, c, _ in plain}
-        if len(self.letters) + len(need) > REMEMBER:
-            self.letters.clear()
-        self._learn_letters([c for c in need if c not in self.letters])
+        known = self.words
+        self._learn_letters([c for c in {c for _, c, _ in plain} if c not in known])
         tails = {t: self._whole(t) for t in {t for _, _, t in plain}}
-        known = self.letters
-        self.words.update((w, known[c] + tails[t]) for w, c, t in plain)
+        known.update([(w, known[c] + tails[t]) for w, c, t in plain])
         for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, "<i4").tobytes()
+            known[w] = np.array(e.ids, "<i4").tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers, the end id last."""
@@ -140,7 +136,7 @@ def _encode(path: str, end_id: int):
         enc = encoder(path, end_id)
         for batch in batches:
             _, at = flat_bytes(batch.column(1))
-            for a, b in portions(np.diff(at), 4 << 20):
+            for a, b in portions(np.diff(at), 1 << 20):
                 rows = enc.batch([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
                 sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -162,7 +158,9 @@ def write_token_ids(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_
     order = [F.col("doc_id").asc_nulls_first()]
     placed = source.repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
     encoded = placed.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id), "doc_id long, n_tokens long, ids array<int>")
-    encoded.select("doc_id", "n_tokens", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), "ids").write.options(**LAYOUT).parquet(f"{path}/rows")
+    rows = encoded.select("doc_id", "n_tokens", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), "ids")
+    with arrow_rows(spark, 1000):
+        rows.write.options(**LAYOUT).parquet(f"{path}/rows")
     per_file = spark.read.schema(ROWS).parquet(f"{path}/rows").groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per_file.select("part", before.alias("part_start")).coalesce(1).write.parquet(f"{path}/index")
