@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from dnsloom.config import ACTIONS, BLOCKED_CLASS, REASONS
 from dnsloom.functions.labels import flag_labels, flags_label, hash_hex, hms
 
-blocked = F.col("action").isin(*BLOCKED_CLASS)
+
+def is_blocked() -> Column:
+    return F.col("action").isin(*BLOCKED_CLASS)
 
 
 def _count(cond: Column) -> Column:
@@ -35,7 +37,7 @@ def enrich_events(events: DataFrame, domain_map: DataFrame, *, fallback: bool =
 
 
 def monitor_counters(events: DataFrame) -> DataFrame:
-    return events.agg(F.count(F.lit(1)).alias("total"), _count(F.col("action") == "Allowed").alias("allowed"), _count(F.col("action") == "Proxied").alias("proxied"), _count(blocked).alias("blocked"))
+    return events.agg(F.count(F.lit(1)).alias("total"), _count(F.col("action") == "Allowed").alias("allowed"), _count(F.col("action") == "Proxied").alias("proxied"), _count(is_blocked()).alias("blocked"))
 
 
 def proxy_counters(verdicts: DataFrame) -> DataFrame:
@@ -100,7 +102,7 @@ def flag_distribution(events: DataFrame, n: int = 8) -> DataFrame:
 
 def top_filter(events: DataFrame) -> DataFrame:
     """The flag with most hits (of equals the highest bit) and its share of blocked events; no row without flags."""
-    counts = events.agg(_count(blocked).alias("n"), *[_count(_has(b)).alias(f"b{b}") for b, *_ in REASONS])
+    counts = events.agg(_count(is_blocked()).alias("n"), *[_count(_has(b)).alias(f"b{b}") for b, *_ in REASONS])
     best = F.array_max(F.array(*[F.struct(F.col(f"b{b}").alias("hits"), F.lit(b).alias("bit")) for b, *_ in REASONS]))
     row = counts.select("n", best.alias("x")).filter("x.hits > 0")
     return row.select(bit_name(F.col("x.bit")).alias("flag"), F.col("x.hits").alias("hits"), F.round(F.when(F.col("n") > 0, 100 * F.col("x.hits") / F.col("n")).otherwise(0.0), 6).alias("pct"))
@@ -108,7 +110,7 @@ def top_filter(events: DataFrame) -> DataFrame:
 
 def global_stats(events: DataFrame) -> DataFrame:
     span = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
-    a = events.agg(F.count_distinct("client_ip").alias("clients"), F.count(F.lit(1)).alias("total"), _count(blocked).alias("blocked"), span.alias("_us"))
+    a = events.agg(F.count_distinct("client_ip").alias("clients"), F.count(F.lit(1)).alias("total"), _count(is_blocked()).alias("blocked"), span.alias("_us"))
     pct = F.when(F.col("total") > 0, F.round(100 * F.col("blocked") / F.col("total"), 6)).otherwise(0.0)
     qps = F.when(F.col("_us") >= 1000, F.round(F.col("total") / (F.col("_us") / 1e6), 6)).otherwise(0.0)
     return a.select("clients", "total", "blocked", pct.alias("blocked_pct"), qps.alias("avg_qps"))

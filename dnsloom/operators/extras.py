@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dnsloom.config import BLOCKED_CLASS
@@ -12,20 +12,24 @@ from dnsloom.functions.lexical import entropy_fast
 from dnsloom.functions.names import clean_tlds, depth, labels, registrable, sld, tld
 from dnsloom.functions.network import in_networks
 
-blocked = F.col("action").isin(*BLOCKED_CLASS)
-_epoch = F.unix_seconds(F.col("ts").cast("timestamp"))
+
+def is_blocked() -> Column:
+    return F.col("action").isin(*BLOCKED_CLASS)
+
+def _epoch() -> Column:
+    return F.unix_seconds(F.col("ts").cast("timestamp"))
 
 
 def nxdomain_hunting(events: DataFrame, *, least: int = 15, seconds: int = 60) -> DataFrame:
     """Clients with ``least`` failed names within ``seconds``, and the most they had. ``events`` are the failures."""
     recent = Window.partitionBy("client_ip").orderBy("_t").rangeBetween(-(seconds - 1), 0)
-    return events.withColumn("_t", _epoch).withColumn("_n", F.count(F.lit(1)).over(recent)).groupBy("client_ip").agg(F.max("_n").alias("most")).filter(F.col("most") >= least)
+    return events.withColumn("_t", _epoch()).withColumn("_n", F.count(F.lit(1)).over(recent)).groupBy("client_ip").agg(F.max("_n").alias("most")).filter(F.col("most") >= least)
 
 
 def tunneling(queries: DataFrame, *, most_names: int = 50, long_label: int = 60, seconds: int = 60) -> DataFrame:
     """Per client, registrable name and minute: distinct names, and whether one has a very long label; rows over either limit."""
     long_ = F.exists(labels(F.col("domain")), lambda x: F.octet_length(x) > long_label)
-    at = F.floor(_epoch / seconds).cast("long") * seconds
+    at = F.floor(_epoch() / seconds).cast("long") * seconds
     g = queries.groupBy("client_ip", registrable(F.col("domain")).alias("zone"), at.alias("bucket")).agg(F.count_distinct("domain").alias("names"), F.max(long_).alias("long_label"))
     return g.filter((F.col("names") > most_names) | F.col("long_label"))
 
@@ -47,7 +51,7 @@ def client_acl(queries: DataFrame, networks: Sequence[str]) -> DataFrame:
 
 def hourly_rollup(events: DataFrame) -> DataFrame:
     """What is kept when events expire: counts per hour, client and action."""
-    hour = F.floor(_epoch / 3600).cast("long") * 3600
+    hour = F.floor(_epoch() / 3600).cast("long") * 3600
     return events.groupBy(hour.alias("hour"), "client_ip", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -76,7 +80,7 @@ def source_effectiveness(verdicts: DataFrame) -> DataFrame:
 
 
 def tld_trends(events: DataFrame) -> DataFrame:
-    return events.groupBy(tld(F.col("domain")).alias("tld")).agg(F.count(F.lit(1)).alias("n"), F.count_if(blocked).alias("blocked"))
+    return events.groupBy(tld(F.col("domain")).alias("tld")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_blocked()).alias("blocked"))
 
 
 def structure_stats(events: DataFrame) -> DataFrame:
@@ -85,7 +89,7 @@ def structure_stats(events: DataFrame) -> DataFrame:
 
 def dga_audit(events: DataFrame) -> DataFrame:
     """Mean entropy of second-level labels, blocked against the rest; worked out once per distinct domain."""
-    per = events.groupBy("domain", blocked.alias("is_blocked")).agg(F.count(F.lit(1)).alias("n")).withColumn("e", F.round(entropy_fast(sld(F.col("domain"))), 6)).filter("e is not null")
+    per = events.groupBy("domain", is_blocked().alias("is_blocked")).agg(F.count(F.lit(1)).alias("n")).withColumn("e", F.round(entropy_fast(sld(F.col("domain"))), 6)).filter("e is not null")
     return per.groupBy("is_blocked").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("e")) / F.sum("n"), 6).alias("mean_entropy"))
 
 
@@ -102,21 +106,21 @@ def breakdown(table: DataFrame, column: str) -> DataFrame:
 
 
 def blocks_by_client(events: DataFrame) -> DataFrame:
-    return events.filter(blocked).groupBy("client_ip").agg(F.count(F.lit(1)).alias("n"))
+    return events.filter(is_blocked()).groupBy("client_ip").agg(F.count(F.lit(1)).alias("n"))
 
 
 def beaconing(events: DataFrame, *, least: int = 5, most_spread: float = 0.5) -> DataFrame:
     """Client and domain pairs asked for at regular gaps: number of gaps, mean, spread over mean."""
     order = Window.partitionBy("client_ip", "domain").orderBy("_t", "event_id")
-    gaps = events.withColumn("_t", _epoch).withColumn("gap", F.col("_t") - F.lag("_t").over(order)).filter("gap is not null")
+    gaps = events.withColumn("_t", _epoch()).withColumn("gap", F.col("_t") - F.lag("_t").over(order)).filter("gap is not null")
     g = gaps.groupBy("client_ip", "domain").agg(F.count("gap").alias("gaps"), F.avg("gap").alias("_m"), F.stddev_pop("gap").alias("_s")).filter((F.col("gaps") >= least) & (F.col("_m") > 0))
     return g.select("client_ip", "domain", "gaps", F.round("_m", 4).alias("mean_gap"), F.round(F.col("_s") / F.col("_m"), 4).alias("spread")).filter(F.col("spread") <= most_spread)
 
 
 def decayed_counts(events: DataFrame, half_life_hours: float = 24.0) -> DataFrame:
     """Per domain, events weighted by age against the newest: half after ``half_life_hours``."""
-    newest = events.agg(F.max(_epoch).alias("_max"))
-    age = (F.col("_max") - _epoch) / 3600.0
+    newest = events.agg(F.max(_epoch()).alias("_max"))
+    age = (F.col("_max") - _epoch()) / 3600.0
     return events.crossJoin(newest).groupBy("domain").agg(F.round(F.sum(F.pow(F.lit(0.5), age / half_life_hours)), 6).alias("weight"))
 
 

@@ -9,14 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dnsloom.config import ACTIONS, BLOCKED_CLASS, REASONS, EngineConfig
 from dnsloom.operators.events import event_records, forward_json, forward_lines
 
-blocked = F.col("action").isin(*BLOCKED_CLASS)
+
+def is_blocked() -> Column:
+    return F.col("action").isin(*BLOCKED_CLASS)
 
 
 def announce_domains(events: DataFrame, watermark: str | None = None) -> DataFrame:
@@ -29,7 +31,7 @@ def announce_domains(events: DataFrame, watermark: str | None = None) -> DataFra
 
 def rolling_stats(events: DataFrame, *, window: str = "1 hour", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     w = events.withWatermark("ts", late).groupBy(F.window("ts", window, slide))
-    return w.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("action") == "Allowed").alias("allowed"), F.count_if(F.col("action") == "Proxied").alias("proxied"), F.count_if(blocked).alias("blocked")).select(F.col("window.start").alias("begin"), "total", "allowed", "proxied", "blocked")
+    return w.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("action") == "Allowed").alias("allowed"), F.count_if(F.col("action") == "Proxied").alias("proxied"), F.count_if(is_blocked()).alias("blocked")).select(F.col("window.start").alias("begin"), "total", "allowed", "proxied", "blocked")
 
 
 def timeline_stream(events: DataFrame, *, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
