@@ -82,7 +82,7 @@ SELECT concat('s', CAST(page_id % 5 AS {S})) AS source,
 
 def list_lines(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id", "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host")
-    return spark.sql(LINES.replace("{S}", "STRING").replace("\\\\.", "\\\\\\\\.") + " FROM {h}", h=pages)
+    return spark.sql(LINES.replace("{S}", "STRING").replace("\\", "\\\\") + " FROM {h}", h=pages)
 
 
 def client_names(spark, sf_dir: str) -> DataFrame:

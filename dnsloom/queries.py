@@ -190,7 +190,7 @@ def network_list(spark, d: str, target: str) -> DataFrame:
 
 
 def decoded(spark, d: str) -> DataFrame:
-    mappings, events, _ = fr.decode_frames(fx.frames(spark, d))
+    mappings, events, _ = fr.decode_frames(stored(fx.frames(spark, d), "frames"))
     named = stored(events, "events").join(stored(mappings, "mappings"), "domain_hash", "left")
     return named.groupBy("domain", "client_ip", "action", "flags").agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_seconds("ts")).alias("first"))
 

@@ -21,34 +21,33 @@ def _bytes(h: Column, at: int, n: int) -> Column:
     return F.substr(h, F.lit(2 * at + 1), F.lit(2 * n))
 
 
-def _big_endian(h: Column) -> Column:
-    return F.array_join(F.reverse(F.regexp_extract_all(h, F.lit("(..)"), F.lit(1))), "")
-
-
-def _number(h: Column) -> Column:
-    """A little-endian number as a signed 64-bit long."""
-    wide = F.conv(_big_endian(h), 16, 10).cast("decimal(20,0)")
-    return F.when(wide >= F.lit(str(1 << 63)).cast("decimal(20,0)"), wide - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(wide).cast("long")
+def _number(h: Column, at: int, n: int) -> Column:
+    """The little-endian number of n bytes from byte ``at``, as a signed 64-bit long."""
+    digits = F.concat(*[_bytes(h, at + i, 1) for i in reversed(range(n))])
+    if n < 8:
+        return F.conv(digits, 16, 10).cast("long")
+    high, low = F.conv(F.substr(digits, F.lit(1), F.lit(8)), 16, 10).cast("long"), F.conv(F.substr(digits, F.lit(9), F.lit(8)), 16, 10).cast("long")
+    return F.shiftleft(high, 32).bitwiseOR(low)
 
 
 def decode_frames(frames: DataFrame, column: str = "frame") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(mappings: domain_hash, domain; events: ts, domain_hash, client_ip, action, flags; frames that are neither)."""
     h = F.hex(column)
-    d = frames.withColumn("_h", h).withColumn("_size", F.octet_length(column)).withColumn("_said", _number(_bytes(h, 0, 2))).withColumn("_type", _bytes(h, 2, 1))
+    d = frames.withColumn("_h", h).withColumn("_size", F.octet_length(column)).withColumn("_said", _number(h, 0, 2)).withColumn("_type", _bytes(h, 2, 1))
     whole = F.coalesce((F.col("_size") >= 3) & (F.col("_size") >= 2 + F.col("_said")) & (F.col("_said") >= 1), F.lit(False))
     payload = F.col("_said") - 1
     p = F.substr(F.col("_h"), F.lit(7), (2 * payload).cast("int"))
     d = d.withColumn("_p", p).withColumn("_n", F.when(whole, payload).otherwise(-1))
-    named = _number(_bytes(F.col("_p"), 8, 2))
+    named = _number(F.col("_p"), 8, 2)
     code = F.conv(_bytes(F.col("_p"), 32, 1), 16, 10).cast("int")
     mapping = F.coalesce((F.col("_type") == "00") & (F.col("_n") >= 10) & (F.col("_n") >= 10 + named), F.lit(False))
     event = F.coalesce((F.col("_type") == "01") & (F.col("_n") >= 33) & code.between(0, 4) & ((code < 2) | (F.col("_n") >= 35)), F.lit(False))
     x = F.col("_p")
-    mappings = d.filter(mapping).select(_number(_bytes(x, 0, 8)).alias("domain_hash"), F.decode(F.unhex(F.substr(x, F.lit(21), (2 * named).cast("int"))), "UTF-8").alias("domain"))
-    reason = _number(_bytes(x, 33, 2)).bitwiseAND(F.lit(REASON_MASK).cast("long")).cast("int")
+    mappings = d.filter(mapping).select(_number(x, 0, 8).alias("domain_hash"), F.decode(F.unhex(F.substr(x, F.lit(21), (2 * named).cast("int"))), "UTF-8").alias("domain"))
+    reason = _number(x, 33, 2).bitwiseAND(F.lit(REASON_MASK).cast("long")).cast("int")
     events = d.filter(event).select(
-        F.timestamp_seconds(_number(_bytes(x, 0, 8))).alias("ts"),
-        _number(_bytes(x, 8, 8)).alias("domain_hash"),
+        F.timestamp_seconds(_number(x, 0, 8)).alias("ts"),
+        _number(x, 8, 8).alias("domain_hash"),
         format_ip(F.unhex(_bytes(x, 16, 16))).alias("client_ip"),
         F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), code + 1).alias("action"),
         F.when(code >= 2, reason).alias("flags"),
