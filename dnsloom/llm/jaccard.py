@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import flat_bytes, mix64, portions, scratch, settle, word_hashes
+from dnsloom.llm.common import arrow_rows, flat_bytes, mix64, portions, scratch, settle, word_hashes
 from dnsloom.llm.graph import components
 
 #: Members of a cell of a large group.
@@ -114,7 +114,7 @@ def matrix_row(tokens: np.ndarray, bins: int) -> bytes:
 def _sets(batch_texts: pa.Array, n: int):
     """The sorted distinct n-gram hashes of each text, in order."""
     raw, at = flat_bytes(batch_texts)
-    for a, b in portions(np.diff(at), 4 << 20):
+    for a, b in portions(np.diff(at), 1 << 20):
         words, begin, _ = word_hashes(raw[at[a] : at[b]], at[a : b + 1] - at[a], lower=True)
         for i in range(b - a):
             yield ngrams(words[begin[i] : begin[i + 1]], n)
@@ -142,7 +142,7 @@ def sketches(docs: DataFrame, n: int, sizes: Sizes, id_col: str, text_col: str)
                 prints.append(fingerprint(tokens))
                 keys.append(group_keys(tokens, sizes) if len(tokens) else tokens)
                 bins.append(matrix_row(tokens, sizes.bins(sizes.of(len(tokens)))) if len(tokens) else b"")
-                if len(size) == 512:
+                if len(size) == 256:
                     yield out(i)
                     size, prints, keys, bins, begin = [], [], [], [], i
             if size:
@@ -246,7 +246,7 @@ def _possible(pairs: DataFrame, rows: DataFrame, sizes: Sizes) -> DataFrame:
 
 def classes(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
     """Per row of ``docs``: id, size (distinct n-grams), component (smallest id reachable by links, its own included)."""
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), arrow_rows(docs.sparkSession, 2000):
         return settle(_classes(docs, n, Sizes(num, den), id_col, text_col, cell), "classes", keep=True)
 
 

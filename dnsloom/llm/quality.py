@@ -31,7 +31,7 @@ from dnsloom.llm.common import flat_bytes, mix64, portions
 
 #: Documents of each class that fitting uses at most, and the threshold of ``predicted``.
 FIT_DOCS, THRESHOLD = 1500, 0.7
-PORTION = 2 << 20
+PORTION = 512 << 10
 _SHOUT = np.array([65 <= c <= 90 for c in range(256)])
 _LETTER = np.array([65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 _DIGIT = np.array([48 <= c <= 57 for c in range(256)])
