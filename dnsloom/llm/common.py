@@ -7,6 +7,7 @@ local session (tests) leaves it unset.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -46,6 +47,12 @@ def scratch(spark: SparkSession):
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps that nothing refers to any more, before a large step writes its own."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settle(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and no executor's loss undoes it."""
     spark = df.sparkSession

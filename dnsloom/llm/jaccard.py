@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import arrow_rows, flat_bytes, mix64, portions, scratch, settle, word_hashes
+from dnsloom.llm.common import arrow_rows, flat_bytes, mix64, portions, release, scratch, settle, word_hashes
 from dnsloom.llm.graph import components
 
 #: Members of a cell of a large group.
@@ -257,8 +257,10 @@ def _classes(docs: DataFrame, n: int, sizes: Sizes, id_col: str, text_col: str,
     groups = some.select(F.explode("keys").alias("key"), F.col("print").alias("id"))
     ends = groups.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo < hi")
     ends = settle(ends, "ends")
+    release(docs.sparkSession)
     pair = lambda a, b: ends.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     shared = settle(groups.join(ends.filter("members > 2"), "key").distinct(), "shared")
+    release(docs.sparkSession)
     first = pair(F.col("lo"), F.col("hi"))
     for end in ("lo", "hi"):
         first = first.unionByName(shared.filter(F.col("id") != F.col(end)).select(F.greatest("id", end).alias("u"), F.least("id", end).alias("v")))
