@@ -226,7 +226,7 @@ def timeline_page(t: DataFrame, newest_first: bool = True, skip: int = 0, take:
 def timeline_maxima(events: DataFrame, seconds: int = 3600, most: int = 256) -> DataFrame:
     """Largest total and number of clients, rows of the dense timeline, buckets with events."""
     t = timeline(events, seconds)
-    rows = F.least(((F.max("bucket") - F.min("bucket")) / seconds + 1).cast("long"), F.lit(most).cast("long"))
+    rows = F.when(F.max("bucket").isNotNull(), F.least(((F.max("bucket") - F.min("bucket")) / seconds + 1).cast("long"), F.lit(most).cast("long")))
     return t.agg(F.max("total").alias("max_total"), F.max("clients").alias("max_clients"), F.coalesce(rows, F.lit(0).cast("long")).alias("dense_rows"), F.count(F.lit(1)).alias("active_buckets"))
 
 
