@@ -44,7 +44,7 @@ LAYOUT = {
     "parquet.enable.dictionary#n_tokens": "false",
 }
 #: A task forgets its words beyond so many.
-REMEMBER = 500_000
+REMEMBER = 1_600_000
 PUNCTUATION = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
 DOCS_PER_FILE = 10_000
 ROWS = "doc_id long, n_tokens long, part int, place long, ids array<int>"
