@@ -66,7 +66,9 @@ def _literal(value, kind: str) -> Column:
 
 def sample_paragraphs(docs: DataFrame, text_col: str, most: int) -> DataFrame:
     """A bounded sample: of the documents first by hash, up to ``most`` paragraphs, as arrays of words."""
-    some = docs.filter(F.length(text_col) > 0).select(F.col(text_col).cast("string").alias("t")).orderBy(F.xxhash64("t"), "t").limit(most // 4)
+    texts = docs.filter(F.length(text_col) > 0).select(F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
+    first = texts.select("h").distinct().orderBy("h").limit(most // 4)  # hashes only; their number is bounded
+    some = texts.join(F.broadcast(first), "h").dropDuplicates(["h"])
     return some.select(F.explode(F.split("t", "\n")).alias("line")).orderBy(F.xxhash64("line")).limit(most).select(words(F.col("line")).alias("w"))
 
 
