@@ -21,7 +21,7 @@ SELECT e.event_id, e.ts,
  CASE WHEN event_type IN ('view','click') THEN NULL ELSE CAST((k*331) % 32768 AS INT) END AS flags,
  CASE k % 7 WHEN 0 THEN 10 WHEN 1 THEN 16 WHEN 2 THEN 28 WHEN 3 THEN 255 ELSE 1 END AS qtype,
  CAST(floor(value) AS INT) AS ttl, k
-FROM {e} e CROSS JOIN (SELECT count(*) AS n FROM {p}) n JOIN {h} h ON h.page_id = e.event_id % n.n
+FROM (SELECT *, event_id % (SELECT count(*) FROM {p}) AS page_key FROM {e}) e JOIN {h} h ON h.page_id = e.page_key
 """
 
 
