@@ -1,18 +1,26 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph is a line. Its features are the words and word pairs it shares with
-a vocabulary drawn from licence notices; a multinomial logistic regression gives
+A paragraph is a line, read on into the lines after it up to one without words,
+so a notice may be wrapped; it counts for the line it begins in. Features are
+the words and word pairs shared with a vocabulary drawn from licence notices; a multinomial logistic regression gives
 each licence family, and "unknown", a probability. Training goes by gradient
 steps: the executors sum the gradient over the training rows, the driver holds
 the weights (a few thousand numbers). Training rows are the notices below, each
 also with every single word left out, and a bounded sample of paragraphs
 (``SAMPLE``, by hash order), unknown unless they hold a whole notice. Half of
 the unknown ones are kept out of training; the probability that a family must
-reach is calibrated on them. A prediction counts only where a notice of the
-family is confirmed by comparison: most of its words are in the paragraph.
+reach is calibrated on them.
 
-Features decide: a paragraph without any vocabulary entry is unknown for sure,
-so one look for the entries' rarest words clears it; nothing is capped.
+Each notice is compared by itself. From every one of its words in a line on, the
+stretch that holds most of its words is found (of equals the shortest; up to
+the line's end, or twice the notice's length if that is more). The family is
+reported if the stretch confirms the notice (``CONFIRM``), no other family's
+confirmed notice accounts for all the words (the GNU GPL's are in the Lesser
+one's), and the family's probability passes on the notice's features there. So a
+line may name several families. Lines of over ``CHUNK`` words go piece by piece;
+stretches run on from one piece into the next.
+
+A text without most words of any notice is cleared by one look; nothing is capped.
 
 Null or empty text: no paragraphs. Repeated rows and ids: a row each. Empty
 tables give empty results (the model then comes from the notices alone).
@@ -41,6 +49,8 @@ NOTICES = {
 FAMILIES = sorted(NOTICES)
 #: Paragraphs sampled for training and calibration; gradient steps; share of a notice's words that confirm it.
 SAMPLE, STEPS, CONFIRM = 4000, 25, 0.8
+#: Words of a line that are compared at once.
+CHUNK = 64
 
 
 def words(line: Column) -> Column:
@@ -64,19 +74,31 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
+def _longest() -> int:
+    return max(len(_word_list(n)) for f in FAMILIES for n in NOTICES[f])
+
+
 def sample_paragraphs(docs: DataFrame, text_col: str, most: int) -> DataFrame:
-    """A bounded sample: of the documents first by hash, up to ``most`` paragraphs, as arrays of words."""
+    """A bounded sample: of the documents first by hash, up to ``most`` paragraphs, as arrays of words, and with the words around them (near)."""
     texts = docs.filter(F.length(text_col) > 0).select(F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
     first = texts.select("h").distinct().orderBy("h").limit(most // 4)  # hashes only; their number is bounded
     some = texts.join(F.broadcast(first), "h").dropDuplicates(["h"])
-    return some.select(F.explode(F.split("t", "\n")).alias("line")).orderBy(F.xxhash64("line")).limit(most).select(words(F.col("line")).alias("w"))
+    side = _longest() - 1
+    lines = some.select(F.split("t", "\n").alias("lines")).select("lines", F.transform("lines", words).alias("ws"))
+
+    def around(w: Column, i: Column) -> Column:
+        before = F.flatten(F.slice("ws", F.greatest(i - side, F.lit(0)) + 1, F.least(i, F.lit(side))))
+        before = F.slice(before, F.greatest(F.size(before) - side, F.lit(0)) + 1, F.lit(side))
+        return F.struct(F.get("lines", i).alias("line"), w.alias("w"), F.concat(before, w, F.slice(F.flatten(F.slice("ws", i + 2, F.lit(side))), 1, side)).alias("near"))
+
+    return lines.select(F.inline(F.transform("ws", around))).orderBy(F.xxhash64("line"), F.xxhash64("near")).limit(most).select("w", "near")
 
 
 class Model:
     """Weights per vocabulary entry (a number per family) and what calibration found."""
 
-    def __init__(self, weights: dict[str, list[float]], bias: list[float], rare: list[str], floor: float):
-        self.weights, self.bias, self.rare, self.floor = weights, bias, rare, floor
+    def __init__(self, weights: dict[str, list[float]], bias: list[float], floor: float):
+        self.weights, self.bias, self.floor = weights, bias, floor
 
     def probabilities(self, features: Column) -> Column:
         """array<double>: a probability per family; what is missing to 1 is unknown's."""
@@ -107,8 +129,8 @@ def train(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE, step
     """Fits the classifier; see the module's text."""
     wholes = [(k, _word_list(n)) for k, f in enumerate(FAMILIES) for n in NOTICES[f]]
     seen = sample_paragraphs(docs, text_col, sample)
-    # A sampled paragraph that holds a whole notice is no example of "unknown".
-    joined = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    # A sampled paragraph that holds a whole notice, or a line of a wrapped one, is no example of "unknown".
+    joined = F.concat(F.lit(" "), F.array_join("near", " "), F.lit(" "))
     known = [F.contains(joined, F.lit(f" {' '.join(w)} ")) for _, w in wholes]
     clean = seen.filter(F.size("w") > 0)
     for k in known:
@@ -159,35 +181,99 @@ def train(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE, step
         top = max(0.0, *z)
         total = math.exp(-top) + sum(math.exp(x - top) for x in z)
         floor = max(floor, min(0.95, math.exp(max(z) - top) / total + 1e-6))
-    rare = sorted({min(g.split(), key=lambda w: (common.get(w, 0), w)) for g in vocabulary})
-    return Model(weights, bias, rare, floor)
+    return Model(weights, bias, floor)
 
 
 def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", confirm: float = CONFIRM) -> DataFrame:
-    """Per row: id, n_paragraphs, and found: array<struct<paragraph, family, probability, share>> of confirmed paragraphs, in order."""
+    """Per row: id, n_paragraphs, and found: array<struct<paragraph, family, probability, share>> of confirmed paragraphs, in order; a row for each family of a paragraph."""
     lines = F.when(F.length(text_col) > 0, F.split(F.col(text_col).cast("string"), "\n")).otherwise(F.array().cast("array<string>"))
-    rare = _literal(model.rare, "array<string>")
-    vocabulary = _literal(sorted(model.weights), "array<string>")
-    numbered = F.transform(F.col("_lines"), lambda x, i: F.struct(i.alias("i"), words(x).alias("w")))
-    possible = F.filter(numbered, lambda x: F.arrays_overlap(x["w"], rare))
+    wholes = [(k, _word_list(n)) for k, f in enumerate(FAMILIES) for n in NOTICES[f]]
+    listed = _literal(sorted({x for _, w in wholes for x in w}), "array<string>")
+    table = [{"id": i, "k": k, "reach": 2 * len(w), "w": sorted(set(w)), "g": sorted(_gram_set(w) & set(model.weights))} for i, (k, w) in enumerate(wholes)]
+    notices = _literal(table, "array<struct<id:int,k:int,reach:int,w:array<string>,g:array<string>>>")
     families = _literal(FAMILIES, "array<string>")
-    notices = _literal([[_word_list(n) for n in NOTICES[f]] for f in FAMILIES], "array<array<array<string>>>")
-
-    def judged(x: Column) -> Column:
-        return F.struct(x["i"].alias("i"), x["w"].alias("w"), model.probabilities(F.array_intersect(grams(x["w"]), vocabulary)).alias("p"))
-
-    def named(x: Column) -> Column:
-        return _let(F.array_max(x["p"]), lambda best: _let(F.array_position(x["p"], best).cast("int"), lambda k: compared(x, best, k)))
-
-    def compared(x: Column, best: Column, k: Column) -> Column:
-        shares = F.transform(F.element_at(notices, k), lambda n: F.size(F.array_intersect(F.array_distinct(n), x["w"])) / F.size(F.array_distinct(n)))
-        return F.struct(x["i"].alias("paragraph"), F.element_at(families, k).alias("family"), best.alias("probability"), F.array_max(shares).alias("share"))
-
-    step = docs.select(F.col(id_col), lines.alias("_lines"))
-    step = step.select(id_col, F.size("_lines").cast("long").alias("n_paragraphs"), possible.alias("_some"))
-    step = step.select(id_col, "n_paragraphs", F.transform("_some", judged).alias("_some"))
-    found = F.filter(F.transform("_some", named), lambda x: (x["probability"] >= model.floor) & (x["share"] >= confirm))
-    return step.select(id_col, "n_paragraphs", found.alias("found"))
+    reach = 2 * _longest()
+    found_type = "array<struct<paragraph:int,family:string,probability:double,share:double>>"
+
+    def share(n: Column, w: Column) -> Column:
+        return F.size(F.array_intersect(n["w"], w)) / F.size(n["w"])
+
+    def possible(w: Column) -> Column:
+        """Notices that could be confirmed in a text of these words."""
+        return _let(F.array_intersect(listed, w), lambda have: F.filter(notices, lambda n: share(n, have) >= confirm))
+
+    def chunks(w: Column, i: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(CHUNK)), lambda o: F.slice(w, o + 1, CHUNK))
+        return F.transform(cut, lambda c: F.struct(i.alias("i"), c.alias("w")))
+
+    def following(j: Column) -> Column:
+        """The words after a chunk, up to a line without words."""
+        after = F.transform(F.slice("_chunks", j + 2, F.lit(reach)), lambda c: c["w"])
+        blank = lambda a: F.array_position(a, F.array().cast("array<string>")).cast("int")
+        return F.slice(F.flatten(_let(after, lambda a: F.when(blank(a) > 0, F.slice(a, F.lit(1), blank(a) - 1)).otherwise(a))), 1, reach)
+
+    def explained(n: Column, w: Column) -> Column:
+        """Whether another family's confirmed notice accounts for all that the stretch has of this one."""
+        mine = F.array_intersect(n["w"], w)
+
+        def by(m: Column) -> Column:
+            theirs = F.array_intersect(m["w"], w)
+            closer = (F.size(mine) == F.size(theirs)) & (F.size(n["w"]) < F.size(m["w"]))
+            return (m["k"] != n["k"]) & (share(m, w) >= confirm) & (F.size(F.array_except(mine, theirs)) == 0) & ~closer
+
+        return F.exists(notices, by)
+
+    def stretches(unit: Column, n: Column, own: Column) -> Column:
+        """From each of the notice's words in the chunk on, the shortest stretch with as many of its words as come."""
+
+        def from_(s: Column) -> Column:
+            rest = F.slice(unit, s + 1, F.greatest(n["reach"], own - s))
+            to = lambda w: F.array_max(F.transform(F.array_intersect(n["w"], w), lambda x: F.array_position(w, x))).cast("int")
+            return _let(rest, lambda w: F.struct(s.alias("s"), share(n, w).alias("share"), F.slice(w, F.lit(1), to(w)).alias("w")))
+
+        starts = F.filter(F.sequence(F.lit(0), own - 1), lambda s: F.array_contains(n["w"], F.get(unit, s)))
+        # A first word that comes again is not needed.
+        needed = lambda x: ~F.array_contains(F.slice(x["w"], F.lit(2), F.size(x["w"])), F.get(x["w"], F.lit(0)))
+        return F.filter(F.transform(starts, from_), lambda x: (x["share"] >= confirm) & needed(x) & ~explained(n, x["w"]))
+
+    def best(unit: Column, n: Column, own: Column) -> Column:
+        ranked = F.transform(stretches(unit, n, own), lambda x: F.struct(x["share"].alias("share"), (-F.size(x["w"])).alias("short"), (-x["s"]).alias("early"), x["w"].alias("w")))
+        return F.array_max(ranked)
+
+    def judged(c: Column, j: Column) -> Column:
+        def with_notices(unit: Column) -> Column:
+            def one(n: Column) -> Column:
+                return _let(best(unit, n, F.size(c["w"])), lambda x: outcome(n, x))
+
+            def outcome(n: Column, x: Column) -> Column:
+                p = F.get(model.probabilities(F.array_intersect(grams(x["w"]), n["g"])), n["k"])
+                past = F.size(x["w"]) - x["early"] - F.size(c["w"])
+                return F.when(
+                    x.isNotNull(),
+                    F.struct(c["i"].alias("paragraph"), F.get(families, n["k"]).alias("family"), p.alias("probability"), x["share"].alias("share"), n["id"].alias("id"), j.alias("j"), (-x["early"]).alias("s"), past.alias("past")),
+                )
+
+            return F.filter(F.transform(possible(unit), one), lambda x: x["probability"] >= model.floor)
+
+        return F.when(F.arrays_overlap(c["w"], listed), _let(F.concat(c["w"], following(j)), with_notices))
+
+    def overlap(x: Column, y: Column) -> Column:
+        """Whether x, of an earlier chunk, runs into y."""
+        between = F.aggregate(F.slice("_chunks", x["j"] + 2, F.greatest(y["j"] - x["j"] - 1, F.lit(0))), F.lit(0), lambda n, c: n + F.size(c["w"]))
+        return (x["id"] == y["id"]) & (x["j"] < y["j"]) & (x["past"] > 0) & (between + y["s"] < x["past"])
+
+    # Of overlapping finds of one notice the fullest stays, of equals the last.
+    kept = F.filter("_found", lambda x: ~F.exists("_found", lambda y: ((y["share"] >= x["share"]) & overlap(x, y)) | ((y["share"] > x["share"]) & overlap(y, x))))
+    # Once for each paragraph and family, by its fullest notice.
+    better = lambda x, y: (x["paragraph"] == y["paragraph"]) & (x["family"] == y["family"]) & (F.struct(y["share"], y["id"], y["j"]) > F.struct(x["share"], x["id"], x["j"]))
+    once = F.filter("_kept", lambda x: ~F.exists("_kept", lambda y: better(x, y)))
+    order = F.array_sort(F.transform(once, lambda x: F.struct(*[x[c].alias(c) for c in ("paragraph", "family", "probability", "share")])))
+
+    step = docs.select(F.col(id_col), F.transform(lines, words).alias("_words"))
+    step = step.select(id_col, F.size("_words").cast("long").alias("n_paragraphs"), F.when(F.size(possible(F.flatten("_words"))) > 0, F.flatten(F.transform("_words", chunks))).alias("_chunks"))
+    step = step.select(id_col, "n_paragraphs", "_chunks", F.flatten(F.filter(F.transform("_chunks", judged), lambda x: x.isNotNull())).alias("_found"))
+    step = step.select(id_col, "n_paragraphs", kept.alias("_kept"))
+    return step.select(id_col, "n_paragraphs", F.coalesce(order, F.array()).cast(found_type).alias("found"))
 
 
 def op8_licenses(spark, sf_dir: str) -> DataFrame:
@@ -196,7 +282,7 @@ def op8_licenses(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         "n_paragraphs",
-        F.size("found").cast("long").alias("n_licence"),
+        F.size(F.array_distinct("found.paragraph")).cast("long").alias("n_licence"),
         F.array_join(F.array_sort(F.array_distinct(F.col("found.family"))), ",").alias("families"),
         F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["paragraph"].cast("string"), x["family"])), ",").alias("paragraphs"),
     )

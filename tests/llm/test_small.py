@@ -213,3 +213,14 @@ def test_pipeline_stages_keep_columns(spark):
         assert out.columns == docs.columns, name
         seen = out
     assert 0 < seen.count() < 2 * docs.count()
+
+
+def test_wrapped_and_double_notices(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation."
+    bsd = "x\n\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that"
+    filler = " ".join(f"w{i}" for i in range(150))
+    long = f"{filler} Released under the MIT License {filler} Licensed under the Apache License, Version 2.0 {filler}"
+    texts = [gpl, gpl.replace("GNU ", "GNU Lesser "), bsd, "SPDX-License-Identifier: MIT OR Apache-2.0", long, "All rights\n\nreserved", gpl.replace("\n", " ") + " " + gpl.replace("\n", " ").replace("GNU ", "GNU Lesser "), "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: MIT", "All\nrights\nreserved"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(f.paragraph, f.family) for f in r.found] for r in licenses.scan(d, licenses.train(d)).collect()}
+    assert got == {0: [(0, "GPL-3.0")], 1: [(0, "LGPL-3.0")], 2: [(2, "BSD-3-Clause")], 3: [(0, "Apache-2.0"), (0, "MIT")], 4: [(0, "Apache-2.0"), (0, "MIT")], 5: [], 6: [(0, "GPL-3.0"), (0, "LGPL-3.0")], 7: [(0, "MIT"), (1, "MIT")], 8: [(0, "Proprietary")]}
