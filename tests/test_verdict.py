@@ -57,3 +57,10 @@ def test_bad_address_is_an_error(spark):
     e = spark.createDataFrame([], "event_id long, ts timestamp, client_ip string, domain string, action string, flags int")
     with pytest.raises(ValueError):
         ev.search_events(e, client="nonsense!")
+
+
+def test_search_asks_for_all_flags(spark):
+    rows = [(i, "c", "d", "Blocked", f) for i, f in enumerate([0, 0b001, 0b100, 0b101, 0b111, None])]
+    e = spark.createDataFrame(rows, "event_id long, client_ip string, domain string, action string, flags int").selectExpr("*", "timestamp'2024-01-01' as ts")
+    found = lambda f: sorted(r.event_id for r in ev.search_events(e, flags=f).collect())
+    assert found(0b101) == [3, 4] and found(0) == [0, 1, 2, 3, 4] and found(0b100) == [2, 3, 4]
