@@ -16,6 +16,8 @@ from dnsloom.functions.names import ancestors
 
 #: Patterns of the regex pool that one nested-loop join takes.
 POOL = 1000
+#: Back-references, named groups, open quotes and comments.
+ALONE = r"\\[1-9kQ]|\(\?<[A-Za-z]|\(\?[A-Za-z-]*x"
 
 
 def glob_to_regex(pattern: Column) -> Column:
@@ -61,9 +63,14 @@ def regex_hits(domains: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def _pool_hits(domains: DataFrame, pool: DataFrame) -> DataFrame:
-    """A pool without a key meets every domain; it goes in slices of a bounded number of patterns, joined into one alternation each."""
+    """A pool without a key meets every domain; it goes in slices of a bounded number of patterns, joined into one alternation each.
+
+    Patterns that others would change, or that would change others (``ALONE``), stay by themselves.
+    """
     slices = pool.distinct().withColumn("slice", F.pmod(F.xxhash64("pattern"), F.lit(max(1, -(-pool.count() // POOL)))))
-    joined = slices.groupBy("slice").agg(F.array_join(F.transform(F.collect_list("pattern"), lambda p: F.concat(F.lit("(?:"), p, F.lit(")"))), "|").alias("any_of"))
+    slices = slices.withColumn("own", F.when(F.col("pattern").rlike(ALONE), F.col("pattern")))
+    together = F.array_join(F.transform(F.collect_list("pattern"), lambda p: F.concat(F.lit("(?:"), p, F.lit(")"))), "|")
+    joined = slices.groupBy("slice", "own").agg(F.coalesce("own", together).alias("any_of"))
     return domains.join(joined, F.expr("domain rlike any_of"), "left_semi").select("domain")
 
 

@@ -53,8 +53,14 @@ def _abp(line: Column) -> dict[str, Column]:
     return {"value": value, "flags": flags}
 
 
+def compiles(pattern: Column) -> Column:
+    """Whether a pattern is one that ``rlike`` takes."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """source, role, load_order, line_no, format, kind, value, flags, depth of every rule; kind "rejected" where a line yields none.
+    """source, role, load_order, line_no, format, kind, value, flags, depth of every rule; kind "rejected" where a line yields none
+    or a pattern that does not compile.
 
     kind: exact, suffix, glob, regex, browser, rejected. Suffix rules keep the
     base domain. Allow-listed globs and suffixes never block (see ``match``).
@@ -79,7 +85,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     kind = (
         F.when(fmt == "browser", "browser")
         .when(F.col("raw").isNull() | (F.col("raw") == "") | (needs_name & ~valid_name(F.col("raw"))), "rejected")
-        .when(F.col("flags").bitwiseAND(REGEX) != 0, "regex")
+        .when(F.col("flags").bitwiseAND(REGEX) != 0, F.when(compiles(F.col("raw")), "regex").otherwise("rejected"))
         .when(wild, F.when(glob, "glob").otherwise("suffix"))
         .otherwise("exact")
     )

@@ -97,3 +97,13 @@ def test_domain_map(spark):
     new = spark.createDataFrame([(2, "c")], "domain_hash long, domain string")
     assert {tuple(r) for r in dimensions.merge_domain_map(old, new).collect()} == {(1, "a"), (2, "c")}
     assert dimensions.domain_map(spark.createDataFrame([("x",), ("x",)], "domain string")).select(F.count("*")).first()[0] == 1
+
+
+def test_malformed_patterns_are_rejected(spark):
+    bad = [("b3", "black", 5, 1, "/(unclosed/"), ("b3", "black", 5, 2, r"/^(a|b)x\1\.org$/"), ("b3", "black", 5, 3, r"/^\Qq.org/"), ("b3", "black", 5, 4, r"/(?<n>z)\.com$/"), ("b3", "black", 5, 5, r"/(?<n>y)\.com$/")]
+    p = parsed(spark, ROWS + bad)
+    assert {r.value for r in p.filter("source = 'b3' and kind = 'rejected'").collect()} == {"/(unclosed/"}
+    d = spark.createDataFrame([(x,) for x in ("ads1.tracker.com", "axa.org", "axb.org", "q.org", "z.com", "y.com", "one.example")], "domain string")
+    compiled = rules.consolidate_exact(p).unionByName(p.filter("kind in ('suffix', 'glob', 'regex')"))
+    got = {r.domain: (r.regex_blocked, r.static_blocked) for r in match.matches(d, compiled).collect()}
+    assert {k for k, v in got.items() if v[0]} == {"ads1.tracker.com", "axa.org", "q.org", "z.com", "y.com"} and got["one.example"][1]
