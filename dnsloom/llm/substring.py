@@ -7,7 +7,7 @@ for out of the race. Around the others, windows of 16 words are counted, then
 32, then the target length; at each level a start whose window occurs once
 is dropped, and a level with no survivors ends its group. Equal stretches
 are one row by then, flagged as occurring several times, so copies are counted
-once. ``longest`` goes on doubling beyond the target until nothing survives.
+once. The levels end at the target length.
 
 Words are white-space words, unchanged. Word sequences are compared by 64-bit
 hashes within groups of equal anchors. Null text: no words. Texts of fewer
