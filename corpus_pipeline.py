@@ -45,7 +45,7 @@ STAGES = [
     ("mixing sources", mixing_stage),
     ("token output", token_stage),
 ]
-#: A trained model and tokenizer files have no SQL; tests hold the stages against brute force.
+#: A trained model and tokenizer files have no SQL. Tests hold operators against brute force, but of the pipeline as a whole only columns and row counts.
 ORACLE_SQL = None
 
 
