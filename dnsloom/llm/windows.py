@@ -106,9 +106,9 @@ def _segments(begin: np.ndarray, length: int):
     """Ranges of tokens of at most about SEGMENT that hold every window: (a, b, text starts within)."""
     for i, j in portions(np.diff(begin), SEGMENT):
         a, b = int(begin[i]), int(begin[j])
-        if b - a <= SEGMENT or j - i > 1:
+        if b - a <= SEGMENT:
             yield a, b, begin[i : j + 1] - a
-        else:
+        else:  # one text; others in the range are empty
             for at in range(a, b, SEGMENT):
                 end = min(b, at + SEGMENT + length - 1)
                 yield at, end, np.array([0, end - at])

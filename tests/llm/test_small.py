@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dnsloom.llm import ann, decontam, jaccard, licenses, mixing, quality, secrets, substring, suffixdedup, tokens
+from dnsloom.llm import ann, decontam, jaccard, licenses, mixing, quality, secrets, substring, suffixdedup, tokens, windows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, tid long, tokens string"
 rng = random.Random(5)
@@ -224,3 +224,23 @@ def test_wrapped_and_double_notices(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: [(f.paragraph, f.family) for f in r.found] for r in licenses.scan(d, licenses.train(d)).collect()}
     assert got == {0: [(0, "GPL-3.0")], 1: [(0, "LGPL-3.0")], 2: [(2, "BSD-3-Clause")], 3: [(0, "Apache-2.0"), (0, "MIT")], 4: [(0, "Apache-2.0"), (0, "MIT")], 5: [], 6: [(0, "GPL-3.0"), (0, "LGPL-3.0")], 7: [(0, "MIT"), (1, "MIT")], 8: [(0, "Proprietary")]}
+
+
+def test_empty_text_before_a_long_one_is_cut(monkeypatch):
+    monkeypatch.setattr(windows, "SEGMENT", 100)
+    monkeypatch.setattr(windows, "_PLACE", np.uint64(255))
+    r = np.random.default_rng(3)
+    core = r.integers(0, 1 << 30, 400)
+    sym = np.concatenate([core, r.integers(0, 1 << 30, 37), core]).astype(np.uint64)
+
+    def found(begin):
+        out = set()
+        for a, b, inside in windows._segments(begin, 20):
+            assert b - a <= 100 + 19
+            _, _, place, h = windows.anchors(sym[a:b], inside, 20, 5)
+            out |= set(zip((place + a).tolist(), h.tolist(), strict=True))
+        return out
+
+    alone = found(np.array([0, len(sym)]))
+    assert found(np.array([0, 0, len(sym)])) == alone == found(np.array([0, 0, 0, len(sym), len(sym)]))
+    assert len({h for p, h in alone if p < 400} & {h for p, h in alone if p >= 437}) > 10
