@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 M64 = (1 << 64) - 1
 
@@ -77,6 +78,26 @@ def arrow_rows(spark: SparkSession, most: int):
         spark.conf.set(name, before)
 
 
+#: Rows of one key that one part of a join takes at least, and hot keys at most.
+HOT, HOT_KEYS = 10_000, 100_000
+
+
+def hot_join(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``many`` rows with the ``few`` rows of each key. ``few`` has ``_n``, the rows that the key has among
+    ``many`` (null: not many). A hot key is dealt to several parts, and its few rows go to each; as a hot key has more
+    than 1 / ``HOT_KEYS`` of all rows, the list of hot keys that is broadcast holds at most that many."""
+    counts = few.select(*keys, "_n").filter(f"_n > {HOT}").distinct()
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    if not most:
+        return many.join(few.drop("_n"), keys)
+    each = max(HOT, total // HOT_KEYS)
+    parts = F.ceil(F.coalesce("_n", F.lit(1)) / each).cast("int")
+    hot = counts.filter(F.col("_n") > each).select(*keys, parts.alias("_parts"))
+    part = F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("_parts")), F.lit(0)).cast("int")
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("_part", part).drop("_parts")
+    return dealt.join(few.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_n"), [*keys, "_part"]).drop("_part")
+
+
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column in one array, and where each row begins (one entry more than rows). Null: empty."""
     if column.null_count:
@@ -136,10 +157,16 @@ def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[n
     begin = np.searchsorted(w, at, "left")
     if not len(w):
         return np.zeros(0, np.uint64), begin, np.zeros((0, 2), np.int64)
-    size = np.diff(np.concatenate([w, [len(text)]]))
-    place = np.arange(w[0], len(text)) - np.repeat(w, size)
-    coded = np.where(solid[w[0] :], text[w[0] :].astype(np.uint64) + np.uint64(1), np.uint64(0)) * _POWERS[place & 255]
-    if size.max() > 256:  # powers repeat beyond 256 bytes; the round is mixed in, so long words stay told apart
-        far = (place > 255) & solid[w[0] :]
+    found, _ = run_hashes(text[w[0] :], solid[w[0] :], w - w[0])
+    return found, begin, np.stack([w, np.flatnonzero(closes) + 1], axis=1)
+
+
+def run_hashes(text: np.ndarray, solid: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash and length of each run of bytes; runs begin at ``starts`` (the first at 0) and hold their ``solid`` bytes, which come first in them."""
+    gaps = np.diff(np.append(starts, len(text)))
+    place = np.arange(len(text)) - np.repeat(starts, gaps)
+    coded = np.where(solid, text.astype(np.uint64) + np.uint64(1), np.uint64(0)) * _POWERS[place & 255]
+    if gaps.max() > 256:  # powers repeat beyond 256 bytes; the round is mixed in, so long runs stay told apart
+        far = (place > 255) & solid
         coded[far] = mix64(coded[far] + (place[far] >> 8).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    return mix64(np.add.reduceat(coded, w - w[0])), begin, np.stack([w, np.flatnonzero(closes) + 1], axis=1)
+    return mix64(np.add.reduceat(coded, starts)), np.add.reduceat(solid, starts, dtype=np.int64)
