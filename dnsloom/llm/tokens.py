@@ -9,12 +9,16 @@ ids. Format version 2 gives delta packing to doc_id, place and n_tokens, where a
 dictionary does not pay; ids are dictionary-coded. A small index beside the rows
 says how many ids come before each file.
 
-Words: the vocabulary splits at white space, so each distinct word is encoded
-once per task by the tokenizers library and remembered; a text's ids are its
-words' ids in turn (a test holds this against encoding whole texts).
-
-Null text: empty, only the end id. Null ids sort first. Repeated rows are
-documents of their own. An empty table gives files with no rows.
+Units: the vocabulary splits at white space and between letters, digits and
+signs, so each distinct unit is encoded once per worker by the tokenizers
+library and remembered; a text's ids are its units' ids in turn (a test holds
+this against encoding whole texts). A vocabulary that splits otherwise is
+noticed, and its texts go to the library whole.
+
+Null text: empty, only the end id. Null ids sort first; of equal ids the order
+is by text. Repeated rows are documents of their own. A very long text is one
+row, held whole by one task. Of other columns none is read, whatever their
+names. An empty table gives files with no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import arrow_rows, flat_bytes, portions, shared_dir, spread
+from dnsloom.llm.common import arrow_rows, flat_bytes, portions, run_hashes, shared_dir, spread
 
 #: Options of the Parquet writer: row groups and pages that a selective read can skip.
 LAYOUT = {
@@ -43,10 +47,11 @@ LAYOUT = {
     "parquet.enable.dictionary#place": "false",
     "parquet.enable.dictionary#n_tokens": "false",
 }
-#: A task forgets its words beyond so many.
+#: A worker forgets its units beyond so many.
 REMEMBER = 1_600_000
 PUNCTUATION = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
-DOCS_PER_FILE = 10_000
+#: Bytes of text in a file, about.
+FILE_BYTES = 16 << 20
 ROWS = "doc_id long, n_tokens long, part int, place long, ids array<int>"
 
 
@@ -56,15 +61,84 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    """Encodes texts of a tokenizer that never joins across white space and lower-cases, word by word.
-
-    A word of letters is one pre-token, so many of them are encoded in one call
-    and told apart by the end-of-word tokens. Punctuation after letters is a
-    pre-token of its own, so such words share their letters' ids.
-    Texts where Python's and the library's idea of white space or lower case
-    part (information separators, capital sigma) and texts that hold a special
-    token go to the library whole.
+class Remembered:
+    """Ids by 64-bit key: open addressing over arrays, so that many keys are looked up at once."""
+
+    def __init__(self):
+        self.n, self.used = 0, 0
+        self.keys, self.entry = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int32)
+        self.begin, self.size = np.zeros(1 << 11, np.int64), np.zeros(1 << 11, np.int64)
+        self.ids = np.zeros(1 << 12, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 where there is none."""
+        mask = np.uint64(len(self.keys) - 1)
+        out = np.full(len(keys), -1, np.int64)
+        todo, slot = np.arange(len(keys)), keys & mask
+        while len(todo):
+            here = self.keys[slot]
+            same = here == keys[todo]
+            out[todo[same]] = self.entry[slot[same]]
+            on = ~same & (here != 0)
+            todo, slot = todo[on], (slot[on] + np.uint64(1)) & mask
+        return out
+
+    def _place(self, keys: np.ndarray, entries: np.ndarray) -> None:
+        mask = np.uint64(len(self.keys) - 1)
+        slot = keys & mask
+        while len(keys):
+            free = self.keys[slot] == 0
+            _, first = np.unique(slot[free], return_index=True)
+            won = np.flatnonzero(free)[first]
+            self.keys[slot[won]], self.entry[slot[won]] = keys[won], entries[won]
+            left = np.ones(len(keys), bool)
+            left[won] = False
+            keys, entries, slot = keys[left], entries[left], (slot[left] + np.uint64(1)) & mask
+
+    def add(self, ids: list[np.ndarray], keys: np.ndarray | None = None) -> np.ndarray:
+        """Stores lists of ids, under ``keys`` if given (new ones, not 0), and returns their entries."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        entries = np.arange(self.n, self.n + len(ids))
+        while self.n + len(ids) > len(self.begin):
+            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
+        total = int(sizes.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.begin[entries] = self.used + np.cumsum(sizes) - sizes
+        self.size[entries] = sizes
+        if total:
+            self.ids[self.used : self.used + total] = np.concatenate(ids)
+        self.n, self.used = self.n + len(ids), self.used + total
+        if keys is not None:
+            if 2 * self.n > len(self.keys):
+                old = self.keys != 0
+                held, named = self.keys[old], self.entry[old]
+                while 2 * self.n > len(self.keys):
+                    self.keys = np.zeros(2 * len(self.keys), np.uint64)
+                self.entry = np.zeros(len(self.keys), np.int32)
+                self._place(held, named)
+            self._place(keys, entries.astype(np.int32))
+        return entries
+
+    def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the entries in turn, and where each entry's begin (one more than entries)."""
+        sizes = self.size[entries]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self.ids[np.arange(ends[-1]) + np.repeat(self.begin[entries] - ends[:-1], sizes)], ends
+
+
+class UnitEncoder:
+    """Encodes texts of a tokenizer that lower-cases and never joins across white space, unit by unit.
+
+    A unit is a run of ASCII letters, one digit or a run of other ASCII signs
+    within a white-space word: the vocabulary's own pre-tokens. A word with an
+    apostrophe or with any byte beyond ASCII is one unit, whatever is in it.
+    The library encodes each unit once per worker; it is remembered by a 64-bit
+    hash of its bytes, ASCII letters in lower case. Texts where the library's
+    idea of white space or lower case depends on more than a unit (information
+    separators, capital sigma) and texts that hold a special token go to the
+    library whole. ``sound`` tells whether the vocabulary is of this kind; with
+    any other one all texts go to the library whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -72,61 +146,124 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
+        self.sound = self._splits_so()
         self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(self.tok.get_vocab_size())])
-        self.odd = re.compile("|".join(["[\x1c-\x1f\u03a3]", *(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values())]))
-        self.end = np.array([end_id], "<i4").tobytes()
-        self.words: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
-
-    def _learn_letters(self, new: list[str]) -> None:
-        for at in range(0, len(new), 256):
-            some = new[at : at + 256]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<i4")
+        special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.odd = [b"\x1c", b"\x1d", b"\x1e", b"\x1f", "\u03a3".encode(), *special]
+        self.end_id = end_id
+        self._forget()
+
+    def _splits_so(self) -> bool:
+        """Whether the tokenizer normalises and splits as units need it: tried on texts of all kinds of neighbours."""
+        tries = ["aB c1d22e ,.x!y", "x--y(z) 3,5 a's b're", "Q\t\nq  %%% a.b.", "é.É, naïve!? 1é2"]
+        cut = re.compile(r"[a-zA-Z]+|[0-9]|[^\sa-zA-Z0-9]+")
+        split = lambda w: [w] if "'" in w or not w.isascii() else cut.findall(w)
+        return all(self._whole(t).tolist() == [i for w in t.split() for u in split(w) for i in self._whole(u.lower()).tolist()] for t in tries)
+
+    def _forget(self) -> None:
+        self.known = Remembered()
+        self.end = self.known.add([np.array([self.end_id], np.int32)])[0]
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _ids_of(self, units: list[bytes]) -> list[np.ndarray]:
+        """Ids of each unit. Letters are encoded many to a call and told apart by the end-of-word tokens."""
+        texts = [u.decode() for u in units]
+        core = [t.rstrip(PUNCTUATION) for t in texts]
+        letters = sorted({c for c in core if c.isalpha() and c.lower().isalpha()})
+        got: dict[str, np.ndarray] = {}
+        for at in range(0, len(letters), 256):
+            some = letters[at : at + 256]
+            ids = self._whole(" ".join(some))
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
-                self.words.update(zip(some, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
+                begin = [0, *cuts.tolist()]
+                got.update((w, ids[x:y]) for w, x, y in zip(some, begin, begin[1:], strict=False))
             else:
-                self.words.update((w, self._whole(w)) for w in some)
-
-    def _learn(self, new: list[str]) -> None:
-        plain, rest = [], []
-        for w in new:
-            core = w.rstrip(PUNCTUATION)
-            if core.isalpha():
-                plain.append((w, core.lower(), w[len(core) :]))
+                got.update((w, self._whole(w)) for w in some)
+        tails = {t[len(c) :] for t, c in zip(texts, core, strict=True)}
+        tail = {t: self._whole(t) for t in tails}
+        return [(got[c] if len(c) == len(t) else np.concatenate([got[c], tail[t[len(c) :]]])) if c in got else self._whole(t) for t, c in zip(texts, core, strict=True)]
+
+    def batch(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (bytes ``raw``, texts beginning at ``at``), the end id after each, and where each text's ids begin."""
+        data = raw.tobytes()
+        n = len(at) - 1
+        if not self.sound:
+            odd = np.arange(n)
+        else:
+            some = [x for x in self.odd if x in data]
+            ranges = zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if some else ()
+            odd = np.flatnonzero([any(data.find(x, a, b) >= 0 for x in some) for a, b in ranges])
+        keys, begin, span = unit_hashes(data, at)
+        entry = self.known.find(keys)
+        if (entry < 0).any():
+            fresh, first = np.unique(keys[entry < 0], return_index=True)
+            if self.known.n + len(fresh) > REMEMBER:
+                self._forget()
+                fresh, first = np.unique(keys, return_index=True)
+                where = first
             else:
-                rest.append(w)
-        known = self.words
-        self._learn_letters([c for c in {c for _, c, _ in plain} if c not in known])
-        tails = {t: self._whole(t) for t in {t for _, _, t in plain}}
-        known.update([(w, known[c] + tails[t]) for w, c, t in plain])
-        for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<i4").tobytes()
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers, the end id last."""
-        split = [None if self.odd.search(t) else t.split() for t in texts]
-        wanted: set[str] = set()
-        wanted.update(*(w for w in split if w))
-        new = [w for w in wanted if w not in self.words]
-        if new and len(self.words) + len(new) > REMEMBER:
-            self.words.clear()
-            new = list(wanted)
-        if new:
-            self._learn(new)
-        get = self.words.__getitem__
-        return [self._whole(t) + self.end if w is None else b"".join(map(get, w)) + self.end for t, w in zip(texts, split, strict=True)]
-
-
-_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
-
-
-def encoder(path: str, end_id: int) -> WordEncoder:
+                where = np.flatnonzero(entry < 0)[first]
+            low = data.translate(_LOWER)
+            self.known.add(self._ids_of([low[a:b] for a, b in span[where].tolist()]), fresh)
+            entry = self.known.find(keys)
+        if len(odd):
+            whole = self.known.add([self._whole(data[at[i] : at[i + 1]].decode()) for i in odd.tolist()])
+            sizes = np.diff(begin)
+            keep = np.ones(n, bool)
+            keep[odd] = False
+            entry = entry[np.repeat(keep, sizes)]
+            sizes[odd] = 0
+            begin = np.concatenate([[0], np.cumsum(sizes)])
+            entry = np.insert(entry, begin[odd], whole)
+            sizes[odd] = 1
+            begin = np.concatenate([[0], np.cumsum(sizes)])
+        ids, ends = self.known.gather(np.insert(entry, begin[1:], self.end))
+        return ids, ends[begin + np.arange(n + 1)]
+
+
+#: Kinds of bytes: 0 white space, 1 letters, 2 digits, 3 signs, 4 the apostrophe, 5 beyond ASCII.
+_KIND = bytes(0 if c == 32 or 9 <= c <= 13 else 5 if c > 127 else 2 if 48 <= c <= 57 else 1 if 65 <= c <= 90 or 97 <= c <= 122 else 4 if c == 39 else 3 for c in range(256))
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def unit_hashes(data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the units of every text (see ``UnitEncoder``), where each text's units begin, and each unit's first byte and the byte after it (n x 2)."""
+    kind = np.frombuffer(data.translate(_KIND), np.uint8)
+    edge = at[:-1][at[:-1] < len(kind)]
+    before = np.zeros(len(kind), np.uint8)
+    before[1:] = kind[:-1]
+    before[edge] = 0
+    solid = kind != 0
+    word = solid & (before == 0)
+    opens = solid & ((kind != before) | (kind == 2))
+    odd = np.flatnonzero(kind >= 4)
+    if len(odd):
+        w = np.flatnonzero(word)
+        mine = np.unique(np.searchsorted(w, odd, "right") - 1)
+        step = np.zeros(len(kind) + 1, np.int8)
+        step[w[mine] + 1] += 1
+        step[np.append(w, len(kind))[mine + 1]] -= 1
+        opens &= word | (np.cumsum(step[:-1], dtype=np.int8) == 0)
+    u = np.flatnonzero(opens)
+    begin = np.searchsorted(u, at, "left")
+    if not len(u):
+        return np.zeros(0, np.uint64), begin, np.zeros((0, 2), np.int64)
+    low = np.frombuffer(data.translate(_LOWER), np.uint8)
+    keys, size = run_hashes(low[u[0] :], solid[u[0] :], u - u[0])
+    keys[keys == 0] = 1
+    return keys, begin, np.stack([u, u + size], axis=1)
+
+
+_ENCODERS: dict[tuple[str, int], UnitEncoder] = {}
+
+
+def encoder(path: str, end_id: int) -> UnitEncoder:
     """This process's encoder: tasks that follow one another in a worker share what it has learnt."""
     if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = WordEncoder(path, end_id)
+        _ENCODERS[path, end_id] = UnitEncoder(path, end_id)
     return _ENCODERS[path, end_id]
 
 
@@ -135,18 +272,16 @@ def _encode(path: str, end_id: int):
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
         enc = encoder(path, end_id)
         for batch in batches:
-            _, at = flat_bytes(batch.column(1))
-            for a, b in portions(np.diff(at), 1 << 20):
-                rows = enc.batch([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
-                sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(sizes), ids], schema=schema)
+            raw, at = flat_bytes(batch.column(1))
+            for a, b in portions(np.diff(at), 2 << 20):
+                ids, ends = enc.batch(raw[at[a] : at[b]], at[a : b + 1] - at[a])
+                column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(np.diff(ends)), column], schema=schema)
 
     return run
 
 
-def write_token_ids(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, docs_per_file: int = DOCS_PER_FILE) -> str:
+def write_token_ids(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, file_bytes: int = FILE_BYTES) -> str:
     """Encode ``docs`` and write them below ``path``: /rows with the ids, /index with each file's place in the whole. Returns ``path``.
 
     Texts are put in order first and encoded where they end up, each once. Ids
@@ -154,7 +289,7 @@ def write_token_ids(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    files = spread(source.count(), docs_per_file, 12)
+    files = spread(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0, file_bytes, 12)
     order = [F.col("doc_id").asc_nulls_first()]
     placed = source.repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
     encoded = placed.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id), "doc_id long, n_tokens long, ids array<int>")
