@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import settle
+from dnsloom.llm.common import hot_join, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n"))
+    return hot_join(both, settle(low, "low"), ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every neighbour below a node, and the node, are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = settle(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), "low")
+    moved = hot_join(down, low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v")))
 
 
@@ -27,7 +27,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``edges`` (u, v long) -> (node, root): for each linked node the smallest node it can reach.
 
     Each round is written to the shared folder. Minima go up by partial
-    aggregation, so a node of very many links is no single task's work.
+    aggregation and come back by ``hot_join``, so a node of very many links is no
+    single task's work.
     """
     now = settle(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     if now.isEmpty():
