@@ -82,7 +82,7 @@ def _window_key(window: int):
 
 
 def _whole(batches):
-    """tid, words and the digest of all words."""
+    """tid, tid2, words and the digest of all words."""
     for batch in batches:
         raw, at = flat_bytes(batch.column("text"))
         count, digest = [], []
@@ -91,7 +91,7 @@ def _whole(batches):
             words = data[at[i] : at[i + 1]].translate(_BLANKS).split()
             count.append(len(words))
             digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tid"), pa.array(count, pa.int64()), pa.array(digest)], ["id", "tid", "n_words", "whole"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tid"), batch.column("tid2"), pa.array(count, pa.int64()), pa.array(digest)], ["id", "tid", "tid2", "n_words", "whole"])
 
 
 _BLANKS = bytes(32 if 9 <= c <= 13 else c for c in range(256))
@@ -109,7 +109,7 @@ def _digests(batches):
                 gone = cover(len(words), spans[i])
                 removed.append(int(gone.sum()))
                 kept.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("tid").slice(a, b - a), pa.array(removed, pa.int64()), pa.array(kept)], ["tid", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("tid").slice(a, b - a), batch.column("tid2").slice(a, b - a), pa.array(removed, pa.int64()), pa.array(kept)], ["tid", "tid2", "n_removed", "kept_sha256"])
 
 
 def strip_repeats(docs: DataFrame, window: int = WINDOW, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,12 +117,12 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, *, id_col: str = "doc_i
     with scratch(docs.sparkSession):
         id_type = docs.schema[id_col].dataType.simpleString()
         texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-        texts = texts.select("id", F.xxhash64("text").alias("tid"), "text")
+        texts = texts.select("id", F.xxhash64("text").alias("tid"), "text", F.xxhash64(F.lit("copy"), "text").alias("tid2"))
         first = min(FIRST, window)
         spans, held = repeated(texts, WORDS, window, first, lambda p, s: repeated_windows(p, s, window), _window_key(window))
-        counts = texts.groupBy("tid").agg(F.count(F.lit(1)).alias("rows"))
-        digests = settle(held.join(spans, "tid").mapInArrow(_digests, "tid long, n_removed long, kept_sha256 string").dropDuplicates(["tid"]).join(counts, "tid", "full"), "digests")
-        out = texts.mapInArrow(_whole, f"id {id_type}, tid long, n_words long, whole string").join(digests, "tid")
+        counts = texts.groupBy("tid", "tid2").agg(F.count(F.lit(1)).alias("rows"))
+        digests = settle(held.join(spans, "tid").mapInArrow(_digests, "tid long, tid2 long, n_removed long, kept_sha256 string").dropDuplicates(["tid", "tid2"]).join(counts, ["tid", "tid2"], "full"), "digests")
+        out = texts.mapInArrow(_whole, f"id {id_type}, tid long, tid2 long, n_words long, whole string").join(digests, ["tid", "tid2"])
         copy = (F.col("rows") > 1) & (F.col("n_words") >= window)
         return settle(
             out.select(

@@ -14,7 +14,7 @@ first h symbols, without having been compared; where a boundary first shows
 tells the common prefix of neighbours. After L / STRIDE passes the intervals
 without a boundary are the strings of L bytes that occur several times.
 
-Blocks are compared by 64-bit hashes, seeded; texts and pieces are keyed alike.
+Blocks are compared by 64-bit hashes, seeded; copies of texts by 128 bits.
 Null text: empty. Texts shorter than L lose nothing. A text that occurs in
 several rows loses all its bytes if it has L or more. Repeated rows and ids:
 a row each. Empty tables give empty results.
@@ -146,13 +146,13 @@ def _digests(batches):
             removed.append(int(gone.sum()))
             runs.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
             kept.append(hashlib.sha256(text[~gone].tobytes()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept)], ["tid", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("tid2"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept)], ["tid", "tid2", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, *, anchor: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents: id, tid, text; spans by text: tid, spans of bytes; texts that may have some: tid, text). Copies of whole texts are not in the spans."""
+    """(documents: id, tid, text; spans by text: tid, spans of bytes; texts that may have some: tid, tid2, text). Copies of whole texts are not in the spans."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = texts.select("id", F.xxhash64("text").alias("tid"), "text")
+    texts = texts.select("id", F.xxhash64("text").alias("tid"), "text", F.xxhash64(F.lit("copy"), "text").alias("tid2"))
     k = anchor or max(1, min(ANCHOR, length // 3))
     spans, held = repeated(texts, BYTES, length, k, lambda p, s: repeated_strings(p, s, length), _window_key(length))
     return texts, spans, held
@@ -162,10 +162,10 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_i
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256."""
     with scratch(docs.sparkSession):
         texts, spans, held = repeated_spans(docs, length, id_col=id_col, text_col=text_col)
-        counts = texts.groupBy("tid").agg(F.count(F.lit(1)).alias("rows"))
-        digests = settle(held.join(spans, "tid").mapInArrow(_digests, "tid long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["tid"]).join(counts, "tid", "full"), "digests")
-        plain = texts.select("id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
-        out = plain.join(digests, "tid")
+        counts = texts.groupBy("tid", "tid2").agg(F.count(F.lit(1)).alias("rows"))
+        digests = settle(held.join(spans, "tid").mapInArrow(_digests, "tid long, tid2 long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["tid", "tid2"]).join(counts, ["tid", "tid2"], "full"), "digests")
+        plain = texts.select("id", "tid", "tid2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
+        out = plain.join(digests, ["tid", "tid2"])
         copy = (F.col("rows") > 1) & (F.col("n_bytes") >= length)
         return settle(
             out.select(

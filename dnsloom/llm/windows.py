@@ -17,6 +17,11 @@ occurs elsewhere can repeat. The steps:
 
 Texts are keyed by a 64-bit hash; copies are one text that occurs several
 times, all of whose windows repeat, and their rows meet only when counted.
+Copies are told by two hashes (128 bits), so no text goes for another's sake.
+
+Rows of one anchor, or of one piece, may be a third of all: joins on them are
+dealt by ``hot_join``, which spreads the rows of each hot key over several
+parts and sends the key's one partner row to each of these.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import M64, flat_bytes, mix64, portions, settle, spread
+from dnsloom.llm.common import HOT, M64, flat_bytes, hot_join, mix64, portions, settle, spread
 
 #: Bytes of text that are worked on at once, and tokens of a text that are hashed at once.
 PORTION, SEGMENT = 2 << 20, 4 << 20
@@ -160,28 +165,28 @@ def _piece_rows(cut: Tokens, length: int, k: int):
 
 
 def repeated(texts: DataFrame, cut: Tokens, length: int, k: int, kernel: Callable[[list[bytes], np.ndarray], list[np.ndarray]], window_key: Callable[[bytes], list[tuple[bytes, bytes]]]) -> tuple[DataFrame, DataFrame]:
-    """Spans of repeated windows: (tid, spans array<struct<a: int, b: int>>), in tokens and not yet merged, and the texts they are in (tid, text).
+    """Spans of repeated windows: (tid, spans array<struct<a: int, b: int>>), in tokens and not yet merged, and the texts they are in (tid, tid2, text).
 
-    ``texts``: id, tid, text, one row per document. ``kernel`` gets the pieces
+    ``texts``: id, tid, text, tid2 (hashes of the text), one row per document. ``kernel`` gets the pieces
     of a bucket and whether each occurs several times, and returns for each piece
     which of its windows repeat. ``window_key`` gives a piece's windows, each
     with its first and last tokens.
     """
     found = settle(texts.select("tid", "text").mapInArrow(_anchor_rows(cut, length, k), "h long, tid long, place int"), "anchors")
-    twice = found.groupBy("h").agg(F.min(F.xxhash64("tid", "place")).alias("lo"), F.max(F.xxhash64("tid", "place")).alias("hi")).filter("lo < hi").select("h")
-    places = found.join(twice, "h").groupBy("tid").agg(F.collect_set("place").alias("places"))
+    twice = found.groupBy("h").agg(F.min(F.xxhash64("tid", "place")).alias("lo"), F.max(F.xxhash64("tid", "place")).alias("hi"), F.count(F.lit(1)).alias("_n")).filter("lo < hi").select("h", "_n")
+    places = hot_join(found, settle(twice, "twice"), ["h"]).groupBy("tid").agg(F.collect_set("place").alias("places"))
     # One row stands for all copies of a text.
     first = texts.groupBy("tid").agg(F.min("id").alias("id"))
     chosen = settle(places.join(first, "tid"), "places")
-    held = settle(texts.alias("t").join(chosen.alias("c"), (F.col("t.tid") == F.col("c.tid")) & F.col("t.id").eqNullSafe(F.col("c.id"))).select("t.tid", "t.text", "c.places"), "held")
+    held = settle(texts.alias("t").join(chosen.alias("c"), (F.col("t.tid") == F.col("c.tid")) & F.col("t.id").eqNullSafe(F.col("c.id"))).select("t.tid", "t.tid2", "t.text", "c.places"), "held")
     pieces = settle(held.mapInArrow(_piece_rows(cut, length, k), "h long, tid long, start int, piece binary").withColumn("ph", F.xxhash64("piece")), "pieces")
 
     loc = F.xxhash64("tid", "start")
-    once = pieces.groupBy("h", "ph").agg(F.min(loc).alias("lo"), F.max(loc).alias("hi"), F.first("piece").alias("piece")).select("h", "ph", (F.col("lo") < F.col("hi")).alias("several"), "piece")
+    once = pieces.groupBy("h", "ph").agg(F.min(loc).alias("lo"), F.max(loc).alias("hi"), F.first("piece").alias("piece"), F.count(F.lit(1)).alias("_n")).select("h", "ph", (F.col("lo") < F.col("hi")).alias("several"), "piece", "_n")
     once = settle(once, "once")
     many = settle(once.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("piece")).alias("bytes")).filter(F.col("n") > MANY), "many")
     few = once.join(many, "h", "left_anti").select(F.col("h").alias("key"), "h", "ph", F.lit(0).alias("at"), "several", "piece")
-    wide = once.join(many.select("h"), "h").mapInArrow(_window_rows(window_key), "key long, h long, ph long, at int, several boolean, piece binary")
+    wide = once.drop("_n").join(many.select("h"), "h").mapInArrow(_window_rows(window_key), "key long, h long, ph long, at int, several boolean, piece binary")
     wide = wide.withColumn("wh", F.xxhash64("piece"))
     merged = wide.groupBy("key", "wh").agg(F.min(F.xxhash64("ph", "at")).alias("lo"), F.max(F.xxhash64("ph", "at")).alias("hi"), F.max("several").alias("several"), F.first("piece").alias("piece"))
     merged = merged.select("key", F.col("key").alias("h"), F.col("wh").alias("ph"), F.lit(-1).alias("at"), (F.col("several") | (F.col("lo") < F.col("hi"))).alias("several"), "piece")
@@ -197,7 +202,7 @@ def repeated(texts: DataFrame, cut: Tokens, length: int, k: int, kernel: Callabl
         keep = [bool(m.any()) for m in marks]
         runs = [_runs(m) for m, yes in zip(marks, keep, strict=True) if yes]
         out = pdf.loc[keep, ["key", "h", "ph", "at"]]
-        return out.assign(runs=[r.ravel().tolist() for r in runs])
+        return out.assign(runs=pd.Series([r.ravel().tolist() for r in runs], index=out.index, dtype=object))
 
     dealt = work.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     solved = dealt.groupBy("bucket").applyInPandas(solve, "key long, h long, ph long, at int, runs array<int>")
@@ -207,10 +212,11 @@ def repeated(texts: DataFrame, cut: Tokens, length: int, k: int, kernel: Callabl
         again = wide.select("key", "wh", "h", "ph", "at").join(solved.filter("at = -1").select("key", F.col("ph").alias("wh"), "runs"), ["key", "wh"])
         marked = marked.unionByName(again.select("h", "ph", F.col("at").alias("shift"), "runs"))
     # A run's first and last window starts, within its piece, give a span of tokens of the text.
-    spans = pieces.select("h", "ph", "tid", "start").join(marked, ["h", "ph"])
+    rows_of = once.select("h", "ph", "_n").filter(f"_n > {HOT}")
+    spans = hot_join(pieces.select("h", "ph", "tid", "start"), marked.join(rows_of, ["h", "ph"], "left"), ["h", "ph"])
     pair = F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda i: F.struct((F.col("start") + F.col("shift") + F.get("runs", i)).alias("a"), (F.col("start") + F.col("shift") + F.get("runs", i + 1) + length).alias("b")))
     by_text = spans.select("tid", F.explode(pair).alias("span")).groupBy("tid").agg(F.collect_list("span").alias("spans"))
-    return by_text, held.select("tid", "text")
+    return by_text, held.select("tid", "tid2", "text")
 
 
 def _window_rows(window_key):
