@@ -14,8 +14,10 @@ numbered together.
 
 Null source: a source of its own, last. Null or empty text: size 0, never
 emitted by a source whose documents are all empty (target 0). Repeated rows
-are documents of their own. An empty table gives an empty result. Columns of
-any name may come along; helper columns are prefixed ``_mx_``.
+are documents of their own; of equal sizes the order is by hash of the id, then
+by id. A very long text is one document of that size. An empty table gives an
+empty result. Columns of any name come along as they are; a measure whose name
+is taken is called ``mix_size`` and so on. Helper columns are prefixed ``_mx_``.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dnsloom.llm.common import settle
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one bucket, about; the number of buckets follows the input.
 BUCKET_ROWS = 50_000
@@ -67,63 +71,73 @@ def source_targets(sized: DataFrame, source: str, size: str, weights: Sequence[f
     )
 
 
+MEASURES = ("size", "source_size", "target", "copies")
+
+
+def measures(columns: Sequence[str]) -> dict[str, str]:
+    """Names under which ``mix`` adds its measures to a table of these columns: a taken name gets ``mix_`` before it."""
+    named: dict[str, str] = {}
+    for name in MEASURES:
+        free = name
+        while free in columns or free in named.values():
+            free = f"mix_{free}"
+        named[name] = free
+    return named
+
+
 def mix(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    size_col: str | None = None,
     weights: Sequence[float] = (3, 1, 2),
     share: float = 1.5,
     most: float = 2.0,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """``docs`` with size, source_size, target and copies (how often the mix takes the document)."""
-    clash = {"size", "source_size", "target", "copies"}
-    docs = docs.drop(*[c for c in docs.columns if c in clash])
-    sized = docs.withColumn("size", count_words(F.col(text_col)))
-    dealt = sized.select(
-        *[F.col(c) for c in docs.columns],
-        "size",
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_mx_h"),
-    )
-    rows = docs.count()
+    """``docs`` with size, source_size, target and copies (how often the mix takes the document), named by ``measures``.
+
+    ``size_col``: a column that holds the sizes already; else the words of ``text_col`` are counted.
+    """
+    name = measures(docs.columns)
+    # One key without nulls for grouping, numbering and joining, so rows with texts move once.
+    key = ["_mx_source", "_mx_size", "_mx_b"]
+    size = F.coalesce(F.col(size_col).cast("long"), F.lit(0)) if size_col else count_words(F.col(text_col))
+    keyed = docs.withColumns({"_mx_source": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")), "_mx_size": size, "_mx_h": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))})
     digits = 1
-    while 16**digits < max(1, rows // bucket_rows) and digits < 6:
+    while 16**digits < max(1, docs.count() // bucket_rows) and digits < 6:
         digits += 1
-    dealt = dealt.withColumn("_mx_b", F.substring("_mx_h", 1, digits))
-    targets = source_targets(sized, source_col, "size", weights, share, most)
+    dealt = keyed.withColumn("_mx_b", F.substring("_mx_h", 1, digits))
 
-    key = ["_mx_source", "_mx_size"]
-    cells = dealt.groupBy(F.col(source_col).alias("_mx_source"), F.col("size").alias("_mx_size"), "_mx_b").agg(F.count(F.lit(1)).alias("_mx_n"))
-    by_size = cells.groupBy(*key).agg(F.sum("_mx_n").alias("_mx_m"))
+    cells = settle(dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("_mx_n")), "cells")
+    plain = F.when(F.col("_mx_source") != "", F.expr("substring(_mx_source, 2)"))
+    targets = source_targets(cells.select(plain.alias("s"), (F.col("_mx_size") * F.col("_mx_n")).alias("n")), "s", "n", weights, share, most)
+    by_size = cells.groupBy("_mx_source", "_mx_size").agg(F.sum("_mx_n").alias("_mx_m"))
     before_size = by_size.withColumn("_mx_lower", F.coalesce(F.sum("_mx_m").over(Window.partitionBy("_mx_source").orderBy("_mx_size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy(*key).orderBy("_mx_b").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_mx_in", F.coalesce(F.sum("_mx_n").over(inside), F.lit(0)))
-    same = F.col("c._mx_source").eqNullSafe(F.col("s._mx_source")) & (F.col("c._mx_size") == F.col("s._mx_size"))
-    starts = cells.alias("c").join(before_size.alias("s"), same).select("c._mx_source", "c._mx_size", "c._mx_b", (F.col("_mx_lower") + F.col("_mx_in")).alias("_mx_start"))
-    starts = starts.alias("c").join(targets.alias("t"), F.col("c._mx_source").eqNullSafe(F.col("t._mx_source"))).select("c.*", "t.source_size", "t.target", "t._mx_offset")
-
-    order = Window.partitionBy(source_col, "size", "_mx_b").orderBy("_mx_h", F.col(id_col).asc_nulls_first())
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    at = F.col("_mx_start") + F.col("_mx_k")
-    out = (
-        dealt.withColumn("_mx_k", F.row_number().over(order))
-        .alias("d")
-        .join(starts.alias("c"), F.col(f"d.{source_col}").eqNullSafe(F.col("c._mx_source")) & (F.col("d.size") == F.col("c._mx_size")) & (F.col("d._mx_b") == F.col("c._mx_b")))
-        .withColumn("copies", (F.floor(rate * at + F.col("_mx_offset")) - F.floor(rate * (at - 1) + F.col("_mx_offset"))).cast("long"))
-    )
-    return out.select(*[F.col(f"d.{c}") for c in docs.columns], F.col("d.size").alias("size"), "source_size", "target", "copies")
+    inside = Window.partitionBy("_mx_source", "_mx_size").orderBy("_mx_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.withColumn("_mx_in", F.coalesce(F.sum("_mx_n").over(inside), F.lit(0))).join(before_size, ["_mx_source", "_mx_size"])
+    starts = starts.withColumn("_mx_name", plain).alias("c").join(targets.alias("t"), F.col("_mx_name").eqNullSafe(F.col("t._mx_source")))
+    starts = settle(starts.select(*[F.col(f"c.{c}") for c in key], (F.col("_mx_lower") + F.col("_mx_in")).alias("_mx_start"), F.col("source_size").alias("_mx_all"), F.col("target").alias("_mx_target"), "_mx_offset"), "starts")
+
+    rate = F.when(F.col("_mx_all") > 0, F.col("_mx_target") / F.col("_mx_all")).otherwise(F.lit(0.0))
+    at = F.col("_mx_start") + F.row_number().over(Window.partitionBy(*key).orderBy("_mx_h", F.col(id_col).asc_nulls_first()))
+    out = dealt.join(starts, key).withColumn("_mx_copies", (F.floor(rate * at + F.col("_mx_offset")) - F.floor(rate * (at - 1) + F.col("_mx_offset"))).cast("long"))
+    added = zip(MEASURES, ("_mx_size", "_mx_all", "_mx_target", "_mx_copies"), strict=True)
+    return out.select(*docs.columns, *[F.col(c).alias(name[m]) for m, c in added])
 
 
 def emit(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mix itself: each document as often as it is taken."""
-    return mixed.filter("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_mx_copy")).drop("_mx_copy")
+    """The mix itself, in the ``columns`` of the table that was mixed: each document as often as it is taken."""
+    copies = measures(columns)["copies"]
+    return mixed.filter(F.col(copies) > 0).select(*columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias("_mx_copy")).drop("_mx_copy")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sized = settle(docs.select("doc_id", "source", count_words(F.col("text")).alias("n_words")), "sized")
+    return mix(sized, size_col="n_words").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP5_SQL = r"""
