@@ -8,13 +8,16 @@ suffix is then looked up by binary search in every shard, which gives its
 verbatim occurrences; matches on one diagonal join into the longest ones.
 
 The benchmark side is sent to the tasks in blocks of at most ``BLOCK_WORDS``
-words. A larger benchmark takes several passes over the documents, each with
-one block; nothing of it is left out.
+words; long items are cut into pieces that overlap by a window less one word.
+A larger benchmark takes several passes over the documents, each with one
+block, whose narrow finds are joined per document; nothing of it is left out.
 
 Null or empty text: no words, never contaminated. Null or empty items have no
-windows. Repeated rows and ids are judged one by one. Empty tables give empty
-results. Extra columns pass through ``decontaminate`` untouched, whatever their
-names; ``scan`` returns the id and its own columns.
+windows; the windows of an item without an id hit words but name no item.
+Repeated rows and ids are judged one by one. A very long text is one shard.
+Empty tables give empty results. Extra columns pass through ``decontaminate``
+untouched, whatever their names (but ``_dc_row``, which it uses itself);
+``scan`` returns the id and its own columns.
 """
 
 from __future__ import annotations
@@ -28,16 +31,16 @@ from pyspark.sql import functions as F
 
 from dnsloom.llm.common import flat_bytes, portions, settle
 
-#: Words of the benchmark that one pass holds: 21 bits name each of them.
-BLOCK_WORDS = 1_000_000
+#: Words of the benchmark that one pass holds at most (21 bits name each of them), and words of a piece of an item.
+BLOCK_WORDS, PIECE_WORDS = 1_000_000, 20_000
 #: Bytes of a shard.
 SHARD = 4 << 20
-FOUND = "n_words long, n_hit long, items array<string>, matches array<struct<item_id: string, start: int, n_words: int>>"
+FOUND = "n_words long, n_hit long, items array<string>, matches array<struct<item_id: string, start: int, item_start: int, n_words: int>>"
 _FOUND = [
     ("n_words", pa.int64()),
     ("n_hit", pa.int64()),
     ("items", pa.list_(pa.string())),
-    ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("n_words", pa.int32())]))),
+    ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("item_start", pa.int32()), ("n_words", pa.int32())]))),
 ]
 #: Lower-cases A-Z; every other ASCII byte but letters and digits parts words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -57,23 +60,27 @@ def _pack(ids: np.ndarray) -> np.ndarray:
 
 
 class TestSuffixes:
-    """The benchmark's suffixes that begin a window, ready for look-up. ``items``: (id, text) pairs."""
+    """The benchmark's suffixes that begin a window, ready for look-up. ``items``: (id, words, number of words before them in the item)."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        self.window, self.vocab, self.names = window, {}, []
+    def __init__(self, items: list[tuple[str | None, list[bytes], int]], window: int):
+        self.window, self.vocab = window, {}
         number = self.vocab.setdefault
         rows, item, at, size = [], [], [], []
-        for name, text in items:
-            ids = [number(w, len(self.vocab) + 1) for w in words_of((text or "").encode())]
+        known: dict[str | None, int] = {}
+        for name, words, before in items:
+            ids = [number(w, len(self.vocab) + 1) for w in words]
             if not ids:
                 continue
-            self.names.append(str(name))
+            k = known.setdefault(name, len(known))
             n = min(window, len(ids))
             for j in range(len(ids) - n + 1):
                 rows.append(ids[j : j + n] + [0] * (window - n))
-                item.append(len(self.names) - 1)
-                at.append(j)
+                item.append(k)
+                at.append(before + j)
                 size.append(n)
+        self.names = list(known)
+        if len(self.vocab) >= 1 << 21:
+            raise ValueError("a block of the benchmark has more words than 21 bits can name")
         grid = np.array(rows, np.int64).reshape(-1, window)
         self.item, self.at, self.size = (np.array(x, np.int64) for x in (item, at, size))
         self.low = _pack(grid)
@@ -113,8 +120,8 @@ class TestSuffixes:
         place = np.arange(len(test)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         return test, starts[suffix_array[place]]
 
-    def longest(self, test: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Occurrences on one diagonal of one item, joined: item, first position, words."""
+    def longest(self, test: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences on one diagonal of one item, joined: item, first position, position in the item, words."""
         item, diagonal = self.item[test], pos - self.at[test]
         order = np.lexsort((pos, diagonal, item))
         item, diagonal, pos, size = item[order], diagonal[order], pos[order], self.size[test][order]
@@ -122,7 +129,7 @@ class TestSuffixes:
         new[1:] = (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (pos[1:] != pos[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [len(pos)]]) - 1 if len(first) else first
-        return item[first], pos[first], pos[last] + size[last] - pos[first]
+        return item[first], pos[first], pos[first] - diagonal[first], pos[last] + size[last] - pos[first]
 
 
 def _shards(tests: TestSuffixes, texts: pa.Array):
@@ -145,54 +152,106 @@ def _shards(tests: TestSuffixes, texts: pa.Array):
         hit = np.add.reduceat(np.cumsum(cover)[:-1] > 0, begin[:-1], dtype=np.int64)
         items, matches = [[] for _ in sizes], [[] for _ in sizes]
         if len(pos):
-            for k, p, n in zip(*(x.tolist() for x in tests.longest(test, pos)), strict=True):
+            for k, p, j, n in zip(*(x.tolist() for x in tests.longest(test, pos)), strict=True):
                 row = int(np.searchsorted(begin, p, "right")) - 1
-                matches[row].append({"item_id": tests.names[k], "start": p - int(begin[row]), "n_words": n})
-            items = [sorted({m["item_id"] for m in found}) for found in matches]
+                matches[row].append({"item_id": tests.names[k], "start": p - int(begin[row]), "item_start": j, "n_words": n})
+            items = [_named(found) for found in matches]
         yield a, b, sizes, hit.tolist(), items, matches
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The benchmark's items in blocks of bounded size, one in memory at a time."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null and item_id is not null")
-    words = items.agg(F.sum(F.octet_length("text") / 4 + 1)).first()[0] or 0
-    n = int(words // BLOCK_WORDS) + 1
+def _named(matches: list[dict]) -> list[str]:
+    return sorted({m["item_id"] for m in matches if m["item_id"] is not None})
+
+
+def _joined(matches: list[dict], window: int) -> list[dict]:
+    """Matches of several blocks; those on one diagonal of one item that go on from each other become one."""
+    out: list[dict] = []
+    for m in sorted(matches, key=lambda m: (m["item_id"] is None, m["item_id"] or "", m["start"] - m["item_start"], m["start"])):
+        last = out[-1] if out else None
+        same = last and last["item_id"] == m["item_id"] and last["start"] - last["item_start"] == m["start"] - m["item_start"]
+        if same and m["start"] <= last["start"] + last["n_words"] - window + 1:
+            last["n_words"] = max(last["n_words"], m["start"] + m["n_words"] - last["start"])
+        else:
+            out.append(dict(m))
+    return sorted(out, key=lambda m: (m["start"], m["item_id"] or ""))
+
+
+def _pieces(window: int):
+    step = max(1, PIECE_WORDS - window + 1)
+
+    def run(batches):
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text.encode())
+                cuts = range(0, max(1, len(words) - window + 1), step)
+                cut = [words[a : a + PIECE_WORDS] for a in cuts]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(cut), pa.string()), pa.array([b" ".join(c) for c in cut], pa.binary()), pa.array(list(cuts), pa.int64()), pa.array([len(c) for c in cut], pa.int64())], ["item_id", "words", "before", "n"])
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str):
+    """The benchmark's items in blocks of at most BLOCK_WORDS words (or one piece), one in memory at a time: (last one, items)."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").distinct()
+    cut = items.mapInArrow(_pieces(window), "item_id string, words binary, before long, n long").filter("n > 0")
+    total = cut.agg(F.sum("n")).first()[0] or 0
+    if total > BLOCK_WORDS:
+        cut = settle(cut, "pieces")
+    n = 1
+    block = lambda: F.pmod(F.xxhash64("words", "before", "item_id"), F.lit(n))
+    while total > BLOCK_WORDS:
+        fullest = cut.groupBy(block().alias("b")).agg(F.sum("n").alias("words"), F.count(F.lit(1)).alias("pieces")).filter("pieces > 1").agg(F.max("words")).first()[0] or 0
+        if n > 1 and fullest <= BLOCK_WORDS:
+            break
+        n *= 2
     for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield k == n - 1, [(r[0], r[1]) for r in part.collect()]
+        yield k == n - 1, [(r[0], bytes(r[1]).split(), r[2]) for r in (cut if n == 1 else cut.filter(block() == k)).collect()]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: its id, n_words, n_hit (words inside occurrences), items (sorted), matches (longest verbatim, with word positions).
+    """Per document: its id, n_words, n_hit (words inside occurrences), items (sorted), matches (longest verbatim, with word positions in the text and the item).
 
     Item ids that occur several times count once.
     """
     sc = docs.sparkSession.sparkContext
     table = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = table.schema["id"].dataType.simpleString()
-    for last, items in _blocks(benchmark, item_id, item_text):
-        sent = sc.broadcast(TestSuffixes(items, window))
-        prior = "n_words" in table.columns
-        schema = f"id {id_type}, {FOUND}" + ("" if last else ", text string")
-        table = table.mapInArrow(_scan_with(sent, prior, last), schema)
-        if not last:
-            table = settle(table, "decontam")
-    return table.withColumnRenamed("id", id_col)
-
-
-def _scan_with(sent, prior: bool, last: bool):
+    found = None
+    for last, items in _blocks(benchmark, window, item_id, item_text):
+        run = _scan_with(sc.broadcast(TestSuffixes(items, window)))
+        if last and found is None:
+            return table.mapInArrow(run, f"id {id_type}, {FOUND}").withColumnRenamed("id", id_col)
+        if found is None:
+            kept = settle(table.withColumn("_dc_row", F.monotonically_increasing_id()), "decontam")
+            rows = kept.select(F.col("_dc_row").alias("id"), "text")
+        some = rows.mapInArrow(run, f"id long, {FOUND}")
+        # After the first block only rows with matches matter.
+        some = settle(some if found is None else some.filter("n_hit > 0"), "decontam")
+        found = some if found is None else found.unionByName(some)
+    one = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
+    merged = kept.select(F.col("_dc_row"), F.col("id").alias("_dc_id")).join(one, F.col("_dc_row") == F.col("id")).select(F.col("_dc_id").alias("id"), "n_words", "matches")
+    return merged.mapInArrow(_merge_with(window), f"id {id_type}, {FOUND}").withColumnRenamed("id", id_col)
+
+
+def _scan_with(sent):
     def run(batches):
         tests = sent.value
         for batch in batches:
             for a, b, sizes, hit, items, matches in _shards(tests, batch.column("text")):
-                rows = batch.slice(a, b - a)
-                if prior:
-                    matches = [x + y for x, y in zip(rows.column("matches").to_pylist(), matches, strict=True)]
-                    items = [sorted({m["item_id"] for m in x}) for x in matches]
-                    hit = [len({w for m in x for w in range(m["start"], m["start"] + m["n_words"])}) for x in matches]
-                cols = [rows.column("id"), *(pa.array(v, t) for v, (_, t) in zip((sizes, hit, items, matches), _FOUND, strict=True))]
-                names = ["id", *(n for n, _ in _FOUND)]
-                yield pa.RecordBatch.from_arrays(cols if last else [*cols, rows.column("text")], names if last else [*names, "text"])
+                cols = [batch.column("id").slice(a, b - a), *(pa.array(v, t) for v, (_, t) in zip((sizes, hit, items, matches), _FOUND, strict=True))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", *(n for n, _ in _FOUND)])
+
+    return run
+
+
+def _merge_with(window: int):
+    def run(batches):
+        for batch in batches:
+            matches = [_joined(x, window) for x in batch.column("matches").to_pylist()]
+            hit = [len({w for m in x for w in range(m["start"], m["start"] + m["n_words"])}) for x in matches]
+            values = (batch.column("n_words").to_pylist(), hit, [_named(x) for x in matches], matches)
+            cols = [batch.column("id"), *(pa.array(v, t) for v, (_, t) in zip(values, _FOUND, strict=True))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", *(n for n, _ in _FOUND)])
 
     return run
 
@@ -204,7 +263,7 @@ def contaminated() -> F.Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without contaminated documents; no shuffle, all columns as they were."""
-    blocks = _blocks(benchmark, item_id, item_text)
+    blocks = _blocks(benchmark, window, item_id, item_text)
     last, items = next(blocks)
     if last:
         sent = docs.sparkSession.sparkContext.broadcast(TestSuffixes(items, window))
