@@ -8,11 +8,13 @@ by line length.
 
 Only documents are labelled, so in fitting every line carries its document's
 label. The model is fitted on at most ``fit_docs`` documents of each class (a
-bounded sample in the order of a hash, documented as such); scoring covers all
-texts. Labels, language, source and ids are never features.
+bounded sample in the order of a hash, documented as such), with all their
+lines; scoring covers all texts. Labels, language, source and ids are never
+features.
 
 Empty and null texts are one empty line. A document with conflicting labels
-counts as bad. Repeated rows are scored one by one. Without labelled rows of
+counts as bad. Repeated rows are scored one by one; of several texts with one
+id the least in order is fitted on. A score of exactly the threshold is good. Without labelled rows of
 both classes every score is the share of good labels (1 without any). Extra
 columns pass through ``keep_good`` untouched.
 """
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import flat_bytes, mix64, portions
+from dnsloom.llm.common import flat_bytes, portions, run_hashes
 
 #: Documents of each class that fitting uses at most, and the threshold of ``predicted``.
 FIT_DOCS, THRESHOLD = 1500, 0.7
@@ -40,7 +42,6 @@ _STOP = np.isin(np.arange(256), [ord(c) for c in ".,"])
 _SIGN = ~(_LETTER | _DIGIT | _SPACE | _STOP)
 _KIND = _SHOUT * 1 + _LETTER * 2 + _DIGIT * 4 + _SPACE * 8 + _SIGN * 16
 OWN = ("shouted", "signs", "digits", "stops", "spaces", "long words", "short words", "sign words", "repeated words", "repeated lines", "length", "bare")
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)], np.uint64)
 
 
 def _lines(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,12 +80,8 @@ def line_features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     words = np.maximum(word_of_line[1] - word_of_line[0], 1).astype(np.float64)
     line_of = np.repeat(np.arange(len(begin)), word_of_line[1] - word_of_line[0])
     if len(w):
-        where = np.repeat(w, np.diff(np.concatenate([w, [len(raw)]])))
-        head = len(raw) - len(where)
-        place = np.minimum(np.arange(head, len(raw)) - where, 63)
-        coded = np.where(solid[head:], raw[head:].astype(np.uint64) + np.uint64(1), np.uint64(0)) * _POWERS[place]
-        word = mix64(np.add.reduceat(coded, w - head))
-        size = np.add.reduceat(solid[head:].astype(np.int32), w - head)
+        head = int(w[0])
+        word, size = run_hashes(raw[head:], solid[head:], w - head)
         signs = np.add.reduceat((kind[head:] & 16) > 0, w - head, dtype=np.int32)
         again = np.zeros(len(w), bool)
         again[1:] = (word[1:] == word[:-1]) & (line_of[1:] == line_of[:-1])
@@ -131,9 +128,13 @@ def _grid(first: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, list[i
     return order, falling, alive.tolist()
 
 
-def forward_backward(unary: np.ndarray, chain: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Each line's probability of being good, expected transitions (2 x 2), and the sum of log Z. ``unary``: score of good against bad."""
+def forward_backward(unary: np.ndarray, chain: np.ndarray, first: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Each line's probability of being good, expected transitions (2 x 2), and the sum of log Z. ``unary``: score of good against bad.
+
+    ``weight``: of each document, in the transitions and the sum.
+    """
     total = len(unary)
+    weight = np.ones(len(first)) if weight is None else weight
     order, _, alive = _grid(first, total)
     start = first[order]
     psi = np.stack([np.zeros(total), unary], axis=1)
@@ -152,9 +153,10 @@ def forward_backward(unary: np.ndarray, chain: np.ndarray, first: np.ndarray) ->
         i = start[:n] + step
         ahead = e[i + 1] * beta[i + 1] / scale[i + 1][:, None]
         beta[i] = ahead @ t.T
-        expected += np.einsum("ni,ij,nj->ij", alpha[i], t, ahead)
+        expected += (alpha[i] * weight[order[:n]][:, None]).T @ ahead * t
     good = alpha * beta
-    return good[:, 1] / good.sum(axis=1), expected, float(np.log(scale).sum() + top.sum())
+    lines = np.repeat(weight, np.diff(np.append(first, total)))
+    return good[:, 1] / good.sum(axis=1), expected, float((lines * (np.log(scale) + top[:, 0])).sum())
 
 
 @dataclass
@@ -179,24 +181,23 @@ class LineField:
 def fit_field(x: np.ndarray, first: np.ndarray, label: np.ndarray, *, ridge: float = 1e-3, steps: int = 150) -> LineField:
     """Maximises the conditional likelihood of the lines' labels (a document's label on each line) by adaptive gradient steps.
 
-    A document counts the same whatever its number of lines.
+    The one objective is the mean over documents of a document's log-likelihood per line, in lines and transitions
+    alike, less ``ridge`` / 2 times the squared weights and 0.15 times the squared transition scores.
     """
     z = with_neighbours(x, first)
     spread = np.maximum(np.sqrt((z**2).mean(axis=0)), 1e-3)
     z = z / spread
     sizes = np.diff(np.concatenate([first, [len(x)]]))
     y = np.repeat(label, sizes).astype(np.float64)
-    share = np.repeat(1 / sizes, sizes) / len(sizes)
+    weight = 1 / sizes / len(sizes)
+    share = np.repeat(weight, sizes)
     theta = np.zeros(z.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    pairs = sum(int(k) - 1 for k in sizes) or 1
-    seen = np.zeros((2, 2))
-    for k, good in zip(sizes, label, strict=True):
-        seen[int(good), int(good)] += k - 1
+    seen = np.diag(np.bincount(label.astype(np.int64), weight * (sizes - 1), 2))
     for step in range(1, steps + 1):
         w, chain = theta[:-4], theta[-4:].reshape(2, 2)
-        p, expected, _ = forward_backward(z @ w, chain, first)
-        grad = np.concatenate([z.T @ ((y - p) * share) - ridge * w, ((seen - expected) / pairs - 0.3 * chain).ravel()])
+        p, expected, _ = forward_backward(z @ w, chain, first, weight)
+        grad = np.concatenate([z.T @ ((y - p) * share) - ridge * w, (seen - expected - 0.3 * chain).ravel()])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     return LineField(theta[:-4], theta[-4:].reshape(2, 2), spread)
@@ -220,14 +221,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     for y in (0, 1):
         some = known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(fit_docs)
         chosen = some if chosen is None else chosen.unionByName(some)
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "_id").select("_y", "text")
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "_id")
+    sample = sample.groupBy("_id", "_y").agg(F.min("text").alias("text")).select("_y", "text")  # one row of a repeated id
 
     def features(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for i in range(len(batch)):
                 raw, at = flat_bytes(batch.column(1).slice(i, 1))
                 x, _, _ = line_features(raw, at)
-                yield pa.RecordBatch.from_arrays([pa.array([int(batch.column(0)[i].as_py())], pa.int32()), pa.array([x[:FIT_LINES].ravel().tolist()], pa.list_(pa.float64()))], ["y", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(batch.column(0)[i].as_py())], pa.int32()), pa.array([x.ravel().tolist()], pa.list_(pa.float64()))], ["y", "x"])
 
     rows = sample.mapInArrow(features, "y int, x array<double>").collect()
     rows.sort(key=lambda r: (r[0], r[1]))
@@ -238,10 +240,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return fit_field(np.concatenate(xs), first, np.array([r[0] for r in rows]))
 
 
-#: Lines of a document that fitting uses at most (scoring uses all).
-FIT_LINES = 200
-
-
 def _score_batches(sent, column: str):
     def run(batches):
         field = sent.value
