@@ -135,8 +135,8 @@ def test_mixture(docs, empty):
     assert len(got) == docs.count()
     for source in {r.source for r in got}:
         mine = [r for r in got if r.source == source]
-        assert abs(sum(r.copies * r["size"] for r in mine) - mine[0].target) <= 2 * max(r["size"] for r in mine)
-        assert all(r.copies <= 2 for r in mine)
+        assert abs(sum(r.copies * r.mix_size for r in mine) - mine[0].target) <= 2 * max(r.mix_size for r in mine)
+        assert all(r.copies <= 2 and r["size"] == 1 for r in mine)  # a column of the input's own stays
     assert mixing.mix(empty).count() == 0 and mixing.emit(mixing.mix(docs), ["doc_id"]).count() == sum(r.copies for r in got)
 
 
@@ -145,7 +145,7 @@ def test_tokens_round_trip(spark, docs, empty, tmp_path):
 
     more = spark.createDataFrame([(900 + i, t) for i, t in enumerate(["x<|endoftext|>y", "a\x1cb", "ΑΣ don't 12 THE!! (é́) ﬁ", "Ered*** the,&&& a."])], "doc_id long, text string")
     every = docs.select("doc_id", "text").unionByName(more)
-    path = tokens.write_token_ids(every, str(tmp_path / "t"), docs_per_file=4)
+    path = tokens.write_token_ids(every, str(tmp_path / "t"), file_bytes=4000)
     tok = Tokenizer.from_file(tokens.default_tokenizer())
     want = sorted((-1 if r.doc_id is None else r.doc_id, tok.encode(r.text or "", add_special_tokens=False).ids + [1]) for r in every.collect())
     back = tokens.read_token_ids(spark, path, ("doc_id", "start", "ids")).collect()
@@ -167,6 +167,8 @@ def test_contamination(spark, docs, empty, monkeypatch):
         assert got[5].matches[0].n_words == 60 and got[5].matches[0].start == 30
         left = decontam.decontaminate(docs, items)
         assert left.columns == docs.columns and {r.doc_id for r in left.select("doc_id").collect()} == {0, 1, 2, 7, 8, 9, 10, 11, 12}
+        nameless = decontam.scan(docs, spark.createDataFrame([(None, SHARED)], "item_id long, text string")).filter("doc_id = 5").first()
+        assert nameless.n_hit == 60 and nameless["items"] == [] and nameless.matches[0].item_id is None
     assert decontam.scan(empty, items).count() == 0 and decontam.decontaminate(docs, items.limit(0)).count() == docs.count()
 
 
@@ -226,6 +228,73 @@ def test_wrapped_and_double_notices(spark):
     assert got == {0: [(0, "GPL-3.0")], 1: [(0, "LGPL-3.0")], 2: [(2, "BSD-3-Clause")], 3: [(0, "Apache-2.0"), (0, "MIT")], 4: [(0, "Apache-2.0"), (0, "MIT")], 5: [], 6: [(0, "GPL-3.0"), (0, "LGPL-3.0")], 7: [(0, "MIT"), (1, "MIT")], 8: [(0, "Proprietary")]}
 
 
+def test_many_documents_with_one_passage(spark, monkeypatch):
+    """Buckets without a repeat, and anchors dealt out by windows."""
+    d = spark.createDataFrame([(i, words(40, 50 + i) + " " + words(20, 49) + " " + words(40, 90 + i)) for i in range(12)], "doc_id long, text string")
+    for many in (windows.MANY, 2):
+        monkeypatch.setattr(windows, "MANY", many)
+        for n, op, split, join in ((60, suffixdedup, lambda t: list(t.encode()), bytes), (12, substring, str.split, lambda w: " ".join(w).encode())):
+            docs = [(r.doc_id, split(r.text)) for r in d.collect()]
+            seen = Counter(tuple(w[i : i + n]) for _, w in docs for i in range(len(w) - n + 1))
+            want = set()
+            for k, w in docs:
+                gone = {j for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}
+                want.add((k, len(gone), hashlib.sha256(join(x for j, x in enumerate(w) if j not in gone)).hexdigest()))
+            assert {(r.doc_id, r.n_removed, r.kept_sha256) for r in op.strip_repeats(d, n).collect()} == want
+            assert any(g for _, g, _ in want)
+    for op in (suffixdedup, substring):  # as registered: nothing repeats at full length or all of it does
+        assert op.strip_repeats(d).count() == 12
+
+
+def test_hot_keys_of_a_join_are_dealt(spark, monkeypatch):
+    from dnsloom.llm import common
+
+    monkeypatch.setattr(common, "HOT", 10)
+    many = spark.range(500).select((F.col("id") % 7 * (F.col("id") % 3)).alias("h"), "id")
+    few = many.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).filter("h <> 4").withColumn("x", F.col("h") + 1)
+    got = Counter(tuple(r) for r in common.hot_join(many, few, ["h"]).collect())
+    assert got == Counter((r.h, r.id, r.h + 1) for r in many.collect() if r.h != 4)
+
+
+def test_columns_with_the_measures_names_stay(spark):
+    d = spark.createDataFrame([(i, words(i, i), "s", 777, "t", 0.5) for i in range(1, 30)], "doc_id long, text string, source string, size long, target string, copies double")
+    mixed = mixing.mix(d)
+    assert mixed.columns[6:] == ["mix_size", "source_size", "mix_target", "mix_copies"]
+    out = mixing.emit(mixed, d.columns)
+    assert out.columns == d.columns and {(r["size"], r.target, r.copies) for r in out.collect()} == {(777, "t", 0.5)}
+    assert out.count() == mixed.agg(F.sum("mix_copies")).first()[0] > 0
+
+
+def test_items_cut_into_pieces_and_blocks(spark, monkeypatch):
+    item = words(300, 77)
+    w = item.split()
+    d = spark.createDataFrame([(1, "x y " + item + " z"), (2, " ".join(w[40:70])), (3, " ".join(w[40:52]))], "doc_id long, text string")
+    items = spark.createDataFrame([("a", item)], "item_id string, text string")
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 30)
+    for block in (10_000, 70):
+        monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+        got = {r.doc_id: r for r in decontam.scan(d, items).collect()}
+        assert got[1].n_hit == 300 and [(m.start, m.item_start, m.n_words) for m in got[1].matches] == [(2, 0, 300)]
+        assert got[2].n_hit == 30 and [(m.start, m.item_start, m.n_words) for m in got[2].matches] == [(0, 40, 30)] and got[3].n_hit == 0
+    with pytest.raises(ValueError):
+        decontam.TestSuffixes([("b", [b"%d" % i for i in range(1 << 21)], 0)], 1)
+
+
+def test_nearest_with_extremes_repeats_and_long_vectors(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e190]), (2, [5e-324, 0.0]), (3, [1e-200, 0.0]), (3, [1e-200, 0.0]), (3, [-1e300, 1e300]), (4, [0.5, 0.5]), (10, [0.5, 0.5])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(v, v.filter("vec_id % 10 = 0 or vec_id = 2"), 4, query_block=2, vector_block=3).collect()}
+    assert [got[0, k][0] for k in (1, 2, 3, 4)] == [1, 2, 3, 3] and got[0, 1][1] == pytest.approx(1e190) and got[0, 3][1] == 1e200
+    assert [got[2, k] for k in (1, 2)] == [(3, 1e-200), (3, 1e-200)] and got[2, 3][0] == 4
+    assert got[10, 1] == (4, 0.0)
+    r = np.random.default_rng(2)
+    x = r.normal(size=(50, 2300))
+    wide = spark.createDataFrame([(i, [float(c) for c in z]) for i, z in enumerate(x)], "vec_id long, embedding array<double>")
+    for row in ann.nearest(wide, wide.filter("vec_id < 3"), 5, vector_block=16).collect():
+        d = sorted((float(np.sqrt(((x[row.query_id] - x[j]) ** 2).sum())), j) for j in range(50) if j != row.query_id)
+        assert d[row["rank"] - 1][1] == row.vec_id
+
+
 def test_empty_text_before_a_long_one_is_cut(monkeypatch):
     monkeypatch.setattr(windows, "SEGMENT", 100)
     monkeypatch.setattr(windows, "_PLACE", np.uint64(255))
