@@ -27,10 +27,11 @@ def ipv6_hex(ip: Column) -> Column:
 
 
 def is_private_ip(ip: Column) -> Column:
-    """v4: this-network, private, loopback, shared, link-local; v6: loopback, unique-local, link-local."""
+    """v4: this-network, private, loopback, shared, link-local; v6: loopback, unique-local, link-local. What is no address is not private."""
     p = F.split(ip, r"\.")
     a, b = F.get(p, F.lit(0)).try_cast("int"), F.get(p, F.lit(1)).try_cast("int")
-    v4 = a.isin(0, 10, 127) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
+    sound = ipv4_number(ip).isNotNull() & F.forall(p, lambda x: x.try_cast("int") <= 255)
+    v4 = sound & (a.isin(0, 10, 127) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)))
     h = ipv6_hex(ip)
     v6 = (h == "0" * 31 + "1") | h.rlike("^f[cd]") | h.rlike("^fe[89ab]")
     return F.coalesce(F.when(F.contains(ip, F.lit(":")), v6).otherwise(v4), F.lit(False))

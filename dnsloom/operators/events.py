@@ -63,7 +63,7 @@ def event_records(events: DataFrame) -> DataFrame:
 def search_events(
     events: DataFrame, *, since=None, until=None, client: str | None = None, action: str | None = None, flags: int | None = None, domain: str | None = None, limit: int | None = 200
 ) -> DataFrame:
-    """Newest first; filters combine. ``flags``: all of these bits (unknown ones are left out; events without flags never match); ``domain``: part of the name or of its hexadecimal hash, in either case. 1000 rows at most."""
+    """Newest first; filters combine. ``action``: its exact name; ``flags``: all of these bits (unknown ones are left out; events without flags never match); ``domain``: part of the name or of its hexadecimal hash, in either case. 1000 rows at most."""
     tests = []
     if since is not None:
         tests.append(F.col("ts") >= F.lit(since))
@@ -74,7 +74,7 @@ def search_events(
             raise ValueError(f"not an IP address: {client}")
         tests.append(F.col("client_ip") == client)
     if action is not None:
-        tests.append(F.lower("action") == action.lower())
+        tests.append(F.col("action") == action)
     if flags is not None:
         required = flags & sum(1 << b for b, *_ in REASONS)
         tests.append(F.col("flags").isNotNull() & (F.col("flags").bitwiseAND(required) == required))

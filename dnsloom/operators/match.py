@@ -8,14 +8,18 @@ shuffle both sides of large ones.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dnsloom.config import NRD, WHITELIST, WILDCARD
 from dnsloom.functions.names import ancestors
+from dnsloom.sources.tables import stored
 
-#: Patterns of the regex pool that one nested-loop join takes.
-POOL = 1000
+#: Patterns joined into one alternation, and patterns that are written into the plan as literals at most.
+POOL, LITERAL = 1000, 20_000
 #: Back-references, named groups, open quotes and comments.
 ALONE = r"\\[1-9kQ]|\(\?<[A-Za-z]|\(\?[A-Za-z-]*x"
 
@@ -46,12 +50,15 @@ def parent_flags(domains: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def glob_hits(domains: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct domains that a blocking glob matches. Globs with a plain last label meet domains of that label only."""
+    """Distinct domains that a blocking glob matches. Globs with a plain last label meet domains of that label only, as one
+    alternation per label (or per ``POOL`` of them); domains go by label, so a pattern is compiled once for many."""
     globs = rules.filter((F.col("kind") == "glob") & (F.col("flags").bitwiseAND(WHITELIST) == 0)).select("value").distinct()
     last = lambda c: F.element_at(F.split(c, r"\."), -1)
     globs = globs.select(glob_to_regex(F.col("value")).alias("pattern"), last(F.col("value")).alias("last"))
     keyed = domains.withColumn("last", last(F.col("domain")))
-    plain = keyed.join(globs.filter(~F.col("last").contains("*")), "last").filter("domain rlike pattern").select("domain")
+    own = globs.filter(~F.col("last").contains("*")).withColumn("slice", F.floor(F.row_number().over(Window.partitionBy("last").orderBy("pattern")) / POOL))
+    own = own.groupBy("last", "slice").agg(F.array_join(F.collect_list("pattern"), "|").alias("any_of"))
+    plain = keyed.sortWithinPartitions("last").join(own, "last").filter("domain rlike any_of").select("domain")
     starred = globs.filter(F.col("last").contains("*")).select("pattern")
     return plain.unionByName(_pool_hits(domains, starred)).distinct()
 
@@ -65,8 +72,15 @@ def regex_hits(domains: DataFrame, rules: DataFrame) -> DataFrame:
 def _pool_hits(domains: DataFrame, pool: DataFrame) -> DataFrame:
     """A pool without a key meets every domain; it goes in slices of a bounded number of patterns, joined into one alternation each.
 
-    Patterns that others would change, or that would change others (``ALONE``), stay by themselves.
+    Patterns that others would change, or that would change others (``ALONE``), stay by themselves. Up to ``LITERAL``
+    patterns are literals of a filter, compiled once per task; a larger pool is a table that domains meet in a join.
     """
+    listed = [r[0] for r in pool.distinct().orderBy("pattern").limit(LITERAL + 1).collect()]
+    if len(listed) <= LITERAL:
+        alone = [p for p in listed if re.search(ALONE, p)]
+        rest = [f"(?:{p})" for p in listed if not re.search(ALONE, p)]
+        every = alone + ["|".join(rest[i : i + POOL]) for i in range(0, len(rest), POOL)]
+        return domains.select("domain").filter(reduce(lambda a, p: a | F.col("domain").rlike(p), every, F.lit(False)))
     slices = pool.distinct().withColumn("slice", F.pmod(F.xxhash64("pattern"), F.lit(max(1, -(-pool.count() // POOL)))))
     slices = slices.withColumn("own", F.when(F.col("pattern").rlike(ALONE), F.col("pattern")))
     together = F.array_join(F.transform(F.collect_list("pattern"), lambda p: F.concat(F.lit("(?:"), p, F.lit(")"))), "|")
@@ -81,7 +95,7 @@ def matches(domains: DataFrame, rules: DataFrame, *, match_parents: bool = False
     the parents asked. ``match_parents`` lets a static block on a parent hold
     for its children too.
     """
-    distinct = domains.select("domain").distinct()
+    distinct = stored(domains.select("domain").distinct(), "domains")
     hit = lambda df, name: df.select("domain", F.lit(True).alias(name))
     d = exact_flags(distinct, rules).join(parent_flags(distinct, rules), "domain", "left")
     d = d.join(hit(glob_hits(distinct, rules), "glob"), "domain", "left").join(hit(regex_hits(distinct, rules), "regex"), "domain", "left")

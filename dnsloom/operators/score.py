@@ -46,11 +46,12 @@ def domain_score(d: Column, is_nrd: Column, cfg: EngineConfig) -> Column:
     rows = [
         (F.octet_length(d) > cfg.long_domain_bytes, F.lit(3), "INVALID_STRUCTURE"),
         (depth(d) >= cfg.deep_dots, F.lit(3), "INVALID_STRUCTURE"),
-        (odd_tld, F.when(keyword, 10).otherwise(3), "TLD_EXCLUDED"),
+        (odd_tld & keyword, F.lit(10), "BANNED_KEYWORD"),
+        (odd_tld & ~keyword, F.lit(3), "TLD_EXCLUDED"),
         (has_idn(d), F.lit(6), "SUSPICIOUS_IDN"),
         (is_nrd, F.lit(5), "NRD_LIST"),
         (long_sld & (entropy_fast(s) > cfg.entropy_threshold + 1e-9), F.lit(4), "HIGH_ENTROPY"),
-        (long_sld & consonant_suspicious(s, cfg), F.lit(4), "LEXICAL_ANALYSIS"),
+        (long_sld & consonant_suspicious(s, cfg), F.lit(3), "LEXICAL_ANALYSIS"),
     ]
     return fold(nothing(), signals(rows), cfg.block_at)
 
@@ -67,9 +68,9 @@ def answer_signals(cfg: EngineConfig, cloaked: Column) -> list[Signal]:
     """In order; rebinding, networks and cloaking end the fold."""
     ips = F.concat("a", "aaaa")
     return [
-        (F.size("a") + F.size("aaaa") + F.size("txt") + F.size("cname") > cfg.max_answers, F.lit(2), "SUSPICIOUS"),
+        (F.size("a") + F.size("aaaa") + F.size("txt") + F.size("cname") > cfg.max_answers, F.lit(2), "INVALID_STRUCTURE"),
         (F.col("min_ttl") < cfg.low_ttl, F.lit(2), "LOW_TTL"),
-        (F.exists("txt", lambda x: F.octet_length(x) > cfg.long_txt_bytes), F.lit(3), "SUSPICIOUS"),
+        (F.exists("txt", lambda x: F.octet_length(x) > cfg.long_txt_bytes), F.lit(3), "INVALID_STRUCTURE"),
         (F.exists(ips, is_private_ip), F.lit(10), "DNS_REBINDING"),
         (F.exists(ips, lambda ip: in_networks(ip, cfg.blocked_networks)), F.lit(10), "ASN_BLOCKED"),
         (cloaked, F.lit(10), "CNAME_CLOAKING"),

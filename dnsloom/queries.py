@@ -160,7 +160,7 @@ def labelled(spark, d: str) -> DataFrame:
 
 
 def search(spark, d: str) -> DataFrame:
-    return ev.search_events(fx.dns_events(spark, d), action="blocked", flags=0b10110, domain="EXAMPLE", limit=5000)
+    return ev.search_events(fx.dns_events(spark, d), action="Blocked", flags=0b10110, domain="EXAMPLE", limit=5000)
 
 
 def talker_table(spark, d: str) -> DataFrame:

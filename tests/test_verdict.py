@@ -1,8 +1,10 @@
 """Scores, resolution and verdicts on hand-made queries."""
 
+from pyspark.sql import functions as F
+
 from dnsloom.config import EngineConfig
 from dnsloom.operators import events as ev
-from dnsloom.operators import rules
+from dnsloom.operators import rules, score
 from dnsloom.plans.verdict import verdict
 from dnsloom.sources import lists
 from dnsloom.sources.tables import stored
@@ -36,11 +38,42 @@ def test_answers_raise_the_score(spark):
     assert (got[0].action, got[0].reasons, got[0].pass_action) == ("Blocked", "DNS_REBINDING", "Allowed")
     assert (got[1].action, got[1].total) == ("Proxied", 2)
     assert (got[2].action, got[2].reasons) == ("Blocked", "CNAME_CLOAKING")
-    assert (got[3].action, got[3].total, got[3].reasons) == ("Suspicious", 5, "LOW_TTL,SUSPICIOUS")
-    assert (got[4].total, got[4].reasons) == (2, "SUSPICIOUS")
+    assert (got[3].action, got[3].total, got[3].reasons) == ("Suspicious", 5, "LOW_TTL,INVALID_STRUCTURE")
+    assert (got[4].total, got[4].reasons) == (2, "INVALID_STRUCTURE")
     assert got[5].reason == "STATIC_BLACKLIST"
 
 
+def test_points_and_reasons_of_domains(spark):
+    """Worked by hand: long name 3, five dots 3, suspicious TLD 3 or 10 with a keyword, IDN 6, entropy 4, consonants 3."""
+    long_name = "a" * 61 + ".com"
+    want = {
+        "example.com": (0, ""),
+        long_name: (3, "INVALID_STRUCTURE"),
+        "a.b.c.d.e.com": (3, "INVALID_STRUCTURE"),
+        "quiet.biz": (3, "TLD_EXCLUDED"),
+        "play-casino.biz": (10, "BANNED_KEYWORD"),
+        "xn--pple-43d.com": (6, "SUSPICIOUS_IDN"),
+        "bcdfghjkl.com": (3, "LEXICAL_ANALYSIS"),
+        "a1b2c3d4e5f6g7h8i9j0.com": (4, "HIGH_ENTROPY"),
+        "q.xz.com": (0, ""),
+        "bcdfghjkl.biz": (6, "TLD_EXCLUDED,LEXICAL_ANALYSIS"),
+    }
+    d = spark.createDataFrame([(x,) for x in want], "domain string")
+    s = d.select("domain", score.domain_score(F.col("domain"), F.lit(False), CFG).alias("s")).collect()
+    got = {r.domain: (r.s.total, ",".join(r.s.reasons)) for r in s}
+    for name in ("example.com", long_name, "a.b.c.d.e.com", "quiet.biz", "play-casino.biz", "bcdfghjkl.com", "q.xz.com", "bcdfghjkl.biz"):
+        assert got[name] == want[name], name
+    assert got["xn--pple-43d.com"][1].startswith("SUSPICIOUS_IDN") and got["xn--pple-43d.com"][0] >= 6
+    assert got["a1b2c3d4e5f6g7h8i9j0.com"][1].startswith("HIGH_ENTROPY")
+    fresh = d.filter("domain = 'example.com'").select(score.domain_score(F.col("domain"), F.lit(True), CFG).alias("s")).first().s
+    assert (fresh.total, fresh.reasons) == (5, ["NRD_LIST"])
+
+
+def test_first_reason_gives_the_flag(spark):
+    got = run(spark, [("calm.com", 1)], [(0, "TXT", "A" * 129, 60), *[(0, "A", f"8.8.4.{i}", 60) for i in range(11)]])[0]
+    assert (got.action, got.total, got.reasons, got.flags) == ("Suspicious", 5, "INVALID_STRUCTURE,INVALID_STRUCTURE", 1 << 5)
+
+
 def test_counters_ties_and_empty(spark):
     e = spark.createDataFrame([(1, "c", "d", "Blocked", 0b101), (2, "c", "d", "Allowed", None)], "event_id long, client_ip string, domain string, action string, flags int").selectExpr("*", "timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,event_id*4000) as ts")
     assert ev.top_filter(e).first().flag == "HIGH_ENTROPY"
@@ -64,3 +97,4 @@ def test_search_asks_for_all_flags(spark):
     e = spark.createDataFrame(rows, "event_id long, client_ip string, domain string, action string, flags int").selectExpr("*", "timestamp'2024-01-01' as ts")
     found = lambda f: sorted(r.event_id for r in ev.search_events(e, flags=f).collect())
     assert found(0b101) == [3, 4] and found(0) == [0, 1, 2, 3, 4] and found(0b100) == [2, 3, 4]
+    assert ev.search_events(e, action="blocked").count() == 0 and ev.search_events(e, action="Blocked").count() == 6
