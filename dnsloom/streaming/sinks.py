@@ -4,19 +4,41 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dnsloom.sources.tables import work_dir
 
 
+def each(spark, df: DataFrame, work: Callable[[DataFrame, int], DataFrame], folder: str) -> None:
+    """Runs ``df`` until its input is read, ``work`` over every batch; results go below ``folder``/out, a folder per batch."""
+    writer = df.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, n: work(batch, n).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).start().awaitTermination()
+
+
+def read_or_empty(spark, schema: StructType, path: str) -> DataFrame:
+    """The rows below ``path``; none where nothing was written."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
 def drain(spark, df: DataFrame, mode: str) -> DataFrame:
-    """Runs ``df`` until its input is read. Append: all rows written; complete: the last result. Both as Parquet in the shared folder."""
+    """Runs ``df`` until its input is read. Append: all rows written; complete: the last result; update: every row with its
+    batch as ``batch_id``. As Parquet in the shared folder; no rows without a batch."""
     folder = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = df.schema
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
         return spark.read.schema(schema).parquet(f"{folder}/out")
+    if mode == "update":
+        each(spark, df, lambda batch, n: batch.withColumn("batch_id", F.lit(n).cast("long")), folder)
+        return read_or_empty(spark, schema.add("batch_id", "long"), f"{folder}/out")
     last = [-1]
 
     def write(batch: DataFrame, n: int) -> None:
@@ -24,4 +46,4 @@ def drain(spark, df: DataFrame, mode: str) -> DataFrame:
         last[0] = n
 
     writer.foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/out/{last[0]}")
+    return spark.read.schema(schema).parquet(f"{folder}/out/{last[0]}") if last[0] >= 0 else spark.createDataFrame([], schema)

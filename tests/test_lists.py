@@ -52,6 +52,24 @@ def test_prune_and_consolidate(spark):
     assert {r.value: r.source for r in rules.consolidate_exact(parsed(spark), whitelist_wins=True).collect()}["safe.example"] == "w"
 
 
+def test_lists_of_one_file_name(spark, tmp_path):
+    for i, folder in enumerate(["a b", "c%d", "e"]):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "hosts.txt").write_text("".join(f"{i}-{j}\n" for j in range(5)))
+    paths = [str(tmp_path / "e" / "hosts.txt"), str(tmp_path / "a b" / "hosts.txt"), str(tmp_path / "c%d")]
+    got = lists.read_lists(spark, paths, first_order=7).collect()
+    assert sorted((r.load_order, r.line_no, r.line) for r in got) == sorted((7 + k, j + 1, f"{i}-{j}") for k, i in enumerate((2, 0, 1)) for j in range(5))
+
+
+def test_pools_of_both_kinds_agree(spark, monkeypatch):
+    d = spark.createDataFrame([(x,) for x in ("ads1.x.net", "b.x.net", "aa.q", "zz.q", "m.io")], "domain string")
+    r = spark.createDataFrame([("regex", p, 4) for p in (r"^ads[0-9]+\.", r"(.)\1\.q$", "io$")] + [("glob", g, 2) for g in ("b*.x.net", "*z.q", "m.*")], "kind string, value string, flags int")
+    want = [{"ads1.x.net", "aa.q", "zz.q", "m.io"}, {"b.x.net", "zz.q", "m.io"}]
+    for most in (20_000, 0):
+        monkeypatch.setattr(match, "LITERAL", most)
+        assert [{x.domain for x in f(d, r).collect()} for f in (match.regex_hits, match.glob_hits)] == want
+
+
 def test_outputs(spark, tmp_path):
     opt = rules.classify_rules(parsed(spark))
     lines = [r.line for r in rules.network_list(opt, "adguard").collect()]
