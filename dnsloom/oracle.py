@@ -123,8 +123,8 @@ SIGNALS = f"""
 sg AS (SELECT domain, o, points, reason FROM (
  SELECT m.domain, unnest([1, 2, 3, 4, 5, 6, 7]) AS o,
   unnest([strlen(m.domain) > 60, len(m.p) - 1 >= 5, lower(m.p[-1]) IN ('biz', 'xyz'), {_IDN.replace('domain', 'm.domain')}, is_nrd, coalesce(strlen(s) >= 8 AND e > 4.0 + 1e-9, false), coalesce(strlen(s) >= 8 AND cs, false)]) AS hit,
-  unnest([3, 3, CASE WHEN keyword IS NOT NULL THEN 10 ELSE 3 END, 6, 5, 4, 4]) AS points,
-  unnest(['INVALID_STRUCTURE', 'INVALID_STRUCTURE', 'TLD_EXCLUDED', 'SUSPICIOUS_IDN', 'NRD_LIST', 'HIGH_ENTROPY', 'LEXICAL_ANALYSIS']) AS reason
+  unnest([3, 3, CASE WHEN keyword IS NOT NULL THEN 10 ELSE 3 END, 6, 5, 4, 3]) AS points,
+  unnest(['INVALID_STRUCTURE', 'INVALID_STRUCTURE', CASE WHEN keyword IS NOT NULL THEN 'BANNED_KEYWORD' ELSE 'TLD_EXCLUDED' END, 'SUSPICIOUS_IDN', 'NRD_LIST', 'HIGH_ENTROPY', 'LEXICAL_ANALYSIS']) AS reason
  FROM mt m JOIN fd ON fd.domain = m.domain) WHERE hit)"""
 DSCORE = SIGNALS + "," + _fold("sg", "domain", "0", "''").replace("fa AS", "da AS").replace("FROM fa", "FROM da").replace("fb AS", "db AS").replace("FROM fb", "FROM db").replace("fc AS", "dc AS") + ", ds AS (SELECT mt.domain, coalesce(added, 0) AS total, coalesce(reasons, '') AS reasons FROM mt LEFT JOIN dc ON dc.domain = mt.domain)"
 CLOAK = """
@@ -138,7 +138,7 @@ INSPECT = f"""
 ins AS (SELECT event_id, count(*) FILTER (rtype IN ('A', 'AAAA', 'TXT', 'CNAME')) AS n, min(ttl) AS min_ttl, coalesce(bool_or(strlen(rdata) > 128) FILTER (rtype = 'TXT'), false) AS long_txt,
   coalesce(bool_or({_PRIVATE}) FILTER (rtype IN ('A', 'AAAA')), false) AS priv, coalesce(bool_or({_NET}) FILTER (rtype IN ('A', 'AAAA')), false) AS net FROM answers GROUP BY event_id),
 ag AS (SELECT event_id, o, points, reason FROM (SELECT i.event_id, unnest([1, 2, 3, 4, 5, 6]) AS o, unnest([n > 10, min_ttl < 10, long_txt, priv, net, ck.event_id IS NOT NULL]) AS hit, unnest([2, 2, 3, 10, 10, 10]) AS points,
-  unnest(['SUSPICIOUS', 'LOW_TTL', 'SUSPICIOUS', 'DNS_REBINDING', 'ASN_BLOCKED', 'CNAME_CLOAKING']) AS reason FROM ins i LEFT JOIN ck ON ck.event_id = i.event_id) WHERE hit)"""
+  unnest(['INVALID_STRUCTURE', 'LOW_TTL', 'INVALID_STRUCTURE', 'DNS_REBINDING', 'ASN_BLOCKED', 'CNAME_CLOAKING']) AS reason FROM ins i LEFT JOIN ck ON ck.event_id = i.event_id) WHERE hit)"""
 _STOPS = "'DNS_REBINDING', 'ASN_BLOCKED', 'CNAME_CLOAKING'"
 RESOLVE = f"""
 rs AS (SELECT mt.domain, whitelisted, rule_source,
@@ -200,7 +200,7 @@ def oracle_sql() -> dict[str, str]:
         "top_domains": b + "SELECT domain, count(*) AS hits FROM base GROUP BY domain ORDER BY hits DESC, domain LIMIT 20",
         "top_clients": b + "SELECT client_ip, count(*) AS hits FROM base GROUP BY client_ip ORDER BY hits DESC, client_ip LIMIT 20",
         "event_records": b + f"SELECT {rec} FROM base",
-        "search_events": b + f"SELECT {rec} FROM base WHERE action = 'Blocked' AND flags & 22 <> 0 AND contains(lower(domain), 'example') {newest} LIMIT 1000",
+        "search_events": b + f"SELECT {rec} FROM base WHERE action = 'Blocked' AND flags & 22 = 22 AND contains(lower(domain), 'example') {newest} LIMIT 1000",
         "flag_distribution": b + f"SELECT {_FLAG_NAME}[bit + 1] AS flag, hits, round(100.0::DOUBLE * hits / sum(hits) OVER (), 6) AS pct FROM (SELECT bit, count(*) AS hits FROM ({flagged}) GROUP BY bit) ORDER BY hits DESC, bit LIMIT 8",
         "top_filter": b + f"SELECT {_FLAG_NAME}[bit + 1] AS flag, hits, {_pct('hits', 'n')} AS pct FROM (SELECT bit, count(*) AS hits, (SELECT {bad} FROM base) AS n FROM ({flagged}) GROUP BY bit) ORDER BY hits DESC, bit DESC LIMIT 1",
         "global_stats": b + f"SELECT count(DISTINCT client_ip) AS clients, count(*) AS total, {bad} AS blocked, {_pct(bad, 'count(*)')} AS blocked_pct, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::DOUBLE), 6) AS avg_qps FROM base",
