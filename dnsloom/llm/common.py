@@ -51,10 +51,10 @@ def scratch(spark: SparkSession):
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps that nothing refers to any more, before a large step writes its own."""
-    for _ in range(3):  # what the first round frees is found by the next; the deletion itself runs behind
+    for _ in range(2):  # what the first round frees is found by the next; the deletion itself runs behind
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(0.3)
 
 
 def settle(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:

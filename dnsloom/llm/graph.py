@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import hot_join, settle
+from dnsloom.llm.common import HOT, hot_join, settle
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _back(rows: DataFrame, low: DataFrame, most: int) -> DataFrame:
+    """Each node's minimum, joined to its rows; ``most`` is more than any node's rows."""
+    return rows.join(low.drop("_n"), "u") if most <= HOT else hot_join(rows, settle(low, "low"), ["u"])
+
+
+def _large_star(edges: DataFrame, most: int) -> DataFrame:
     """Every neighbour above a node is linked to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n"))
-    return hot_join(both, settle(low, "low"), ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _back(both, low, most).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, most: int) -> DataFrame:
     """Every neighbour below a node, and the node, are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = settle(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), "low")
-    moved = hot_join(down, low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+    moved = _back(down, low, most).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v")))
 
 
@@ -31,13 +36,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     single task's work.
     """
     now = settle(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    if now.isEmpty():
+    rows = now.count()
+    if not rows:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     state = None
     for _ in range(most_rounds):
-        now = settle(_small_star(_large_star(now)).filter("u <> v").distinct(), "edges")
+        now = settle(_small_star(_large_star(now, 2 * rows), 2 * rows).filter("u <> v").distinct(), "edges")
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = seen
+        state, rows = seen, seen[0]
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
