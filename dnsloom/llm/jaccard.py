@@ -51,6 +51,8 @@ CELL, CELL_TOKENS = 256, 512
 STRIP_CELLS, MEETS = 1 << 22, 64
 #: Equal sets that a task remembers, and the share of sets that tells frequent parts.
 SEEN, GLANCE = 1_000_000, 64
+#: Members of groups that are broadcast to find their texts, at most.
+LISTED = 2_000_000
 
 
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:
@@ -168,7 +170,9 @@ def _token_sets(members: DataFrame, docs: DataFrame, n: int, id_col: str, text_c
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), sets], ["g", "print", "tokens"])
 
     same = (F.col("t.tid") == F.col("m.tid")) & F.col("t.id").eqNullSafe(F.col("m.id"))
-    wanted = _texts(docs, id_col, text_col).alias("t").join(members.alias("m"), same).select("m.g", "m.print", "t.text")
+    # A list of at most LISTED rows (32 bytes each) goes to all tasks; beyond it, texts are shuffled to it.
+    few = F.broadcast(members) if members.limit(LISTED + 1).count() <= LISTED else members
+    wanted = _texts(docs, id_col, text_col).alias("t").join(few.alias("m"), same).select("m.g", "m.print", "t.text")
     return wanted.mapInArrow(run, "g long, print long, tokens binary").dropDuplicates(["print"])
 
 
@@ -351,7 +355,6 @@ def _classes(docs: DataFrame, n: int, sizes: Sizes, id_col: str, text_col: str,
     members = settle(members.select("g", "print", "id", "tid", "size", "need"), "members")
     sets = _token_sets(members.select("g", "print", "id", "tid"), docs, n, id_col, text_col)
     groups = settle(sets.repartition("g").sortWithinPartitions("g").mapInArrow(_pack, GROUP), "groups")
-    release(spark)
 
     # First every group by itself, and along each part the groups that follow one another.
     empty = [F.lit(None).cast("binary").alias(f"b_{c}") for c in groups.columns[1:]]
