@@ -34,7 +34,7 @@ from dnsloom.llm.common import flat_bytes, portions, settle
 #: Words of the benchmark that one pass holds at most (21 bits name each of them), and words of a piece of an item.
 BLOCK_WORDS, PIECE_WORDS = 1_000_000, 20_000
 #: Bytes of a shard.
-SHARD = 4 << 20
+SHARD = 2 << 20
 FOUND = "n_words long, n_hit long, items array<string>, matches array<struct<item_id: string, start: int, item_start: int, n_words: int>>"
 _FOUND = [
     ("n_words", pa.int64()),

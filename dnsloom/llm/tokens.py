@@ -273,7 +273,7 @@ def _encode(path: str, end_id: int):
         enc = encoder(path, end_id)
         for batch in batches:
             raw, at = flat_bytes(batch.column(1))
-            for a, b in portions(np.diff(at), 2 << 20):
+            for a, b in portions(np.diff(at), 512 << 10):
                 ids, ends = enc.batch(raw[at[a] : at[b]], at[a : b + 1] - at[a])
                 column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(np.diff(ends)), column], schema=schema)
