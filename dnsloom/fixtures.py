@@ -54,11 +54,18 @@ def dns_answers(spark, sf_dir: str) -> DataFrame:
         row(F.col("qtype") == 1, "A", a)
         .unionByName(row(F.col("qtype") == 28, "AAAA", F.when(k % 5 == 0, "fd00::1").otherwise("2606:4700::1111")))
         .unionByName(row(k % 13 == 0, "CNAME", F.when(k % 3 == 0, "Pixel.Tracker.net").otherwise("cdn.clean.example"), F.col("ttl") + 5))
-        .unionByName(row(F.col("qtype") == 16, "TXT", F.repeat(F.lit("A"), k * 2)))
+        .unionByName(row(F.col("qtype") == 16, "TXT", F.concat(F.repeat(F.lit("A"), k * 2), F.substr(F.md5(F.col("event_id").cast("string")), F.lit(1), k % 33))))
         .unionByName(many.select("event_id", "rtype", F.concat(F.lit("93.184.217."), F.col("x").cast("string")).alias("rdata"), "ttl"))
     )
 
 
+def dns_responses(spark, sf_dir: str) -> DataFrame:
+    """A response per event, a second later: event_id, ts, answers (array of rtype, rdata, ttl; may be empty)."""
+    rows = dns_answers(spark, sf_dir).groupBy("event_id").agg(F.collect_list(F.struct("rtype", "rdata", "ttl")).alias("answers"))
+    some = base(spark, sf_dir).select("event_id", (F.col("ts").cast("timestamp") + F.make_interval(secs=F.lit(1))).alias("ts")).join(rows, "event_id", "left")
+    return some.select("event_id", "ts", F.coalesce("answers", F.array().cast("array<struct<rtype:string,rdata:string,ttl:int>>")).alias("answers"))
+
+
 #: Twelve kinds of list lines by page; {S} is the dialect's text type.
 LINES = """
 SELECT concat('s', CAST(page_id % 5 AS {S})) AS source,

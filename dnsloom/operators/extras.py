@@ -83,6 +83,32 @@ def tld_trends(events: DataFrame) -> DataFrame:
     return events.groupBy(tld(F.col("domain")).alias("tld")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_blocked()).alias("blocked"))
 
 
+def top_words(events: DataFrame, n: int = 50, *, least: int = 3) -> DataFrame:
+    """Words (letter runs of ``least`` or more) of blocked names by blocked events; each distinct name is split once."""
+    per = events.filter(is_blocked()).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    found = per.select("n", F.explode(F.regexp_extract_all(F.lower("domain"), F.lit(f"([a-z]{{{least},}})"), F.lit(1))).alias("word"))
+    return found.groupBy("word").agg(F.sum("n").alias("hits")).orderBy(F.desc("hits"), "word").limit(n)
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """The event log as a table partitioned by day."""
+    events.withColumn("day", F.to_date("ts")).repartition("day").write.mode("append").partitionBy("day").parquet(path)
+
+
+def expire(spark, path: str, *, hours: int = 72) -> list[str]:
+    """Deletes days of a table of ``write_events`` that end over ``hours`` before its newest event; the rows of a day go at once. Returns the days."""
+    log = spark.read.parquet(path)
+    newest = log.agg(F.max("ts")).first()[0]
+    if newest is None:
+        return []
+    days = log.select("day").distinct().filter(F.date_add("day", 1).cast("timestamp") <= F.lit(newest).cast("timestamp") - F.make_interval(hours=F.lit(hours)))
+    gone = sorted(str(r[0]) for r in days.collect())  # a row per day
+    for day in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return gone
+
+
 def structure_stats(events: DataFrame) -> DataFrame:
     return events.groupBy(depth(F.col("domain")).alias("dots"), (F.floor(F.octet_length("domain") / 10) * 10).cast("long").alias("bytes_from")).agg(F.count(F.lit(1)).alias("n"))
 

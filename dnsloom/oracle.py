@@ -30,7 +30,7 @@ answers AS (
 SELECT event_id, 'A' AS rtype, CASE k % 11 WHEN 0 THEN concat('192.168.1.', k) WHEN 1 THEN concat('203.0.113.', k) ELSE concat('93.184.216.', k) END AS rdata, ttl FROM base WHERE qtype = 1
 UNION ALL SELECT event_id, 'AAAA', CASE k % 5 WHEN 0 THEN 'fd00::1' ELSE '2606:4700::1111' END, ttl FROM base WHERE qtype = 28
 UNION ALL SELECT event_id, 'CNAME', CASE k % 3 WHEN 0 THEN 'Pixel.Tracker.net' ELSE 'cdn.clean.example' END, ttl + 5 FROM base WHERE k % 13 = 0
-UNION ALL SELECT event_id, 'TXT', repeat('A', k * 2), ttl FROM base WHERE qtype = 16
+UNION ALL SELECT event_id, 'TXT', concat(repeat('A', k * 2), substr(md5(CAST(event_id AS VARCHAR)), 1, k % 33)), ttl FROM base WHERE qtype = 16
 UNION ALL SELECT event_id, 'A', concat('93.184.217.', x), ttl FROM base CROSS JOIN (SELECT unnest(generate_series(1,12)) AS x) s WHERE k % 17 = 0)"""
 _FLAG_NAME = "[" + ",".join(f"'{r[1]}'" for r in REASONS) + "]"
 _SHORT = "[" + ",".join(f"'{r[2]}'" for r in REASONS) + "]"
@@ -240,7 +240,7 @@ def oracle_sql() -> dict[str, str]:
         "source_effectiveness": _with(*_ALL, _fold("ag", "event_id", "(SELECT t0.total FROM base bb JOIN ds t0 ON t0.domain = bb.domain WHERE bb.event_id = s.event_id)", _STOPS), RESOLVE, VERDICT) + "SELECT rule_source AS source, count(*) AS blocks, count(DISTINCT domain) AS domains FROM vd WHERE reason = 'STATIC_BLACKLIST' GROUP BY 1",
         "nxdomain_hunting": b + "SELECT client_ip, max(n) AS most FROM (SELECT client_ip, count(*) OVER (PARTITION BY client_ip ORDER BY t RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS n FROM base WHERE action <> 'Allowed') GROUP BY client_ip HAVING max(n) >= 4",
         "tunneling": b + "SELECT * FROM (SELECT client_ip, array_to_string(p[greatest(len(p) - 1, 1):], '.') AS zone, (t // 86400) * 86400 AS bucket, count(DISTINCT domain) AS names, bool_or(len(list_filter(p, lambda x: strlen(x) > 60)) > 0) AS long_label FROM (SELECT *, string_split(domain, '.') AS p FROM base) GROUP BY ALL) WHERE names > 5 OR long_label",
-        "txt_entropy": _with(BASE, ANSWERS) + f"SELECT event_id, max(round(e, 6)) AS entropy, max(round(e, 6)) > -0.5 AS suspicious FROM (SELECT event_id, {_entropy('rdata')} AS e FROM answers WHERE rtype = 'TXT') GROUP BY event_id",
+        "txt_entropy": _with(BASE, ANSWERS) + f"SELECT event_id, max(round(e, 6)) AS entropy, max(round(e, 6)) > 1.5 AS suspicious FROM (SELECT event_id, {_entropy('rdata')} AS e FROM answers WHERE rtype = 'TXT') GROUP BY event_id",
         "tld_allow_only": b + "SELECT event_id, domain FROM base WHERE lower(string_split(domain, '.')[-1]) NOT IN ('com', 'net', 'example')",
         "client_acl": b + "SELECT event_id, client_ip FROM base WHERE NOT (client_ip LIKE '10.0.0.%' AND CAST(split_part(client_ip, '.', 4) AS INT) < 64)",
         "smart_idn": "SELECT doc_id, regexp_matches(text, '^[\\x00-\\x7F\\x{00C0}-\\x{024F}\\x{1E00}-\\x{1EFF}]*$') AS latin, regexp_matches(text, '^[\\x00-\\x7F\\x{00C0}-\\x{00FF}\\x{0152}\\x{0153}]*$') AS western FROM documents",
@@ -262,6 +262,20 @@ def oracle_sql() -> dict[str, str]:
         "stream_rolling": b + f"SELECT w AS begin, {counters} FROM (SELECT *, unnest([(t // 1800) * 1800, (t // 1800) * 1800 - 1800]) AS w FROM base) GROUP BY w",
         "stream_forward": b + "SELECT event_id, t || ' ' || client_ip || ' ' || action || ' ' || domain AS line FROM base WHERE action IN ('Blocked', 'HighlySuspicious')",
         "stream_top_domains": b + "SELECT domain, count(*) AS hits FROM base GROUP BY domain ORDER BY hits DESC, domain LIMIT 20",
+        "read_lists": _with(LISTS) + "SELECT load_order, row_number() OVER (PARTITION BY source ORDER BY line_no) AS line_no, line FROM ll",
+        "read_nrd": _with(LISTS) + "SELECT 'nrd' AS role, row_number() OVER (ORDER BY line_no) AS line_no, line FROM ll WHERE load_order = 1",
+        "domain_maps": _with(LISTS) + "SELECT DISTINCT value AS domain, true AS sound FROM rl WHERE kind = 'exact'",
+        "browser_file": _with(LISTS) + "SELECT value AS line FROM rl WHERE kind = 'browser'",
+        "lexical_hits": _with(BASE, DOMAINS, FEATURES) + "SELECT domain, lower(p[-1]) AS tld, keyword FROM ft WHERE lower(p[-1]) IN ('biz', 'xyz')",
+        "ngram_scores_2": _with(BASE, DOMAINS, _ngrams(2, -12.0), _scores(2, "regexp_replace(lower(name), '[^a-z]', '', 'g')", -10.0)) + "SELECT name, lang, round(score, 6) AS score FROM sc",
+        "ngram_scores_4": _with(BASE, DOMAINS, _ngrams(4, -12.0), _scores(4, "regexp_replace(lower(name), '[^a-z]', '', 'g')", -10.0)) + "SELECT name, lang, round(score, 6) AS score FROM sc",
+        "top_words": b + "SELECT word, count(*) AS hits FROM (SELECT unnest(regexp_extract_all(lower(domain), '[a-z]{3,}')) AS word FROM base WHERE bad) GROUP BY word ORDER BY hits DESC, word LIMIT 50",
+        "retention": b + "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT client_ip) AS clients FROM base GROUP BY 1 HAVING min(date_trunc('day', ts)) + INTERVAL 1 DAY > (SELECT max(ts) FROM base) - INTERVAL 72 HOUR",
+        "stream_json": b + f"SELECT event_id, domain, client_ip, action, flags, coalesce(array_to_string({_bits(_FLAG_NAME)}, ','), '') AS flags_labels FROM base",
+        "stream_refresh": b + "SELECT event_id, CASE WHEN domain LIKE '%.com' THEN domain END AS domain FROM base",
+        "stream_verdict": _with(*_ALL, _fold("ag", "event_id", "(SELECT t0.total FROM base bb JOIN ds t0 ON t0.domain = bb.domain WHERE bb.event_id = s.event_id)", _STOPS), RESOLVE, VERDICT) + "SELECT event_id, action, reason, flags, total FROM vd",
+        "stream_talkers": _with(BASE, TALK) + "SELECT client_ip, floor(epoch(first_seen))::BIGINT AS first, floor(epoch(last_seen))::BIGINT AS last, total, concat_ws(',', " + ", ".join(f"n_{a.lower()}" for a in ACTIONS) + ") AS actions, array_to_string(hits, ',') AS flag_hits, n_blocked + n_suspicious + n_highlysuspicious AS blocked FROM talk",
+        "stream_late": b + "SELECT (t // 3600) * 3600 AS bucket, count(*) AS total FROM base WHERE event_id % 2 = 0 OR make_timestamp(((t // 3600) * 3600 + 3600) * 1000000) > (SELECT max(ts) FILTER (event_id % 2 = 0) FROM base) - INTERVAL 10 MINUTE GROUP BY 1",
         "stream_flags": b + f"SELECT {_FLAG_NAME}[bit + 1] AS flag, count(*) AS hits FROM ({flagged}) GROUP BY bit",
     }
     return q

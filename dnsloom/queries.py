@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -14,8 +15,9 @@ from dnsloom.operators import events as ev
 from dnsloom.operators import extras, match, rules, score
 from dnsloom.plans import verdict as vd
 from dnsloom.sources import frames as fr
+from dnsloom.sources import dimensions, lists
 from dnsloom.sources.dimensions import domain_map
-from dnsloom.sources.tables import stored
+from dnsloom.sources.tables import stored, work_dir
 from dnsloom.streaming import streams
 
 CFG = EngineConfig()
@@ -260,6 +262,123 @@ def stream_flags(spark, d: str) -> DataFrame:
     return _drained(spark, streams.flag_counts_stream(_streamed(spark, d)), "complete")
 
 
+def _list_files(spark, d: str) -> list[str]:
+    """The lines of each source as a text file of its own, in line order."""
+    lines, root = stored(fx.list_lines(spark, d), "lines"), f"{work_dir(spark)}/lists-{uuid.uuid4().hex}"
+    paths = [f"{root}/{s}/list" for s in ("s0", "s1", "s2", "s3", "s4")]
+    for p in paths:
+        one = lines.filter(F.col("source") == p.split("/")[-2])
+        one.orderBy("line_no").select("line").coalesce(1).write.text(p)
+    return paths
+
+
+def read_lists(spark, d: str) -> DataFrame:
+    return lists.read_lists(spark, _list_files(spark, d)).select("load_order", "line_no", "line")
+
+
+def read_nrd(spark, d: str) -> DataFrame:
+    return lists.read_nrd(spark, _list_files(spark, d)[1]).select("role", "line_no", "line")
+
+
+def domain_maps(spark, d: str) -> DataFrame:
+    """Maps of two loads written and read back, the second over the first."""
+    parsed, root = _parsed(spark, d), f"{work_dir(spark)}/maps-{uuid.uuid4().hex}"
+    for name, some in (("a", "load_order < 3"), ("b", "load_order > 1")):
+        dimensions.write_domain_map(parsed.filter(some), f"{root}/{name}")
+    back = dimensions.load_domain_map(spark, f"{root}/a", f"{root}/b")
+    return back.select("domain", (F.col("domain_hash") == F.xxhash64("domain")).alias("sound"))
+
+
+def browser_file(spark, d: str) -> DataFrame:
+    path = f"{work_dir(spark)}/browser-{uuid.uuid4().hex}"
+    lists.write_browser_rules(_parsed(spark, d), path)
+    return lists.read_lists(spark, [path]).select("line")
+
+
+def lexical_hits(spark, d: str) -> DataFrame:
+    """Domains under a suspicious TLD, with the first keyword among their parts, by joins with the lexical tables."""
+    words, tlds = lexical.lexical_dims(spark, CFG)
+    odd = _domains(spark, d).withColumn("tld", names.tld(F.col("domain"))).join(tlds, "tld")
+    parts = odd.select("domain", F.posexplode(F.split(F.lower("domain"), "[.-]")).alias("at", "keyword")).join(words, "keyword")
+    first = parts.groupBy("domain").agg(F.min_by("keyword", "at").alias("keyword"))
+    return odd.join(first, "domain", "left").select("domain", "tld", "keyword")
+
+
+def _ngrams_external(spark, d: str, n: int) -> DataFrame:
+    model = lexical.ngram_train(spark.read.parquet(f"{d}/documents.parquet"), n, -12.0)
+    slds = _domains(spark, d).select(names.sld(F.col("domain")).alias("name")).filter("octet_length(name) >= 8")
+    return lexical.ngram_score_external(slds, model, n).withColumn("score", F.round("score", 6))
+
+
+def retention(spark, d: str) -> DataFrame:
+    """The event log by day, without the days that have expired, counted per day."""
+    path = f"{work_dir(spark)}/log-{uuid.uuid4().hex}"
+    extras.write_events(fx.dns_events(spark, d), path)
+    extras.expire(spark, path, hours=72)
+    return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("client_ip").alias("clients"))
+
+
+def _as_stream(spark, df: DataFrame, parts: int = 1) -> DataFrame:
+    """A table as a stream of files of ``parts`` folders, one file for each trigger."""
+    root = f"{work_dir(spark)}/source-{uuid.uuid4().hex}"
+    df.repartition(parts).write.parquet(root)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+def stream_json(spark, d: str) -> DataFrame:
+    t = _drained(spark, streams.event_stream_json(_streamed(spark, d)), "append")
+    field = lambda n: F.get_json_object("value", f"$.{n}").alias(n)
+    return t.select("event_id", field("domain"), field("client_ip"), field("action"), field("flags").cast("int").alias("flags"), field("flags_labels"))
+
+
+def stream_refresh(spark, d: str) -> DataFrame:
+    """Events named from a map that is read anew for each micro-batch."""
+    known = stored(dimensions.domain_map(fx.dns_events(spark, d).filter("domain like '%.com'")), "map")
+    hashed, out = _streamed(spark, d).withColumn("domain_hash", F.xxhash64("domain")), f"{work_dir(spark)}/refresh-{uuid.uuid4().hex}"
+    started = streams.enrich_stream(hashed, lambda: known, lambda t, n: t.write.mode("overwrite").parquet(f"{out}/out/batch={n}"))
+    started.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    t = spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/out")
+    return t.select("event_id", F.when(~F.col("domain").startswith("#"), F.col("domain")).alias("domain"))
+
+
+def stream_verdict(spark, d: str) -> DataFrame:
+    """Verdicts of queries and responses as two streams."""
+    from dnsloom.streaming.sinks import each, read_or_empty
+
+    rules_, root = compiled(spark, d), f"{work_dir(spark)}/verdicts-{uuid.uuid4().hex}"
+    typed = fx.dns_queries(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    both = streams.answered_stream(_as_stream(spark, typed), _as_stream(spark, fx.dns_responses(spark, d)))
+    keep = ("event_id", "action", "reason", "flags", "total")
+    each(spark, both, lambda batch, n: streams.verdicts_of_batch(batch, rules_, CFG).select(*keep), root, "append")
+    return read_or_empty(spark, verdicts(spark, d).select(*keep).schema, f"{root}/out")
+
+
+def stream_talkers(spark, d: str) -> DataFrame:
+    """Talkers kept as state over several micro-batches: the last word on each client."""
+    s = streams.talkers_stream(_as_stream(spark, _typed_events(spark, d), 3), idle_seconds=10**9, late="3650 days")
+    last = _drained(spark, s, "update").groupBy("client_ip").agg(F.max_by(F.struct("first_seen", "last_seen", "total", "actions", "flag_hits", "blocked"), "total").alias("x")).select("client_ip", "x.*")
+    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
+    return last.select("client_ip", F.unix_seconds("first_seen").alias("first"), F.unix_seconds("last_seen").alias("last"), "total", text("actions"), text("flag_hits"), "blocked")
+
+
+def _typed_events(spark, d: str) -> DataFrame:
+    return fx.dns_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream_late(spark, d: str) -> DataFrame:
+    """Hourly counts where odd events come in a second batch: those of windows that the watermark has passed are dropped."""
+    from dnsloom.streaming.sinks import each
+
+    events, root = stored(_typed_events(spark, d), "events"), f"{work_dir(spark)}/late-{uuid.uuid4().hex}"
+    out = f"{work_dir(spark)}/late-{uuid.uuid4().hex}"
+    for odd in (0, 1):
+        events.filter(F.col("event_id") % 2 == odd).coalesce(1).write.mode("append").parquet(root)
+        s = spark.readStream.schema(events.schema).parquet(root)
+        each(spark, streams.timeline_stream(s), lambda batch, n: batch.withColumn("batch_id", F.lit(n)), out)
+    t = spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/out")
+    return t.groupBy(F.unix_seconds("begin").alias("bucket")).agg(F.max("total").alias("total"))
+
+
 def queries() -> dict:
     q = {
         "timeline_1h": _events(ev.timeline, seconds=3600),
@@ -313,7 +432,7 @@ def queries() -> dict:
         "verdict": verdict_rows,
         "nxdomain_hunting": lambda s, d: extras.nxdomain_hunting(_failures(s, d), least=4, seconds=86400),
         "tunneling": lambda s, d: extras.tunneling(fx.dns_queries(s, d), most_names=5, seconds=86400),
-        "txt_entropy": lambda s, d: extras.txt_entropy(fx.dns_answers(s, d), -0.5),
+        "txt_entropy": lambda s, d: extras.txt_entropy(fx.dns_answers(s, d), 1.5),
         "tld_allow_only": lambda s, d: extras.tld_allow_only(fx.dns_queries(s, d), ["com", ".net", "example"]).select("event_id", "domain"),
         "client_acl": lambda s, d: extras.client_acl(fx.dns_queries(s, d), ["10.0.0.0/26"]).select("event_id", "client_ip"),
         "smart_idn": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", names.in_scripts(F.col("text"), ["latin"]).alias("latin"), names.in_scripts(F.col("text"), ["western_european"]).alias("western")),
@@ -337,5 +456,19 @@ def queries() -> dict:
         "stream_forward": stream_forward,
         "stream_top_domains": stream_top_domains,
         "stream_flags": stream_flags,
+        "read_lists": read_lists,
+        "read_nrd": read_nrd,
+        "domain_maps": domain_maps,
+        "browser_file": browser_file,
+        "lexical_hits": lexical_hits,
+        "ngram_scores_2": partial(_ngrams_external, n=2),
+        "ngram_scores_4": partial(_ngrams_external, n=4),
+        "top_words": _events(extras.top_words),
+        "retention": retention,
+        "stream_json": stream_json,
+        "stream_refresh": stream_refresh,
+        "stream_verdict": stream_verdict,
+        "stream_talkers": stream_talkers,
+        "stream_late": stream_late,
     }
     return q

@@ -13,9 +13,9 @@ from pyspark.sql.types import StructType
 from dnsloom.sources.tables import work_dir
 
 
-def each(spark, df: DataFrame, work: Callable[[DataFrame, int], DataFrame], folder: str) -> None:
+def each(spark, df: DataFrame, work: Callable[[DataFrame, int], DataFrame], folder: str, mode: str = "update") -> None:
     """Runs ``df`` until its input is read, ``work`` over every batch; results go below ``folder``/out, a folder per batch."""
-    writer = df.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     writer.foreachBatch(lambda batch, n: work(batch, n).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).start().awaitTermination()
 
 

@@ -52,27 +52,39 @@ def forward_stream(events: DataFrame, template: str | None = None, actions: Sequ
     return forward_lines(events, template, actions) if template else forward_json(events, actions)
 
 
+TALKER = "first_seen timestamp, last_seen timestamp, total long, actions array<long>, flag_hits array<long>"
+
+
 def talkers_stream(events: DataFrame, *, idle_seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
-    """Per client first and last seen, total and blocked events, updated as they come. A client without events for ``idle_seconds`` of event time is dropped with its counts."""
+    """Per client first and last seen, total, a count per action and per flag, blocked events, updated as they come.
+
+    A client without events for ``idle_seconds`` of event time is dropped with its counts. What a batch brings is counted
+    by Arrow columns; the state of a client is a row of 22 numbers, so it is bounded by the number of live clients.
+    """
+    bad = [a in BLOCKED_CLASS for a in ACTIONS]
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        first, last, total, bad = state.get if state.exists else (None, None, 0, 0)
+        first, last, total, actions, hits = state.get if state.exists else (None, None, 0, [0] * len(ACTIONS), [0] * len(REASONS))
+        actions, hits = list(actions), list(hits)
         for p in parts:
             lo, hi = p["ts"].min(), p["ts"].max()
             first = lo if first is None else min(first, lo)
             last = hi if last is None else max(last, hi)
             total += len(p)
-            bad += int(p["action"].isin(list(BLOCKED_CLASS)).sum())
-        state.update((first, last, total, bad))
+            flags = p["flags"].fillna(0).astype("int64")
+            actions = [n + int((p["action"] == a).sum()) for n, a in zip(actions, ACTIONS, strict=True)]
+            hits = [n + int((flags // (1 << r[0]) % 2).sum()) for n, r in zip(hits, REASONS, strict=True)]
+        state.update((first, last, total, actions, hits))
         state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"client_ip": [key[0]], "first_seen": [first], "last_seen": [last], "total": [total], "blocked": [bad]})
+        blocked = sum(n for n, b in zip(actions, bad, strict=True) if b)
+        yield pd.DataFrame({"client_ip": [key[0]], "first_seen": [first], "last_seen": [last], "total": [total], "actions": [actions], "flag_hits": [hits], "blocked": [blocked]})
 
-    marked = events.withWatermark("ts", late).select("client_ip", "ts", "action")
+    marked = events.withWatermark("ts", late).select("client_ip", "ts", "action", "flags")
     return marked.groupBy("client_ip").applyInPandasWithState(
-        step, "client_ip string, first_seen timestamp, last_seen timestamp, total long, blocked long", "first timestamp, last timestamp, total long, blocked long", "update", GroupStateTimeout.EventTimeTimeout
+        step, f"client_ip string, {TALKER}, blocked long", TALKER, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -86,11 +98,32 @@ def flag_counts_stream(events: DataFrame) -> DataFrame:
     return events.select(F.explode(bits).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def verdict_stream(queries: DataFrame, read_rules: Callable[[], DataFrame], read_answers: Callable[[], DataFrame], cfg: EngineConfig, write: Callable[[DataFrame, int], None]):
-    """Verdicts per micro-batch. Rules and answers are read anew for each, so reloaded lists take effect while the stream runs."""
+def answered_stream(queries: DataFrame, responses: DataFrame, *, within: str = "30 seconds", late: str = "10 minutes") -> DataFrame:
+    """Queries with the answers of their response (event_id, ts, answers): a stream-stream left join with a time bound, so
+    the state holds no more than what the watermarks leave open. A query without a response comes once its time is over."""
+    q = queries.withWatermark("ts", late).alias("q")
+    r = responses.withWatermark("ts", late).alias("r")
+    near = (F.col("r.event_id") == F.col("q.event_id")) & (F.col("r.ts") >= F.col("q.ts")) & (F.col("r.ts") <= F.col("q.ts") + F.expr(f"interval {within}"))
+    return q.join(r, near, "left").select("q.*", F.col("r.answers").alias("answers"))
+
+
+def verdicts_of_batch(batch: DataFrame, rules: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Verdicts of a batch of ``answered_stream``: rules and heuristics are a stream-static join, worked out per distinct domain of the batch."""
     from dnsloom.plans.verdict import verdict
 
-    return queries.writeStream.foreachBatch(lambda batch, n: write(verdict(batch, read_answers(), read_rules(), cfg), n))
+    batch.persist()
+    long = batch.select("event_id", F.explode("answers").alias("x")).select("event_id", "x.*")
+    return verdict(batch.drop("answers"), long, rules, cfg)
+
+
+def verdict_stream(queries: DataFrame, responses: DataFrame, read_rules: Callable[[], DataFrame], cfg: EngineConfig, write: Callable[[DataFrame, int], None]):
+    """Verdicts per micro-batch. Rules are read anew for each, so reloaded lists take effect while the stream runs."""
+
+    def work(batch: DataFrame, n: int) -> None:
+        write(verdicts_of_batch(batch, read_rules(), cfg), n)
+        batch.unpersist()
+
+    return answered_stream(queries, responses).writeStream.foreachBatch(work)
 
 
 def enrich_stream(events: DataFrame, read_map: Callable[[], DataFrame], write: Callable[[DataFrame, int], None]):
