@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: quality, near copies, benchmark passages, mixture, token files."""
+"""A training corpus from raw documents: quality, near copies, benchmark passages, mixture, token files.
+
+Null, empty and blank texts are documents without words: they keep whatever score an empty line gets, are near copies of
+nothing, hold no passage, and have size 0 in the mixture. Repeated rows are near copies of each other, so one stays. Null
+ids come last when one of a group is chosen and first among tokens. Very long texts are never cut. Columns of other names
+pass through every stage but the last. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -45,7 +51,7 @@ STAGES = [
     ("mixing sources", mixing_stage),
     ("token output", token_stage),
 ]
-#: A trained model and tokenizer files have no SQL. Tests hold operators against brute force, but of the pipeline as a whole only columns and row counts.
+#: A trained model and tokenizer files have no SQL. A test holds every stage, and the whole, against plain Python.
 ORACLE_SQL = None
 
 
