@@ -50,6 +50,14 @@ def stride_of(length: int) -> int:
     return max(g for g in range(1, 26) if length % g == 0)
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """Stable order of numbers from 0 to below 2^32, by 16 bits at a time (numpy sorts these by counting)."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    if x.max(initial=0) < 1 << 16:
+        return order
+    return order[np.argsort((x >> 16).astype(np.uint16)[order], kind="stable")]
+
+
 class Shard:
     """Suffixes of some pieces in order, and the transform: the symbol before each. END and START are 0."""
 
@@ -75,7 +83,7 @@ class Shard:
             after = rank[np.minimum(at + have * stride, last)]
             rank = np.unique(rank * (total + 1) + after, return_inverse=True)[1].astype(np.int64)
             have *= 2
-        order = np.argsort(rank, kind="stable")
+        order = _order(rank)
         self.suffix = order
         self.transform = before[order]
 
@@ -94,7 +102,7 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     index = np.arange(total)
     for h in range(1, depth + 1):
         symbol = dense[index]
-        order = np.argsort(symbol, kind="stable")
+        order = _order(symbol)
         interleave, passed, behind = interleave[order], symbol[order], block[order]
         edge = np.zeros(total, bool)
         edge[1:] = (passed[1:] != passed[:-1]) | ((behind[1:] != behind[:-1]) & (passed[1:] != start))
