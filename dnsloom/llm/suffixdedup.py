@@ -89,17 +89,18 @@ class Shard:
 
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merges the shards' transforms: the shards' suffixes (numbered through) in order of their first ``depth`` symbols, and each one's common prefix with the one before, in symbols."""
+    """Merges the shards' transforms: the shards' suffixes (numbered through) in order of their first ``depth`` symbols, and each one's common prefix with the one before, in symbols.
+    Positions have 32 bits: what meets here is one Arrow batch, below 2^31 bytes."""
     sizes = np.array([len(s.suffix) for s in shards])
     total = int(sizes.sum())
     dense = np.unique(np.concatenate([s.transform for s in shards]), return_inverse=True)[1].astype(np.int32)
     start = dense[np.flatnonzero(np.concatenate([s.transform for s in shards]) == 0)[0]] if total else 0
     interleave = np.repeat(np.arange(len(shards)), sizes).astype(np.uint16)
-    block = np.zeros(total, np.int64)
+    block = np.zeros(total, np.int32)
     common = np.full(total, depth, np.int32)
     if total:
         common[0] = 0
-    index = np.arange(total)
+    index = np.arange(total, dtype=np.int32)
     for h in range(1, depth + 1):
         symbol = dense[index]
         order = _order(symbol)
@@ -107,10 +108,10 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
         edge = np.zeros(total, bool)
         edge[1:] = (passed[1:] != passed[:-1]) | ((behind[1:] != behind[:-1]) & (passed[1:] != start))
         common[edge & (common == depth)] = h - 1
-        block = np.cumsum(edge)
+        block = np.cumsum(edge, dtype=np.int32)
         # The n-th suffix of a shard in the interleave is the n-th of the shard's own order.
-        index = np.empty(total, np.int64)
-        index[np.argsort(interleave, kind="stable")] = np.arange(total)
+        index = np.empty(total, np.int32)
+        index[np.argsort(interleave, kind="stable")] = np.arange(total, dtype=np.int32)
     return index, common
 
 
