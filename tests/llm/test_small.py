@@ -313,3 +313,11 @@ def test_empty_text_before_a_long_one_is_cut(monkeypatch):
     alone = found(np.array([0, len(sym)]))
     assert found(np.array([0, 0, len(sym)])) == alone == found(np.array([0, 0, 0, len(sym), len(sym)]))
     assert len({h for p, h in alone if p < 400} & {h for p, h in alone if p >= 437}) > 10
+
+
+def test_order_by_digits_is_the_stable_order():
+    rng = np.random.default_rng(3)
+    for top in (1, 50, 1 << 16, (1 << 16) + 1, 1 << 32):
+        for size in (0, 1, 5000):
+            x = rng.integers(0, top, size)
+            assert (suffixdedup._order(x) == np.argsort(x, kind="stable")).all()
