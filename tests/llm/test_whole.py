@@ -184,3 +184,30 @@ def test_layout_of_token_files(spark, small, tmp_path):
     back = {(r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.digest(spark, path).filter("doc_id is not null").collect()}
     rows = tokens.read_token_ids(spark, path).filter("doc_id is not null").collect()
     assert back == {(r.doc_id, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in rows}
+
+
+def test_suffix_query_against_brute_force_at_200_bytes(spark):
+    """The registered query on the smallest tables, whole texts, at its production length."""
+    import hashlib
+    from collections import Counter
+
+    import xxhash
+
+    from dnsloom.llm import suffixdedup
+
+    length, where = 200, "/root/testdata/sf0.001"
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{where}/documents.parquet").select("doc_id", "text").collect()}
+    windows = {i: [xxhash.xxh3_128_intdigest(t[a : a + length]) for a in range(len(t) - length + 1)] for i, t in docs.items()}
+    seen = Counter(h for w in windows.values() for h in w)
+    want = set()
+    for i, text in docs.items():
+        gone = bytearray(len(text))
+        for a, h in enumerate(windows[i]):
+            if seen[h] > 1:
+                gone[a : a + length] = b"\1" * length
+        kept = bytes(c for c, g in zip(text, gone, strict=True) if not g)
+        spans = sum(1 for a in range(len(gone)) if gone[a] and (a == 0 or not gone[a - 1]))
+        want.add((i, len(text), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    got = [tuple(r) for r in suffixdedup.op3_suffix_dedup(spark, where).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert len(got) == len(docs) and set(got) == want
+    assert sum(r[2] for r in got) > 0
