@@ -33,8 +33,8 @@ from dnsloom.llm.common import flat_bytes, scratch, settle
 from dnsloom.llm.windows import Tokens, cover, gram_hashes, repeated
 
 LENGTH, ANCHOR = 200, 64
-#: Bytes of a shard.
-SHARD = 192 << 10
+#: Bytes of a shard: what its sorts touch stays in a core's cache.
+SHARD = 64 << 10
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -51,11 +51,27 @@ def stride_of(length: int) -> int:
 
 
 def _order(x: np.ndarray) -> np.ndarray:
-    """Stable order of numbers from 0 to below 2^32, by 16 bits at a time (numpy sorts these by counting)."""
-    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
-    if x.max(initial=0) < 1 << 16:
-        return order
-    return order[np.argsort((x >> 16).astype(np.uint16)[order], kind="stable")]
+    """Stable order of numbers from 0 to below 2^32: each is packed with its place, and the words are sorted as plain numbers."""
+    packed = x.astype(np.uint64)
+    packed <<= np.uint64(32)
+    packed |= np.arange(len(x), dtype=np.uint64)
+    packed.sort()
+    packed &= np.uint64((1 << 32) - 1)
+    return packed.view(np.int64)
+
+
+def _ranks(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dense ranks of numbers, or of tuples of them (compared by the first, then the next), and an order by these."""
+    order = np.argsort(keys[0]) if len(keys) == 1 else _order(keys[-1])
+    for key in keys[-2::-1]:
+        order = order[_order(key[order])]
+    new = np.zeros(len(order), bool)
+    for key in keys:
+        of = key[order]
+        new[1:] |= of[1:] != of[:-1]
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32)
+    return rank, order
 
 
 class Shard:
@@ -78,12 +94,10 @@ class Shard:
         inner = self.place >= stride
         before[inner] = symbol[at[inner] - stride]
         # Ranks of 1, 2, 4, ... symbols.
-        rank, have = np.unique(symbol, return_inverse=True)[1].astype(np.int64), 1
+        (rank, order), have = _ranks(symbol), 1
         while have < depth:
-            after = rank[np.minimum(at + have * stride, last)]
-            rank = np.unique(rank * (total + 1) + after, return_inverse=True)[1].astype(np.int64)
+            rank, order = _ranks(rank, rank[np.minimum(at + have * stride, last)])
             have *= 2
-        order = _order(rank)
         self.suffix = order
         self.transform = before[order]
 
@@ -93,8 +107,8 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     Positions have 32 bits: what meets here is one Arrow batch, below 2^31 bytes."""
     sizes = np.array([len(s.suffix) for s in shards])
     total = int(sizes.sum())
-    dense = np.unique(np.concatenate([s.transform for s in shards]), return_inverse=True)[1].astype(np.int32)
-    start = dense[np.flatnonzero(np.concatenate([s.transform for s in shards]) == 0)[0]] if total else 0
+    dense = _ranks(np.concatenate([s.transform for s in shards]))[0]
+    start = 0  # the rank of START, which every piece has
     interleave = np.repeat(np.arange(len(shards)), sizes).astype(np.uint16)
     block = np.zeros(total, np.int32)
     common = np.full(total, depth, np.int32)
