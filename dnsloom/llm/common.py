@@ -82,20 +82,22 @@ def arrow_rows(spark: SparkSession, most: int):
 HOT, HOT_KEYS = 10_000, 100_000
 
 
-def hot_join(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of ``many`` rows with the ``few`` rows of each key. ``few`` has ``_n``, the rows that the key has among
-    ``many`` (null: not many). A hot key is dealt to several parts, and its few rows go to each; as a hot key has more
-    than 1 / ``HOT_KEYS`` of all rows, the list of hot keys that is broadcast holds at most that many."""
-    counts = few.select(*keys, "_n").filter(f"_n > {HOT}").distinct()
+def hot_join(many: DataFrame, few: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``many`` rows with the ``few`` rows of each key. ``counts`` (else ``few``) has ``_n``, the rows that a
+    key has among ``many``, once for each key. A hot key is dealt to several parts, and its few rows go to each; as a hot
+    key has more than 1 / ``HOT_KEYS`` of all rows, the list of hot keys that is broadcast holds at most that many."""
+    if counts is None:
+        counts, few = few.select(*keys, "_n").distinct(), few.drop("_n")
+    counts = counts.filter(f"_n > {HOT}")
     total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
     if not most:
-        return many.join(few.drop("_n"), keys)
+        return many.join(few, keys)
     each = max(HOT, total // HOT_KEYS)
-    parts = F.ceil(F.coalesce("_n", F.lit(1)) / each).cast("int")
-    hot = counts.filter(F.col("_n") > each).select(*keys, parts.alias("_parts"))
+    hot = F.broadcast(counts.filter(F.col("_n") > each).select(*keys, F.ceil(F.col("_n") / each).cast("int").alias("_parts")))
     part = F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("_parts")), F.lit(0)).cast("int")
-    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("_part", part).drop("_parts")
-    return dealt.join(few.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_n"), [*keys, "_part"]).drop("_part")
+    dealt = many.join(hot, keys, "left").withColumn("_part", part).drop("_parts")
+    parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    return dealt.join(few.join(hot, keys, "left").withColumn("_part", F.explode(parts)).drop("_parts"), [*keys, "_part"]).drop("_part")
 
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

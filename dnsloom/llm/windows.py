@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import HOT, M64, flat_bytes, hot_join, mix64, portions, settle, spread
+from dnsloom.llm.common import M64, flat_bytes, hot_join, mix64, portions, settle, spread
 
-#: Bytes of text that are worked on at once, and tokens of a text that are hashed at once.
-PORTION, SEGMENT = 2 << 20, 4 << 20
+#: Bytes of text that are worked on at once (arrays of so many words stay in a core's cache), and tokens of a text that are hashed at once.
+PORTION, SEGMENT = 256 << 10, 4 << 20
 #: Bytes of pieces in a bucket, about; different pieces of an anchor beyond which its windows are dealt out.
-BUCKET, MANY = 2 << 20, 4000
+BUCKET, MANY = 256 << 10, 4000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -68,13 +68,15 @@ def gram_hashes(sym: np.ndarray, k: int) -> np.ndarray:
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     """The smallest of the w values from each position on."""
-    out, size = x.copy(), 1
-    while size * 2 <= w:
-        out[: len(out) - size] = np.minimum(out[: len(out) - size], out[size:])
-        size *= 2
-    if rest := w - size:
-        out[: len(out) - rest] = np.minimum(out[: len(out) - rest], out[rest:])
-    return out
+    now, then = x.copy(), np.empty_like(x)
+    steps = [1 << i for i in range(w.bit_length() - 1)]
+    for size in [*steps, w - (1 << len(steps))]:
+        if size:
+            cut = max(0, len(x) - size)
+            np.minimum(now[:cut], now[size:], out=then[:cut])
+            then[cut:] = now[cut:]
+            now, then = then, now
+    return now
 
 
 def anchors(sym: np.ndarray, begin: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -212,8 +214,7 @@ def repeated(texts: DataFrame, cut: Tokens, length: int, k: int, kernel: Callabl
         again = wide.select("key", "wh", "h", "ph", "at").join(solved.filter("at = -1").select("key", F.col("ph").alias("wh"), "runs"), ["key", "wh"])
         marked = marked.unionByName(again.select("h", "ph", F.col("at").alias("shift"), "runs"))
     # A run's first and last window starts, within its piece, give a span of tokens of the text.
-    rows_of = once.select("h", "ph", "_n").filter(f"_n > {HOT}")
-    spans = hot_join(pieces.select("h", "ph", "tid", "start"), marked.join(rows_of, ["h", "ph"], "left"), ["h", "ph"])
+    spans = hot_join(pieces.select("h", "ph", "tid", "start"), marked, ["h", "ph"], once.select("h", "ph", "_n"))
     pair = F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda i: F.struct((F.col("start") + F.col("shift") + F.get("runs", i)).alias("a"), (F.col("start") + F.col("shift") + F.get("runs", i + 1) + length).alias("b")))
     by_text = spans.select("tid", F.explode(pair).alias("span")).groupBy("tid").agg(F.collect_list("span").alias("spans"))
     return by_text, held.select("tid", "tid2", "text")
