@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import flat_bytes, settle, spread
+from dnsloom.llm.common import flat_bytes, scratch, settle, spread
 
 #: Rows of a block of queries and of a block of vectors.
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 16384
@@ -196,7 +196,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str
 
 def op1_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    return nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+    with scratch(spark):
+        return settle(nearest(vectors, vectors.filter("vec_id % 100 = 0")), "nearest", keep=True)
 
 
 OP1_SQL = """

@@ -12,6 +12,7 @@ import tempfile
 import time
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
-_FOLDERS: list[str] = []
+#: The folders of the ``scratch`` blocks around, innermost last, of this thread of control; other threads have their own.
+_FOLDERS: ContextVar[tuple[str, ...]] = ContextVar("folders", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Tables settled inside are deleted at the end, but for those settled with ``keep``."""
+    """Tables settled inside are deleted at the end; those settled with ``keep`` outlive it, until the end of a ``scratch`` around it."""
     folder = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
-    _FOLDERS.append(folder)
+    before = _FOLDERS.set((*_FOLDERS.get(), folder))
     try:
         yield
     finally:
-        _FOLDERS.remove(folder)
+        _FOLDERS.reset(before)
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -58,9 +60,11 @@ def release(spark: SparkSession) -> None:
 
 
 def settle(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and no executor's loss undoes it."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and no executor's loss undoes it. Within ``scratch``
+    the table goes with it; ``keep`` marks a result, which goes with the next ``scratch`` around."""
     spark = df.sparkSession
-    folder = shared_dir(spark) if keep or not _FOLDERS else _FOLDERS[-1]
+    folder = (shared_dir(spark), *_FOLDERS.get())
+    folder = folder[-2 if keep and len(folder) > 1 else -1]
     path = f"{folder}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -139,6 +143,8 @@ def spread(rows: int, per_part: int, least: int = 1) -> int:
     return max(least, -(-int(rows) // per_part))
 
 
+#: A-Z in lower case, all else as it is.
+FOLD_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else _BLANK[c] for c in range(256))
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(256)], np.uint64)

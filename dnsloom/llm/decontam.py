@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import flat_bytes, portions, settle
+from dnsloom.llm.common import flat_bytes, portions, scratch, settle
 
 #: Words of the benchmark that one pass holds at most (21 bits name each of them), and words of a piece of an item.
 BLOCK_WORDS, PIECE_WORDS = 1_000_000, 20_000
@@ -289,14 +289,16 @@ def _keep_clean(sent, text_col: str):
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return scan(docs, benchmark).select(
-        "doc_id",
-        "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        contaminated().alias("contaminated"),
-    )
+    with scratch(spark):
+        digest = scan(docs, benchmark).select(
+            "doc_id",
+            "n_words",
+            "n_hit",
+            F.size("items").cast("long").alias("n_items"),
+            F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+            contaminated().alias("contaminated"),
+        )
+        return settle(digest, "decontaminated", keep=True)
 
 
 OP7_SQL = r"""

@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import settle
+from dnsloom.llm.common import scratch, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one bucket, about; the number of buckets follows the input.
@@ -136,8 +136,10 @@ def emit(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = settle(docs.select("doc_id", "source", count_words(F.col("text")).alias("n_words")), "sized")
-    return mix(sized, size_col="n_words").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    with scratch(spark):
+        sized = settle(docs.select("doc_id", "source", count_words(F.col("text")).alias("n_words")), "sized")
+        mixed = mix(sized, size_col="n_words").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+        return settle(mixed, "mixed", keep=True)
 
 
 OP5_SQL = r"""

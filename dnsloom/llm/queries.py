@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dnsloom.llm import ann, decontam, jaccard, licenses, mixing, quality, secrets, substring, suffixdedup, tokens
+from dnsloom.llm import ann, decontam, embdedup, jaccard, lexsearch, licenses, mixing, quality, secrets, spelling, substring, suffixdedup, tokens
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_licenses": licenses.op8_licenses,
         "op9_substring_dedup": substring.op9_substring_dedup,
         "op10_jaccard_join": jaccard.op10_jaccard_join,
+        "op11_lexical_search": lexsearch.op11_lexical_search,
+        "op12_spelling_variants": spelling.op12_spelling_variants,
+        "op13_embedding_dedup": embdedup.op13_embedding_dedup,
     }
 
 
@@ -28,4 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontamination": decontam.OP7_SQL,
         "op9_substring_dedup": substring.OP9_SQL,
         "op10_jaccard_join": jaccard.OP10_SQL,
+        "op11_lexical_search": lexsearch.OP11_SQL,
+        "op12_spelling_variants": spelling.OP12_SQL,
+        "op13_embedding_dedup": embdedup.OP13_SQL,
     }

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import settle
+from dnsloom.llm.common import scratch, settle
 
 
 @dataclass(frozen=True)
@@ -169,14 +169,16 @@ def written(rules: Sequence[Rule], kinds: Sequence[str]) -> Column:
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
-    found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    base = [r.kind for r in RULES if r.base]
-    return found.select(
-        "doc_id",
-        *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
-        F.sha2(written(RULES, base), 256).alias("base_sha256"),
-        written(RULES, [r.kind for r in RULES]).alias("spans"),
-    )
+    with scratch(spark):
+        found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+        base = [r.kind for r in RULES if r.base]
+        digest = found.select(
+            "doc_id",
+            *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
+            F.sha2(written(RULES, base), 256).alias("base_sha256"),
+            written(RULES, [r.kind for r in RULES]).alias("spans"),
+        )
+        return settle(digest, "secrets", keep=True)
 
 
 _SQL_PATTERNS = (
