@@ -92,6 +92,24 @@ def list_lines(spark, sf_dir: str) -> DataFrame:
     return spark.sql(LINES.replace("{S}", "STRING").replace("\\", "\\\\") + " FROM {h}", h=pages)
 
 
+#: A network per page: nested and neighbouring v4 ones of 8 to 32 bits, v6 ones of 20 to 47, client ranges, and what is none. {S} is the dialect's text type.
+NETWORKS = """
+SELECT page_id, CASE page_id % 8
+  WHEN 0 THEN concat('93.184.216.', CAST(page_id % 101 AS {S}), '/32')
+  WHEN 1 THEN concat('93.184.217.', CAST(page_id % 16 AS {S}), '/', CAST(28 + page_id % 5 AS {S}))
+  WHEN 2 THEN concat('93.', CAST(180 + page_id % 8 AS {S}), '.216.77/', CAST(8 + page_id % 17 AS {S}))
+  WHEN 3 THEN concat('10.0.0.', CAST(page_id % 256 AS {S}), '/', CAST(26 + page_id % 7 AS {S}))
+  WHEN 4 THEN concat('2606:47', lpad(CAST(page_id % 3 AS {S}), 2, '0'), '::/', CAST(20 + page_id % 28 AS {S}))
+  WHEN 5 THEN concat('fd', lpad(CAST(page_id % 4 AS {S}), 2, '0'), '::/', CAST(6 + page_id % 9 AS {S}))
+  WHEN 6 THEN concat('203.0.113.0/', CAST(page_id % 40 AS {S}))
+  ELSE concat('203.0.', CAST(page_id % 300 AS {S}), '.0') END AS cidr
+"""
+
+
+def networks(spark, sf_dir: str) -> DataFrame:
+    return spark.sql(NETWORKS.replace("{S}", "STRING") + " FROM {p}", p=spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id"))
+
+
 def client_names(spark, sf_dir: str) -> DataFrame:
     """Host names of the clients whose address ends in an even number; every fifth of them empty."""
     last = F.element_at(F.split("client_ip", r"\."), -1).cast("int")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dnsloom.config import BLOCKED_CLASS
 from dnsloom.functions.lexical import entropy_fast
 from dnsloom.functions.names import clean_tlds, depth, labels, registrable, sld, tld
-from dnsloom.functions.network import in_networks
+from dnsloom.operators.ranges import outside
 
 
 def is_blocked() -> Column:
@@ -44,9 +44,9 @@ def tld_allow_only(queries: DataFrame, tlds: Sequence[str]) -> DataFrame:
     return queries.filter(~tld(F.col("domain")).isin(clean_tlds(tlds)))
 
 
-def client_acl(queries: DataFrame, networks: Sequence[str]) -> DataFrame:
-    """Queries of clients outside the networks."""
-    return queries.filter(~in_networks(F.col("client_ip"), networks))
+def client_acl(queries: DataFrame, networks: DataFrame) -> DataFrame:
+    """Queries of clients outside all of the parsed networks."""
+    return outside(queries, networks, "client_ip")
 
 
 def hourly_rollup(events: DataFrame) -> DataFrame:

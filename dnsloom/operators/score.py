@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dnsloom.config import BIT, EngineConfig
 from dnsloom.functions.lexical import banned_keyword, consonant_suspicious, entropy_fast
 from dnsloom.functions.names import depth, has_idn, normalize_domain, sld, suspicious_tld
-from dnsloom.functions.network import in_networks, is_private_ip
+from dnsloom.functions.network import is_private_ip
 
 Signal = tuple[Column, Column, str]
 _REASON = "struct<points:int,reason:string>"
@@ -64,15 +64,15 @@ def inspected(answers: DataFrame) -> DataFrame:
     )
 
 
-def answer_signals(cfg: EngineConfig, cloaked: Column) -> list[Signal]:
-    """In order; rebinding, networks and cloaking end the fold."""
+def answer_signals(cfg: EngineConfig, cloaked: Column, listed: Column) -> list[Signal]:
+    """In order; rebinding, networks and cloaking end the fold. ``listed``: an address lies in a blocked network."""
     ips = F.concat("a", "aaaa")
     return [
         (F.size("a") + F.size("aaaa") + F.size("txt") + F.size("cname") > cfg.max_answers, F.lit(2), "INVALID_STRUCTURE"),
         (F.col("min_ttl") < cfg.low_ttl, F.lit(2), "LOW_TTL"),
         (F.exists("txt", lambda x: F.octet_length(x) > cfg.long_txt_bytes), F.lit(3), "INVALID_STRUCTURE"),
         (F.exists(ips, is_private_ip), F.lit(10), "DNS_REBINDING"),
-        (F.exists(ips, lambda ip: in_networks(ip, cfg.blocked_networks)), F.lit(10), "ASN_BLOCKED"),
+        (listed, F.lit(10), "ASN_BLOCKED"),
         (cloaked, F.lit(10), "CNAME_CLOAKING"),
     ]
 
@@ -80,9 +80,9 @@ def answer_signals(cfg: EngineConfig, cloaked: Column) -> list[Signal]:
 ENDS = ("DNS_REBINDING", "ASN_BLOCKED", "CNAME_CLOAKING")
 
 
-def answer_score(start: Column, cfg: EngineConfig, cloaked: Column) -> Column:
+def answer_score(start: Column, cfg: EngineConfig, cloaked: Column, listed: Column) -> Column:
     """The score of a domain with its answer's signals on top. The first answer signal always counts."""
-    return fold(start, signals(answer_signals(cfg, cloaked)), cfg.block_at, ENDS)
+    return fold(start, signals(answer_signals(cfg, cloaked, listed)), cfg.block_at, ENDS)
 
 
 def reason_bit(reason: Column) -> Column:

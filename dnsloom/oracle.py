@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dnsloom.config import ACTIONS, BIT, REASONS
-from dnsloom.fixtures import LINES
+from dnsloom.fixtures import LINES, NETWORKS
 
 _H = "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages"
 BASE = f"""
@@ -156,6 +156,24 @@ q2 AS (SELECT *, CASE WHEN tot >= 10 THEN 'Blocked' WHEN tot >= 7 THEN 'HighlySu
 vd AS (SELECT event_id, domain, client_ip, rule_source, CASE WHEN bt OR bl THEN 'Blocked' ELSE coalesce(ca, pa) END AS action, CASE WHEN bt THEN 'FORBIDDEN_QTYPE' WHEN bl THEN rr WHEN ca IS NOT NULL THEN nullif(r, '') END AS reason,
   CASE WHEN bt THEN qtype::VARCHAR WHEN bl THEN rd END AS detail, (CASE WHEN bt THEN 2048 WHEN bl THEN {_BITS.replace(" r ", " rr ", 1)} WHEN ca IS NOT NULL THEN coalesce({_BITS}, 512) END)::INTEGER AS flags,
   (CASE WHEN NOT bt AND NOT bl THEN tot END)::INTEGER AS total, CASE WHEN NOT bt AND NOT bl THEN rea END AS reasons, CASE WHEN NOT bt AND NOT bl THEN pa END AS pass_action FROM q2)"""
+def _quad(x: str) -> str:
+    """The 32 bits of a v4 address as text."""
+    return "(" + " || ".join(f"right(bin(CAST(split_part({x}, '.', {i}) AS INT) + 256), 8)" for i in range(1, 5)) + ")"
+
+
+def _hex(head: str, tail: str = "''") -> str:
+    """The 128 bits of a v6 address as text, from its first and last hexadecimal digits."""
+    digit = f"substr(rpad({head}, (32 - length({tail}))::INT, '0') || {tail}, i, 1)"
+    return f"array_to_string(list_transform(range(1, 33), lambda i: right(bin(('0x' || {digit})::INT + 16), 4)), '')"
+
+
+#: A network holds an address if their first bits agree.
+RANGES = f"""SELECT ip, page_id, cidr FROM (
+ SELECT ip, CASE WHEN ip = 'fd00::1' THEN {_hex("'fd00'", "'0001'")} WHEN contains(ip, ':') THEN {_hex("'26064700'", "'1111'")} ELSE {_quad("ip")} END AS b
+ FROM (SELECT rdata AS ip FROM answers WHERE rtype IN ('A', 'AAAA') UNION SELECT client_ip FROM base)) a
+JOIN (SELECT page_id, cidr, len, CASE WHEN contains(net, ':') THEN {_hex("replace(net, ':', '')")} ELSE {_quad("net")} END AS nb, contains(net, ':') AS six
+ FROM (SELECT page_id, cidr, split_part(cidr, '/', 1) AS net, TRY_CAST(nullif(split_part(cidr, '/', 2), '') AS INT) AS len FROM ({NETWORKS.replace("{S}", "VARCHAR")} FROM pages)) WHERE len <= CASE WHEN contains(net, ':') THEN 128 ELSE 32 END) n
+ON contains(ip, ':') = six AND b[1:len] = nb[1:len]"""
 _ALL = (BASE, ANSWERS, LISTS, DOMAINS, FEATURES, MATCH, DSCORE, CLOAK, INSPECT)
 
 
@@ -234,7 +252,7 @@ def oracle_sql() -> dict[str, str]:
         "answer_inspection": _with(BASE, ANSWERS) + "SELECT event_id, " + ", ".join(f"coalesce(string_agg({v}, ',' ORDER BY {v}) FILTER (rtype = '{t}'), '') AS {t.lower()}" for t, v in (("A", "rdata"), ("AAAA", "rdata"), ("CNAME", "regexp_replace(lower(rdata), '\\.+$', '')"))) + ", count(*) FILTER (rtype = 'TXT') AS n_txt, min(ttl) AS min_ttl FROM answers GROUP BY event_id",
         "answer_scores": _with(*_ALL, _fold("ag", "event_id", "0", _STOPS)) + "SELECT ins.event_id, min_ttl, coalesce(added, 0)::INTEGER AS total, coalesce(reasons, '') AS reasons FROM ins LEFT JOIN fc ON fc.event_id = ins.event_id",
         "ip_checks": _with(BASE, ANSWERS) + f"SELECT DISTINCT rdata AS ip, {_PRIVATE} AS private, {_NET} AS blocked_network FROM answers WHERE rtype IN ('A', 'AAAA')",
-        "asn_hits": _with(BASE, ANSWERS) + "SELECT DISTINCT rdata AS ip, '203.0.113.0/24' AS cidr FROM answers WHERE rtype = 'A' AND rdata LIKE '203.0.113.%'",
+        "asn_hits": _with(BASE, ANSWERS) + RANGES,
         "resolve": _with(BASE, LISTS, DOMAINS, FEATURES, MATCH, RESOLVE) + "SELECT event_id, CASE WHEN reason IS NOT NULL THEN 'Block' WHEN whitelisted THEN 'Allow' ELSE 'ProxyToUpstream' END AS action, reason, detail FROM base JOIN rs ON rs.domain = base.domain",
         "verdict": _with(*_ALL, _fold("ag", "event_id", "(SELECT t0.total FROM base bb JOIN ds t0 ON t0.domain = bb.domain WHERE bb.event_id = s.event_id)", _STOPS), RESOLVE, VERDICT) + "SELECT event_id, domain, action, reason, detail, flags, total, reasons, pass_action FROM vd",
         "source_effectiveness": _with(*_ALL, _fold("ag", "event_id", "(SELECT t0.total FROM base bb JOIN ds t0 ON t0.domain = bb.domain WHERE bb.event_id = s.event_id)", _STOPS), RESOLVE, VERDICT) + "SELECT rule_source AS source, count(*) AS blocks, count(DISTINCT domain) AS domains FROM vd WHERE reason = 'STATIC_BLACKLIST' GROUP BY 1",
@@ -242,7 +260,7 @@ def oracle_sql() -> dict[str, str]:
         "tunneling": b + "SELECT * FROM (SELECT client_ip, array_to_string(p[greatest(len(p) - 1, 1):], '.') AS zone, (t // 86400) * 86400 AS bucket, count(DISTINCT domain) AS names, bool_or(len(list_filter(p, lambda x: strlen(x) > 60)) > 0) AS long_label FROM (SELECT *, string_split(domain, '.') AS p FROM base) GROUP BY ALL) WHERE names > 5 OR long_label",
         "txt_entropy": _with(BASE, ANSWERS) + f"SELECT event_id, max(round(e, 6)) AS entropy, max(round(e, 6)) > 1.5 AS suspicious FROM (SELECT event_id, {_entropy('rdata')} AS e FROM answers WHERE rtype = 'TXT') GROUP BY event_id",
         "tld_allow_only": b + "SELECT event_id, domain FROM base WHERE lower(string_split(domain, '.')[-1]) NOT IN ('com', 'net', 'example')",
-        "client_acl": b + "SELECT event_id, client_ip FROM base WHERE NOT (client_ip LIKE '10.0.0.%' AND CAST(split_part(client_ip, '.', 4) AS INT) < 64)",
+        "client_acl": b + "SELECT event_id, client_ip FROM base WHERE NOT (client_ip LIKE '10.0.0.%' AND (CAST(split_part(client_ip, '.', 4) AS INT) < 64 OR client_ip IN ('10.0.0.200', '10.0.0.130', '10.0.0.131')))",
         "smart_idn": "SELECT doc_id, regexp_matches(text, '^[\\x00-\\x7F\\x{00C0}-\\x{024F}\\x{1E00}-\\x{1EFF}]*$') AS latin, regexp_matches(text, '^[\\x00-\\x7F\\x{00C0}-\\x{00FF}\\x{0152}\\x{0153}]*$') AS western FROM documents",
         "hourly_rollup": b + "SELECT (t // 3600) * 3600 AS hour, client_ip, action, count(*) AS n FROM base GROUP BY ALL",
         "within_retention": b + f"SELECT {counters} FROM base WHERE ts >= (SELECT max(ts) FROM base) - INTERVAL 72 HOUR",

@@ -13,6 +13,7 @@ from dnsloom.config import BIT, WHITELIST, WILDCARD, EngineConfig
 from dnsloom.functions.lexical import banned_keyword, dga_reason
 from dnsloom.functions.names import ancestors, forbidden_qtype, illegal_idn, normalize_domain, structure_invalid
 from dnsloom.operators.match import matches
+from dnsloom.operators.ranges import inside, network_table
 from dnsloom.operators.score import answer_score, classify, domain_score, inspected, nothing
 
 
@@ -67,7 +68,20 @@ def cloaked_events(answers: DataFrame, rules: DataFrame) -> DataFrame:
     return direct.unionByName(above).distinct()
 
 
-def verdict(queries: DataFrame, answers: DataFrame, rules: DataFrame, cfg: EngineConfig) -> DataFrame:
+def listed_events(answers: DataFrame, networks: DataFrame) -> DataFrame:
+    """Events with an address in one of the parsed networks; each distinct address is looked up once."""
+    addresses = answers.filter("rtype in ('A', 'AAAA')").select("event_id", "rdata")
+    return inside(addresses, networks, "rdata").select("event_id").distinct()
+
+
+def inspected_events(answers: DataFrame, rules: DataFrame, networks: DataFrame) -> DataFrame:
+    """A row per event with its answers, and whether a name in them is cloaked and an address listed."""
+    marked = lambda t, name: t.withColumn(name, F.lit(True))
+    seen = inspected(answers).join(marked(cloaked_events(answers, rules), "cloaked"), "event_id", "left")
+    return seen.join(marked(listed_events(answers, networks), "listed"), "event_id", "left")
+
+
+def verdict(queries: DataFrame, answers: DataFrame, rules: DataFrame, cfg: EngineConfig, networks: DataFrame | None = None) -> DataFrame:
     """Per query: event_id, ts, client_ip, domain, qtype, action, reason, detail, flags, total, reasons, pass_action.
 
     A forbidden query type blocks first, a resolution that blocks keeps its
@@ -75,15 +89,16 @@ def verdict(queries: DataFrame, answers: DataFrame, rules: DataFrame, cfg: Engin
     still be blocked by score. ``answer_status``: ok (an answer is there),
     unparsed (classified by the domain's score alone), error (passes as it is);
     a query without answers counts as unparsed unless it says otherwise.
+    ``networks``: blocked ones as ``ranges.parse_networks`` gives them, of any number; else those of ``cfg``.
     """
     resolved = resolve(queries, rules, cfg)
-    seen = inspected(answers).join(cloaked_events(answers, rules).withColumn("cloaked", F.lit(True)), "event_id", "left")
+    seen = inspected_events(answers, rules, networks if networks is not None else network_table(answers.sparkSession, cfg.blocked_networks))
     j = resolved.join(seen, "event_id", "left")
     if "answer_status" not in queries.columns:
         j = j.withColumn("answer_status", F.when(F.col("a").isNull(), "unparsed").otherwise("ok"))
     passed = F.when(F.col("resolution.action") == "Allow", "Allowed").otherwise("Proxied")
     start = F.coalesce(F.col("score"), nothing())
-    total = F.when((F.col("answer_status") == "ok") & F.col("a").isNotNull(), answer_score(start, cfg, F.coalesce(F.col("cloaked"), F.lit(False)))).otherwise(start)
+    total = F.when((F.col("answer_status") == "ok") & F.col("a").isNotNull(), answer_score(start, cfg, F.coalesce("cloaked", F.lit(False)), F.coalesce("listed", F.lit(False)))).otherwise(start)
     j = j.withColumn("pass_action", passed).withColumn("final", total)
     j = j.withColumn("classified", F.when(F.col("answer_status") == "error", F.struct(F.col("pass_action").alias("action"), F.lit(None).cast("int").alias("flags"))).otherwise(classify(F.col("final"), F.col("pass_action"), cfg)))
     bad_type, blocks = forbidden_qtype(F.col("qtype"), cfg), F.col("resolution.action") == "Block"

@@ -12,7 +12,7 @@ from dnsloom import fixtures as fx
 from dnsloom.config import EngineConfig
 from dnsloom.functions import labels, lexical, names, network
 from dnsloom.operators import events as ev
-from dnsloom.operators import extras, match, rules, score
+from dnsloom.operators import extras, match, ranges, rules, score
 from dnsloom.plans import verdict as vd
 from dnsloom.sources import frames as fr
 from dnsloom.sources import dimensions, lists
@@ -100,8 +100,8 @@ def domain_scores(spark, d: str) -> DataFrame:
 
 def answer_scores(spark, d: str) -> DataFrame:
     answers = fx.dns_answers(spark, d)
-    seen = score.inspected(answers).join(vd.cloaked_events(answers, compiled(spark, d)).withColumn("cloaked", F.lit(True)), "event_id", "left")
-    s = score.answer_score(score.nothing(), CFG, F.coalesce(F.col("cloaked"), F.lit(False)))
+    seen = vd.inspected_events(answers, compiled(spark, d), ranges.network_table(spark, CFG.blocked_networks))
+    s = score.answer_score(score.nothing(), CFG, F.coalesce("cloaked", F.lit(False)), F.coalesce("listed", F.lit(False)))
     return seen.select("event_id", s.alias("s"), "min_ttl").select("event_id", "min_ttl", F.col("s.total").alias("total"), F.array_join("s.reasons", ",").alias("reasons"))
 
 
@@ -113,15 +113,14 @@ def answer_inspection(spark, d: str) -> DataFrame:
 
 def ip_checks(spark, d: str) -> DataFrame:
     ips = fx.dns_answers(spark, d).filter("rtype in ('A', 'AAAA')").select(F.col("rdata").alias("ip")).distinct()
-    return ips.select("ip", network.is_private_ip(F.col("ip")).alias("private"), network.in_networks(F.col("ip"), CFG.blocked_networks).alias("blocked_network"))
+    blocked = ranges.within(ips, ranges.network_table(spark, CFG.blocked_networks)).select("ip").distinct().withColumn("_hit", F.lit(True))
+    return ips.join(blocked, "ip", "left").select("ip", network.is_private_ip(F.col("ip")).alias("private"), F.col("_hit").isNotNull().alias("blocked_network"))
 
 
 def asn_hits(spark, d: str) -> DataFrame:
-    """Range join of addresses with network ranges, keyed by family."""
-    ips = fx.dns_answers(spark, d).filter("rtype in ('A', 'AAAA')").select(F.col("rdata").alias("ip")).distinct()
-    key = F.coalesce(F.lpad(network.ipv4_number(F.col("ip")).cast("string"), 10, "0"), network.ipv6_hex(F.col("ip")))
-    keyed = ips.select("ip", key.alias("key"), F.when(F.col("ip").contains(":"), 6).otherwise(4).alias("family"))
-    return keyed.join(network.asn_ranges(spark, CFG.blocked_networks), "family").filter("key between lo and hi").select("ip", "cidr")
+    """Addresses of answers and clients with the networks that hold them, by their prefixes."""
+    ips = fx.dns_answers(spark, d).filter("rtype in ('A', 'AAAA')").select(F.col("rdata").alias("ip")).unionByName(fx.dns_queries(spark, d).select(F.col("client_ip").alias("ip")))
+    return ranges.within(ips, ranges.parse_networks(fx.networks(spark, d))).select("ip", "page_id", "cidr")
 
 
 def resolution(spark, d: str) -> DataFrame:
@@ -434,7 +433,7 @@ def queries() -> dict:
         "tunneling": lambda s, d: extras.tunneling(fx.dns_queries(s, d), most_names=5, seconds=86400),
         "txt_entropy": lambda s, d: extras.txt_entropy(fx.dns_answers(s, d), 1.5),
         "tld_allow_only": lambda s, d: extras.tld_allow_only(fx.dns_queries(s, d), ["com", ".net", "example"]).select("event_id", "domain"),
-        "client_acl": lambda s, d: extras.client_acl(fx.dns_queries(s, d), ["10.0.0.0/26"]).select("event_id", "client_ip"),
+        "client_acl": lambda s, d: extras.client_acl(fx.dns_queries(s, d), ranges.network_table(s, ["10.0.0.0/26", "10.0.0.32/27", "10.0.0.200/32", "10.0.0.131/31", "fd00::/8", "10.0.0.9"])).select("event_id", "client_ip"),
         "smart_idn": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", names.in_scripts(F.col("text"), ["latin"]).alias("latin"), names.in_scripts(F.col("text"), ["western_european"]).alias("western")),
         "hourly_rollup": _events(extras.hourly_rollup),
         "within_retention": lambda s, d: ev.monitor_counters(extras.within_retention(fx.dns_events(s, d))),
