@@ -25,7 +25,9 @@ class EngineConfig:
     entropy_threshold: float = 4.0
     consonant_ratio: float = 0.6
     consonant_run: int = 5
+    entropy_fast: bool = True
     ngram_threshold: float = -4.0
+    ngram_languages: tuple[str, ...] = ("en", "fr", "de")
     use_ngram: bool = False
     long_domain_bytes: int = 60
     deep_dots: int = 5

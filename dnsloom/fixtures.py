@@ -60,9 +60,10 @@ def dns_answers(spark, sf_dir: str) -> DataFrame:
 
 
 def dns_responses(spark, sf_dir: str) -> DataFrame:
-    """A response per event, a second later: event_id, ts, answers (array of rtype, rdata, ttl; may be empty)."""
+    """Responses to events: event_id, ts, answers (array of rtype, rdata, ttl; may be empty). A second later, or a minute for one
+    in eleven, which is too late; one in seven has none."""
     rows = dns_answers(spark, sf_dir).groupBy("event_id").agg(F.collect_list(F.struct("rtype", "rdata", "ttl")).alias("answers"))
-    some = base(spark, sf_dir).select("event_id", (F.col("ts").cast("timestamp") + F.make_interval(secs=F.lit(1))).alias("ts")).join(rows, "event_id", "left")
+    some = base(spark, sf_dir).select("event_id", (F.col("ts").cast("timestamp") + F.make_interval(secs=F.when(F.col("event_id") % 11 == 5, 60).otherwise(1))).alias("ts")).filter("event_id % 7 <> 3").join(rows, "event_id", "left")
     return some.select("event_id", "ts", F.coalesce("answers", F.array().cast("array<struct<rtype:string,rdata:string,ttl:int>>")).alias("answers"))
 
 
@@ -129,3 +130,18 @@ def frames(spark, sf_dir: str) -> DataFrame:
     named = b.groupBy("domain").agg(F.min("event_id").alias("event_id")).select("event_id", F.concat(F.lit("00"), little(h, 8), little(F.octet_length("domain").cast("long"), 2), F.hex("domain")).alias("body"))
     size = (F.length("body") / 2).cast("long")
     return event.unionByName(named).select("event_id", F.unhex(F.concat(little(size, 2), F.col("body"))).alias("frame"))
+
+
+def archives(spark, sf_dir: str) -> DataFrame:
+    """Archives of about a thousand frames: archive, content. One in three ends in a torn frame, one in three in bytes that are none."""
+    f = frames(spark, sf_dir).withColumn("archive", F.floor(F.col("event_id") / 500).cast("long"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.hex("frame").alias("x")))), lambda s: s["x"]), "")
+    tail = F.when(F.col("archive") % 3 == 0, "C80001AABB").when(F.col("archive") % 3 == 1, "030007AABB020009CC04000811").otherwise("")
+    return f.groupBy("archive").agg(text.alias("t")).select("archive", F.unhex(F.concat("t", tail)).alias("content"))
+
+
+def words(spark, sf_dir: str) -> DataFrame:
+    """Distinct words of the documents as names below .example, with letters beyond ASCII."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z\x{00DF}-\x{00FF}]{4,})"), F.lit(1))).alias("w"))
+    return found.distinct().select(F.concat("w", F.lit(".example")).alias("domain"))

@@ -28,6 +28,11 @@ def entropy_full(s: Column) -> Column:
     return _entropy(F.regexp_extract_all(s, F.lit("(?s)(.)"), F.lit(1)), F.octet_length(s))
 
 
+def entropy(s: Column, cfg: EngineConfig) -> Column:
+    """Over bytes, or over characters where the configuration asks for it."""
+    return entropy_fast(s) if cfg.entropy_fast else entropy_full(s)
+
+
 def consonant_ratio(s: Column) -> Column:
     letters = F.length(F.regexp_replace(s, "[^a-z]", ""))
     return F.when(letters > 0, F.length(F.regexp_replace(s, "[^b-df-hj-np-tv-z]", "")) / letters).otherwise(0.0)
@@ -43,9 +48,10 @@ def consonant_suspicious(s: Column, cfg: EngineConfig) -> Column:
 
 
 def dga_reason(d: Column, cfg: EngineConfig, ngram_pass: Column | None = None) -> Column:
-    """HIGH_ENTROPY, LEXICAL_ANALYSIS or null, judged on the second-level label of 8 bytes or more."""
+    """HIGH_ENTROPY, LEXICAL_ANALYSIS or null, judged on the second-level label of 8 bytes or more: by entropy, by consonants, and
+    by the language models where ``ngram_pass`` (whether one accepts the label) is given."""
     s = sld(d)
-    chain = F.when(entropy_fast(s) > cfg.entropy_threshold + 1e-9, "HIGH_ENTROPY").when(consonant_suspicious(s, cfg), "LEXICAL_ANALYSIS")
+    chain = F.when(entropy(s, cfg) > cfg.entropy_threshold + 1e-9, "HIGH_ENTROPY").when(consonant_suspicious(s, cfg), "LEXICAL_ANALYSIS")
     if ngram_pass is not None:
         chain = chain.when(~ngram_pass, "LEXICAL_ANALYSIS")
     return F.when(F.octet_length(s) >= cfg.dga_min_bytes, chain)
@@ -108,6 +114,17 @@ def _scored(runs: DataFrame, model: DataFrame, n: int, col: str, missing: float)
     return every.join(known, [col, "lang"], "left").select(col, "lang", ((F.coalesce("s", F.lit(0.0)) + (F.col("grams") - F.coalesce("k", F.lit(0))) * missing) / F.col("grams")).alias("score"))
 
 
+def ngram_verdicts(domains: DataFrame, model: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """sld, ngram_pass: whether a language of the configuration accepts each distinct second-level label that is long enough. Labels
+    without letter pairs are accepted by none; where no language of the configuration is in the model, all pass."""
+    names = domains.select(sld(F.col("domain")).alias("name")).filter(F.octet_length("name") >= cfg.dga_min_bytes).distinct()
+    known = model.filter(F.col("lang").isin(list(cfg.ngram_languages)))
+    passes = ngram_pass(ngram_score(names, known), cfg.ngram_threshold)
+    any_ = known.agg((F.count(F.lit(1)) == 0).alias("_none"))
+    judged = names.join(passes, "name", "left").crossJoin(F.broadcast(any_))  # one row
+    return judged.select(F.col("name").alias("sld"), (F.col("_none") | F.coalesce("passes", F.lit(False))).alias("ngram_pass"))
+
+
 def ngram_pass(scores: DataFrame, threshold: float, *, col: str = "name", languages: Sequence[str] | None = None) -> DataFrame:
     """name, passes: whether any language reaches the threshold. Unknown languages are ignored; with none at all every name passes."""
     kept = scores if languages is None else scores.filter(F.col("lang").isin(list(languages)))

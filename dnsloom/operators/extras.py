@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dnsloom.config import BLOCKED_CLASS
 from dnsloom.functions.lexical import entropy_fast
 from dnsloom.functions.names import clean_tlds, depth, labels, registrable, sld, tld
+from dnsloom.operators.events import search_events
 from dnsloom.operators.ranges import outside
 
 
@@ -20,10 +21,19 @@ def _epoch() -> Column:
     return F.unix_seconds(F.col("ts").cast("timestamp"))
 
 
-def nxdomain_hunting(events: DataFrame, *, least: int = 15, seconds: int = 60) -> DataFrame:
-    """Clients with ``least`` failed names within ``seconds``, and the most they had. ``events`` are the failures."""
-    recent = Window.partitionBy("client_ip").orderBy("_t").rangeBetween(-(seconds - 1), 0)
-    return events.withColumn("_t", _epoch()).withColumn("_n", F.count(F.lit(1)).over(recent)).groupBy("client_ip").agg(F.max("_n").alias("most")).filter(F.col("most") >= least)
+def nxdomain_hunting(events: DataFrame, *, least: int = 15, seconds: int = 60, chunk: int = 3600) -> DataFrame:
+    """Clients with ``least`` failed names within ``seconds``, and the most they had. ``events`` are the failures.
+
+    Failures are counted per client and second, and a client's seconds are dealt to chunks of time of ``chunk`` seconds (or
+    ``seconds``, if more); what a chunk needs from the one before is copied to it. So no task holds a whole client.
+    """
+    width = max(seconds, chunk)
+    own, next_ = F.floor(F.col("_t") / width), F.floor((F.col("_t") + seconds - 1) / width)
+    per = events.groupBy("client_ip", _epoch().alias("_t")).agg(F.count(F.lit(1)).alias("_k"))
+    dealt = per.withColumn("_c", F.explode(F.array_distinct(F.array(own, next_))))
+    recent = Window.partitionBy("client_ip", "_c").orderBy("_t").rangeBetween(-(seconds - 1), 0)
+    most = dealt.withColumn("_n", F.sum("_k").over(recent)).filter(F.col("_c") == own)
+    return most.groupBy("client_ip").agg(F.max("_n").alias("most")).filter(F.col("most") >= least)
 
 
 def tunneling(queries: DataFrame, *, most_names: int = 50, long_label: int = 60, seconds: int = 60) -> DataFrame:
@@ -75,8 +85,9 @@ def list_overlap(rules: DataFrame) -> DataFrame:
 
 
 def source_effectiveness(verdicts: DataFrame) -> DataFrame:
-    """Blocks by the list that the exact rule came from."""
-    return verdicts.filter("reason = 'STATIC_BLACKLIST'").groupBy(F.col("rule_source").alias("source")).agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("domain").alias("domains"))
+    """Blocks of every kind of rule (exact, wildcard, glob, regex) by the list that the first such rule came from."""
+    ruled = verdicts.filter("reason in ('STATIC_BLACKLIST', 'ABP_RULE')")
+    return ruled.groupBy(F.col("detail").alias("kind"), F.col("rule_source").alias("source")).agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("domain").alias("domains"))
 
 
 def tld_trends(events: DataFrame) -> DataFrame:
@@ -90,15 +101,42 @@ def top_words(events: DataFrame, n: int = 50, *, least: int = 3) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n").alias("hits")).orderBy(F.desc("hits"), "word").limit(n)
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """The event log as a table partitioned by day."""
-    events.withColumn("day", F.to_date("ts")).repartition("day").write.mode("append").partitionBy("day").parquet(path)
+def write_events(events: DataFrame, path: str, *, files_a_day: int = 16) -> None:
+    """The event log as a table partitioned by day. A day's clients are dealt to ``files_a_day`` files, each sorted by client and
+    time and with Bloom filters of clients and domains, so a search opens few files and few row groups of them."""
+    dealt = events.withColumn("day", F.to_date("ts")).repartition("day", F.pmod(F.xxhash64("client_ip"), F.lit(files_a_day)))
+    writer = dealt.sortWithinPartitions("day", "client_ip", "ts").write.mode("append").partitionBy("day")
+    for column in ("client_ip", "domain"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(path)
 
 
-def expire(spark, path: str, *, hours: int = 72) -> list[str]:
-    """Deletes days of a table of ``write_events`` that end over ``hours`` before its newest event; the rows of a day go at once. Returns the days."""
+def search_store(spark, path: str, *, since=None, until=None, **filters) -> DataFrame:
+    """``events.search_events`` over a table of ``write_events``: days outside of ``since`` and ``until`` are not listed, and files and
+    row groups that cannot hold the client or the time are not read."""
+    log = spark.read.parquet(path)
+    if since is not None:
+        log = log.filter(F.col("day") >= F.to_date(F.lit(since)))
+    if until is not None:
+        log = log.filter(F.col("day") <= F.to_date(F.lit(until)))
+    return search_events(log, since=since, until=until, **filters)
+
+
+def refresh_rollup(spark, log: str, rollup: str, arrived: DataFrame) -> None:
+    """Works out anew the hourly rollup of the hours that ``arrived`` events fall in, from the whole log of those hours, and puts
+    it in the place of what was there. Running it again changes nothing; other hours are not touched. Hours of days that the
+    log no longer has stay as they are, late events or not."""
+    hour = (F.floor(_epoch() / 3600) * 3600).cast("long")
+    wanted = arrived.select(F.to_date("ts").alias("day"), hour.alias("hour")).distinct()
+    some = spark.read.parquet(log).withColumn("hour", hour).join(F.broadcast(wanted), ["day", "hour"], "left_semi")  # a row per hour
+    made = some.groupBy("day", "hour", "client_ip", "action").agg(F.count(F.lit(1)).alias("n"))
+    made.repartition("day", "hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "hour").parquet(rollup)
+
+
+def expire(spark, path: str, *, hours: int = 72, newest=None) -> list[str]:
+    """Deletes days of a table partitioned by day that end over ``hours`` before ``newest`` (else its newest ``ts``); the rows of a day go at once. Returns the days."""
     log = spark.read.parquet(path)
-    newest = log.agg(F.max("ts")).first()[0]
+    newest = newest if newest is not None else log.agg(F.max("ts")).first()[0]
     if newest is None:
         return []
     days = log.select("day").distinct().filter(F.date_add("day", 1).cast("timestamp") <= F.lit(newest).cast("timestamp") - F.make_interval(hours=F.lit(hours)))
@@ -120,10 +158,26 @@ def dga_audit(events: DataFrame) -> DataFrame:
 
 
 def typosquat(domains: DataFrame, brands: DataFrame, most: int = 2) -> DataFrame:
-    """Distinct second-level labels within ``most`` edits of a brand and unlike it; candidates share a length, so the join has a key."""
-    names = domains.select(sld(F.col("domain")).alias("name")).filter("name is not null").distinct().withColumn("size", F.length("name"))
-    b = brands.select("brand", F.explode(F.sequence(F.length("brand") - most, F.length("brand") + most)).alias("size"))
-    pairs = names.join(b, "size").withColumn("edits", F.levenshtein("name", "brand"))
+    """Distinct second-level labels within ``most`` edits of a brand and unlike it.
+
+    A brand is cut into ``most`` + 1 segments of nearly equal length. So many edits leave one of them whole, and it is at
+    most ``most`` places away in the name. Names and brands meet by the brand's length, the segment's number and its text;
+    the distance decides.
+    """
+    parts = most + 1
+    short = lambda size: parts - size % parts  # noqa: E731  so many segments are a letter shorter than the rest
+    start = lambda size, i: i * F.floor(size / parts) + F.greatest(i - short(size), F.lit(0))
+    width = lambda size, i: (F.floor(size / parts) + F.when(i >= short(size), 1).otherwise(0)).cast("int")
+    numbers = F.array(*[F.lit(i) for i in range(parts)])
+    size, seg = F.col("size"), F.col("seg")
+    b = brands.select("brand").distinct().filter("brand <> ''").withColumn("size", F.length("brand")).withColumn("seg", F.explode(numbers))
+    b = b.withColumn("text", F.substr("brand", (start(size, seg) + 1).cast("int"), width(size, seg)))
+    names = domains.select(sld(F.col("domain")).alias("name")).filter("name <> ''").distinct()
+    n = names.withColumn("size", F.explode(F.sequence(F.greatest(F.length("name") - most, F.lit(1)), F.length("name") + most))).withColumn("seg", F.explode(numbers))
+    places = F.sequence(F.greatest(start(size, seg) - most, F.lit(0)).cast("int"), (start(size, seg) + most).cast("int"))
+    texts = F.transform(F.filter(places, lambda p: p + width(size, seg) <= F.length("name")), lambda p: F.substr(F.col("name"), p + 1, width(size, seg)))
+    n = n.withColumn("text", F.explode(F.array_distinct(texts)))
+    pairs = n.join(b, ["size", "seg", "text"]).select("name", "brand").distinct().withColumn("edits", F.levenshtein("name", "brand", most))
     return pairs.filter(F.col("edits").between(1, most)).select("name", "brand", "edits")
 
 

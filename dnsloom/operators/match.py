@@ -18,8 +18,8 @@ from dnsloom.config import NRD, WHITELIST, WILDCARD
 from dnsloom.functions.names import ancestors
 from dnsloom.sources.tables import stored
 
-#: Patterns joined into one alternation, and patterns that are written into the plan as literals at most.
-POOL, LITERAL = 1000, 20_000
+#: Patterns joined into one alternation, patterns of a part of it when a hit is traced, and patterns that are written into the plan as literals at most.
+POOL, PART, LITERAL = 1000, 32, 20_000
 #: Back-references, named groups, open quotes and comments.
 ALONE = r"\\[1-9kQ]|\(\?<[A-Za-z]|\(\?[A-Za-z-]*x"
 
@@ -38,6 +38,35 @@ def exact_flags(domains: DataFrame, rules: DataFrame) -> DataFrame:
     return domains.join(exact, "domain", "left")
 
 
+def glob_sources(hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """domain, glob_source: of domains that a blocking glob matches, the source of the first such glob."""
+    last = lambda c: F.element_at(F.split(c, r"\."), -1)
+    globs = rules.filter((F.col("kind") == "glob") & (F.col("flags").bitwiseAND(WHITELIST) == 0)).groupBy("value").agg(F.min(_place()).alias("rule"))
+    globs = globs.select(glob_to_regex(F.col("value")).alias("pattern"), F.when(~last(F.col("value")).contains("*"), last(F.col("value"))).alias("last"), "rule")
+    keyed = hits.withColumn("last", last(F.col("domain")))
+    own = _traced(keyed, globs.filter("last is not null"), ["last"])
+    free = _traced(hits.withColumn("last", F.lit("")), globs.filter("last is null").withColumn("last", F.lit("")), ["last"])
+    return own.unionByName(free).groupBy("domain").agg(F.min("rule")["source"].alias("glob_source"))
+
+
+def regex_sources(hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """domain, regex_source: of domains that a blocking regex matches, the source of the first such regex."""
+    pool = rules.filter((F.col("kind") == "regex") & (F.col("flags").bitwiseAND(WHITELIST) == 0)).groupBy(F.col("value").alias("pattern")).agg(F.min(_place()).alias("rule"))
+    found = _traced(hits.withColumn("key", F.lit(0)), pool.withColumn("key", F.lit(0)), ["key"])
+    return found.groupBy("domain").agg(F.min("rule")["source"].alias("regex_source"))
+
+
+def _traced(hits: DataFrame, patterns: DataFrame, key: list[str]) -> DataFrame:
+    """domain and rule of every pattern (columns key, pattern, rule) that matches a domain of the same key: by parts of ``PART``
+    patterns first, one by one in the parts that match. Only domains that match something come here."""
+    at = F.row_number().over(Window.partitionBy(*key).orderBy("pattern"))
+    dealt = patterns.withColumn("part", F.when(F.col("pattern").rlike(ALONE), -at).otherwise(F.floor(at / PART)).cast("int"))
+    dealt = dealt.withColumn("wrapped", F.when(F.col("part") < 0, F.col("pattern")).otherwise(F.concat(F.lit("(?:"), F.col("pattern"), F.lit(")"))))
+    parts = dealt.groupBy(*key, "part").agg(F.array_join(F.collect_list("wrapped"), "|").alias("any_of"))
+    near = hits.join(parts, key).filter("domain rlike any_of").select("domain", *key, "part")
+    return near.join(dealt.select(*key, "part", "pattern", "rule"), [*key, "part"]).filter("domain rlike pattern").select("domain", "rule")
+
+
 def _parents(domains: DataFrame) -> DataFrame:
     return domains.select("domain", F.explode(ancestors(F.col("domain"))).alias("parent"))
 
@@ -45,8 +74,14 @@ def _parents(domains: DataFrame) -> DataFrame:
 def parent_flags(domains: DataFrame, rules: DataFrame) -> DataFrame:
     """Of domains with a wildcard rule on a strict parent: whether one allows, whether one blocks."""
     wild = rules.filter((F.col("kind").isin("suffix", "exact")) & (F.col("flags").bitwiseAND(WILDCARD) != 0))
-    wild = wild.groupBy(F.col("value").alias("parent")).agg(F.max(F.col("flags").bitwiseAND(WHITELIST)).alias("allows"), F.max(1 - F.col("flags").bitwiseAND(WHITELIST)).alias("blocks"))
-    return _parents(domains).join(wild, "parent").groupBy("domain").agg((F.max("allows") > 0).alias("parent_allows"), (F.max("blocks") > 0).alias("parent_blocks"))
+    white = F.col("flags").bitwiseAND(WHITELIST)
+    wild = wild.groupBy(F.col("value").alias("parent")).agg(F.max(white).alias("allows"), F.max(1 - white).alias("blocks"), F.min(F.when(white == 0, _place())).alias("rule"))
+    return _parents(domains).join(wild, "parent").groupBy("domain").agg((F.max("allows") > 0).alias("parent_allows"), (F.max("blocks") > 0).alias("parent_blocks"), F.min("rule")["source"].alias("suffix_source"))
+
+
+def _place() -> Column:
+    """A rule's place in load order, with its source: the least of several is the rule loaded first."""
+    return F.struct("load_order", "line_no", "source")
 
 
 def glob_hits(domains: DataFrame, rules: DataFrame) -> DataFrame:
@@ -89,7 +124,8 @@ def _pool_hits(domains: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def matches(domains: DataFrame, rules: DataFrame, *, match_parents: bool = False) -> DataFrame:
-    """Per distinct domain: rule_flags, whitelisted, static_blocked, is_nrd, suffix_blocked, glob_blocked, regex_blocked.
+    """Per distinct domain: rule_flags, whitelisted, static_blocked, is_nrd, suffix_blocked, glob_blocked, regex_blocked, and
+    rule_source, suffix_source, glob_source, regex_source: the lists that the exact rule and the first blocking rule of each kind came from.
 
     An exact rule decides about the allow-list by itself; only without one are
     the parents asked. ``match_parents`` lets a static block on a parent hold
@@ -98,7 +134,9 @@ def matches(domains: DataFrame, rules: DataFrame, *, match_parents: bool = False
     distinct = stored(domains.select("domain").distinct(), "domains")
     hit = lambda df, name: df.select("domain", F.lit(True).alias(name))
     d = exact_flags(distinct, rules).join(parent_flags(distinct, rules), "domain", "left")
-    d = d.join(hit(glob_hits(distinct, rules), "glob"), "domain", "left").join(hit(regex_hits(distinct, rules), "regex"), "domain", "left")
+    globbed, matched = stored(glob_hits(distinct, rules), "hits"), stored(regex_hits(distinct, rules), "hits")
+    d = d.join(hit(globbed, "glob"), "domain", "left").join(hit(matched, "regex"), "domain", "left")
+    d = d.join(glob_sources(globbed, rules), "domain", "left").join(regex_sources(matched, rules), "domain", "left")
     f = F.col("rule_flags")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     static = F.coalesce(f.bitwiseAND(WHITELIST) == 0, F.lit(False))
@@ -116,4 +154,7 @@ def matches(domains: DataFrame, rules: DataFrame, *, match_parents: bool = False
         yes("parent_blocks").alias("suffix_blocked"),
         yes("glob").alias("glob_blocked"),
         yes("regex").alias("regex_blocked"),
+        "suffix_source",
+        "glob_source",
+        "regex_source",
     )

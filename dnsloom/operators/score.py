@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnsloom.config import BIT, EngineConfig
-from dnsloom.functions.lexical import banned_keyword, consonant_suspicious, entropy_fast
+from dnsloom.functions.lexical import banned_keyword, consonant_suspicious, entropy
 from dnsloom.functions.names import depth, has_idn, normalize_domain, sld, suspicious_tld
 from dnsloom.functions.network import is_private_ip
 
@@ -50,7 +50,7 @@ def domain_score(d: Column, is_nrd: Column, cfg: EngineConfig) -> Column:
         (odd_tld & ~keyword, F.lit(3), "TLD_EXCLUDED"),
         (has_idn(d), F.lit(6), "SUSPICIOUS_IDN"),
         (is_nrd, F.lit(5), "NRD_LIST"),
-        (long_sld & (entropy_fast(s) > cfg.entropy_threshold + 1e-9), F.lit(4), "HIGH_ENTROPY"),
+        (long_sld & (entropy(s, cfg) > cfg.entropy_threshold + 1e-9), F.lit(4), "HIGH_ENTROPY"),
         (long_sld & consonant_suspicious(s, cfg), F.lit(3), "LEXICAL_ANALYSIS"),
     ]
     return fold(nothing(), signals(rows), cfg.block_at)

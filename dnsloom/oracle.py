@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dnsloom.config import ACTIONS, BIT, REASONS
 from dnsloom.fixtures import LINES, NETWORKS
+from dnsloom.operators.events import ZOOMS
 
 _H = "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages"
 BASE = f"""
@@ -99,14 +100,14 @@ op AS (SELECT CASE WHEN kind = 'browser' THEN 'browser' WHEN format = 'abp' AND
 nw AS (SELECT rule_type, value FROM op WHERE rule_type IN ('domain', 'wildcard', 'regex') QUALIFY row_number() OVER (PARTITION BY value ORDER BY load_order, line_no, source, rule_type) = 1)"""
 #: Matches per distinct domain: xf exact flags, pw / pb parents that allow / block, g glob, x regex.
 MATCH = """
-sw AS (SELECT value, flags FROM rl WHERE kind = 'suffix' UNION ALL SELECT unnest(['xyz', 'top']), 2),
+sw AS (SELECT value, flags, load_order, line_no, source FROM rl WHERE kind = 'suffix' UNION ALL SELECT unnest(['xyz', 'top']), 2, 1073741824, 0, 'config'),
 up AS (SELECT domain, array_to_string(p[i:], '.') AS parent FROM (SELECT domain, p, unnest(range(2, len(p) + 1)) AS i FROM dom WHERE len(p) > 1)),
-pf AS (SELECT domain, bool_or(sw.flags & 1 <> 0) AS pw, bool_or(sw.flags & 1 = 0) AS pb FROM up JOIN sw ON sw.value = up.parent GROUP BY domain),
-gl AS (SELECT DISTINCT '^' || CASE WHEN value LIKE '*.%' THEN '([^.]+\\.)+' ELSE '' END || replace(replace(regexp_replace(value, '^\\*\\.', ''), '.', '\\.'), '*', '[^.]*') || '$' AS pattern FROM rl WHERE kind = 'glob' AND flags & 1 = 0),
-gh AS (SELECT DISTINCT domain FROM dom JOIN gl ON regexp_matches(domain, pattern)),
-rh AS (SELECT DISTINCT domain FROM dom JOIN (SELECT DISTINCT value FROM rl WHERE kind = 'regex' AND flags & 1 = 0) r ON regexp_matches(domain, value)),
+pf AS (SELECT domain, bool_or(sw.flags & 1 <> 0) AS pw, bool_or(sw.flags & 1 = 0) AS pb, arg_min(source, (load_order, line_no, source)) FILTER (sw.flags & 1 = 0) AS suffix_source FROM up JOIN sw ON sw.value = up.parent GROUP BY domain),
+gl AS (SELECT load_order, line_no, source, '^' || CASE WHEN value LIKE '*.%' THEN '([^.]+\\.)+' ELSE '' END || replace(replace(regexp_replace(value, '^\\*\\.', ''), '.', '\\.'), '*', '[^.]*') || '$' AS pattern FROM rl WHERE kind = 'glob' AND flags & 1 = 0),
+gh AS (SELECT domain, arg_min(source, (load_order, line_no, source)) AS glob_source FROM dom JOIN gl ON regexp_matches(domain, pattern) GROUP BY domain),
+rh AS (SELECT domain, arg_min(source, (load_order, line_no, source)) AS regex_source FROM dom JOIN (SELECT value, load_order, line_no, source FROM rl WHERE kind = 'regex' AND flags & 1 = 0) r ON regexp_matches(domain, value) GROUP BY domain),
 mt AS (SELECT dom.domain, dom.p, xr.flags AS rule_flags, xr.source AS rule_source, CASE WHEN xr.flags IS NOT NULL THEN xr.flags & 1 <> 0 ELSE coalesce(pw, false) END AS whitelisted,
-  coalesce(xr.flags & 1 = 0, false) AS static_blocked, coalesce(xr.flags & 32 <> 0, false) AS is_nrd, coalesce(pb, false) AS suffix_blocked, gh.domain IS NOT NULL AS glob_blocked, rh.domain IS NOT NULL AS regex_blocked
+  coalesce(xr.flags & 1 = 0, false) AS static_blocked, coalesce(xr.flags & 32 <> 0, false) AS is_nrd, coalesce(pb, false) AS suffix_blocked, gh.domain IS NOT NULL AS glob_blocked, rh.domain IS NOT NULL AS regex_blocked, suffix_source, glob_source, regex_source
   FROM dom LEFT JOIN xr ON xr.value = dom.domain LEFT JOIN pf ON pf.domain = dom.domain LEFT JOIN gh ON gh.domain = dom.domain LEFT JOIN rh ON rh.domain = dom.domain)"""
 _IDN = "(regexp_matches(domain, '(^|\\.)xn--') OR strlen(domain) <> length(domain))"
 
@@ -141,7 +142,7 @@ ag AS (SELECT event_id, o, points, reason FROM (SELECT i.event_id, unnest([1, 2,
   unnest(['INVALID_STRUCTURE', 'LOW_TTL', 'INVALID_STRUCTURE', 'DNS_REBINDING', 'ASN_BLOCKED', 'CNAME_CLOAKING']) AS reason FROM ins i LEFT JOIN ck ON ck.event_id = i.event_id) WHERE hit)"""
 _STOPS = "'DNS_REBINDING', 'ASN_BLOCKED', 'CNAME_CLOAKING'"
 RESOLVE = f"""
-rs AS (SELECT mt.domain, whitelisted, rule_source,
+rs AS (SELECT mt.domain, whitelisted, CASE WHEN static_blocked THEN mt.rule_source WHEN suffix_blocked THEN suffix_source WHEN glob_blocked THEN glob_source ELSE regex_source END AS rule_source,
  CASE WHEN strlen(mt.domain) > 128 OR len(mt.p) - 1 > 5 THEN 'INVALID_STRUCTURE' WHEN {_IDN.replace('domain', 'mt.domain')} THEN 'SUSPICIOUS_IDN' WHEN whitelisted THEN NULL WHEN static_blocked THEN 'STATIC_BLACKLIST'
   WHEN suffix_blocked OR glob_blocked OR regex_blocked THEN 'ABP_RULE' WHEN keyword IS NOT NULL THEN 'BANNED_KEYWORD' ELSE dga END AS reason,
  CASE WHEN strlen(mt.domain) > 128 OR len(mt.p) - 1 > 5 OR {_IDN.replace('domain', 'mt.domain')} OR whitelisted THEN NULL WHEN static_blocked THEN 'blocklist' WHEN suffix_blocked THEN 'wildcard' WHEN glob_blocked THEN 'glob' WHEN regex_blocked THEN 'regex' ELSE keyword END AS detail
@@ -174,6 +175,22 @@ RANGES = f"""SELECT ip, page_id, cidr FROM (
 JOIN (SELECT page_id, cidr, len, CASE WHEN contains(net, ':') THEN {_hex("replace(net, ':', '')")} ELSE {_quad("net")} END AS nb, contains(net, ':') AS six
  FROM (SELECT page_id, cidr, split_part(cidr, '/', 1) AS net, TRY_CAST(nullif(split_part(cidr, '/', 2), '') AS INT) AS len FROM ({NETWORKS.replace("{S}", "VARCHAR")} FROM pages)) WHERE len <= CASE WHEN contains(net, ':') THEN 128 ELSE 32 END) n
 ON contains(ip, ':') = six AND b[1:len] = nb[1:len]"""
+TALKER_DAYS = """
+ph AS (SELECT client_ip, CASE WHEN day(ts) <= 10 THEN 1 WHEN day(ts) <= 20 THEN 2 ELSE 3 END AS ph, min(ts) AS f, max(ts) AS l, count(*) AS n, count(*) FILTER (bad) AS b FROM base GROUP BY ALL),
+mm AS (SELECT ph, max(l) AS m FROM ph GROUP BY ph),
+nx AS (SELECT p.*, lag(l) OVER (PARTITION BY client_ip ORDER BY ph) AS pl, (SELECT max(m) FROM mm WHERE mm.ph < p.ph) AS pm FROM ph p),
+ss AS (SELECT *, sum(CASE WHEN pl IS NULL OR pl + INTERVAL 1 DAY <= pm THEN 1 ELSE 0 END) OVER (PARTITION BY client_ip ORDER BY ph) AS sid FROM nx)"""
+WORDS = "wd AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z\\x{00DF}-\\x{00FF}]{4,}')) AS w FROM documents)"
+#: Entropy of a word's bytes.
+_BYTES = "(SELECT -sum(n / strlen(w)::DOUBLE * log2(n / strlen(w)::DOUBLE)) FROM (SELECT count(*) AS n FROM (SELECT unnest(range(strlen(w))) AS i) GROUP BY substr(hex(encode(w)), (2 * i + 1)::BIGINT, 2)))"
+
+
+def _mode(e: str) -> str:
+    return f"CASE WHEN strlen(s) >= 8 THEN CASE WHEN {e} > 4.0 + 1e-9 THEN 'HIGH_ENTROPY' WHEN r > 0.6 OR c > 5 THEN 'LEXICAL_ANALYSIS' END END"
+
+
+#: With responses that never come or come too late.
+_ANSWERED = (BASE, ANSWERS.replace("answers AS (", "answers AS (SELECT * FROM (") + " WHERE event_id % 7 <> 3 AND event_id % 11 <> 5)", LISTS, DOMAINS, FEATURES, MATCH, DSCORE, CLOAK, INSPECT)
 _ALL = (BASE, ANSWERS, LISTS, DOMAINS, FEATURES, MATCH, DSCORE, CLOAK, INSPECT)
 
 
@@ -255,7 +272,7 @@ def oracle_sql() -> dict[str, str]:
         "asn_hits": _with(BASE, ANSWERS) + RANGES,
         "resolve": _with(BASE, LISTS, DOMAINS, FEATURES, MATCH, RESOLVE) + "SELECT event_id, CASE WHEN reason IS NOT NULL THEN 'Block' WHEN whitelisted THEN 'Allow' ELSE 'ProxyToUpstream' END AS action, reason, detail FROM base JOIN rs ON rs.domain = base.domain",
         "verdict": _with(*_ALL, _fold("ag", "event_id", "(SELECT t0.total FROM base bb JOIN ds t0 ON t0.domain = bb.domain WHERE bb.event_id = s.event_id)", _STOPS), RESOLVE, VERDICT) + "SELECT event_id, domain, action, reason, detail, flags, total, reasons, pass_action FROM vd",
-        "source_effectiveness": _with(*_ALL, _fold("ag", "event_id", "(SELECT t0.total FROM base bb JOIN ds t0 ON t0.domain = bb.domain WHERE bb.event_id = s.event_id)", _STOPS), RESOLVE, VERDICT) + "SELECT rule_source AS source, count(*) AS blocks, count(DISTINCT domain) AS domains FROM vd WHERE reason = 'STATIC_BLACKLIST' GROUP BY 1",
+        "source_effectiveness": _with(*_ALL, _fold("ag", "event_id", "(SELECT t0.total FROM base bb JOIN ds t0 ON t0.domain = bb.domain WHERE bb.event_id = s.event_id)", _STOPS), RESOLVE, VERDICT) + "SELECT detail AS kind, rule_source AS source, count(*) AS blocks, count(DISTINCT domain) AS domains FROM vd WHERE reason IN ('STATIC_BLACKLIST', 'ABP_RULE') GROUP BY ALL",
         "nxdomain_hunting": b + "SELECT client_ip, max(n) AS most FROM (SELECT client_ip, count(*) OVER (PARTITION BY client_ip ORDER BY t RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS n FROM base WHERE action <> 'Allowed') GROUP BY client_ip HAVING max(n) >= 4",
         "tunneling": b + "SELECT * FROM (SELECT client_ip, array_to_string(p[greatest(len(p) - 1, 1):], '.') AS zone, (t // 86400) * 86400 AS bucket, count(DISTINCT domain) AS names, bool_or(len(list_filter(p, lambda x: strlen(x) > 60)) > 0) AS long_label FROM (SELECT *, string_split(domain, '.') AS p FROM base) GROUP BY ALL) WHERE names > 5 OR long_label",
         "txt_entropy": _with(BASE, ANSWERS) + f"SELECT event_id, max(round(e, 6)) AS entropy, max(round(e, 6)) > 1.5 AS suspicious FROM (SELECT event_id, {_entropy('rdata')} AS e FROM answers WHERE rtype = 'TXT') GROUP BY event_id",
@@ -290,10 +307,24 @@ def oracle_sql() -> dict[str, str]:
         "top_words": b + "SELECT word, count(*) AS hits FROM (SELECT unnest(regexp_extract_all(lower(domain), '[a-z]{3,}')) AS word FROM base WHERE bad) GROUP BY word ORDER BY hits DESC, word LIMIT 50",
         "retention": b + "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT client_ip) AS clients FROM base GROUP BY 1 HAVING min(date_trunc('day', ts)) + INTERVAL 1 DAY > (SELECT max(ts) FROM base) - INTERVAL 72 HOUR",
         "stream_json": b + f"SELECT event_id, domain, client_ip, action, flags, coalesce(array_to_string({_bits(_FLAG_NAME)}, ','), '') AS flags_labels FROM base",
-        "stream_refresh": b + "SELECT event_id, CASE WHEN domain LIKE '%.com' THEN domain END AS domain FROM base",
-        "stream_verdict": _with(*_ALL, _fold("ag", "event_id", "(SELECT t0.total FROM base bb JOIN ds t0 ON t0.domain = bb.domain WHERE bb.event_id = s.event_id)", _STOPS), RESOLVE, VERDICT) + "SELECT event_id, action, reason, flags, total FROM vd",
+        "stream_refresh": b + "SELECT event_id, CASE WHEN domain LIKE '%.com' THEN CASE WHEN event_id % 3 = 2 THEN upper(domain) ELSE domain END WHEN domain LIKE '%.net' AND event_id % 3 > 0 THEN domain END AS domain FROM base",
+        "stream_verdict": _with(*_ANSWERED, _fold("ag", "event_id", "(SELECT t0.total FROM base bb JOIN ds t0 ON t0.domain = bb.domain WHERE bb.event_id = s.event_id)", _STOPS), RESOLVE, VERDICT) + "SELECT event_id, action, reason, flags, total FROM vd",
         "stream_talkers": _with(BASE, TALK) + "SELECT client_ip, floor(epoch(first_seen))::BIGINT AS first, floor(epoch(last_seen))::BIGINT AS last, total, concat_ws(',', " + ", ".join(f"n_{a.lower()}" for a in ACTIONS) + ") AS actions, array_to_string(hits, ',') AS flag_hits, n_blocked + n_suspicious + n_highlysuspicious AS blocked FROM talk",
         "stream_late": b + "SELECT (t // 3600) * 3600 AS bucket, count(*) AS total FROM base WHERE event_id % 2 = 0 OR make_timestamp(((t // 3600) * 3600 + 3600) * 1000000) > (SELECT max(ts) FILTER (event_id % 2 = 0) FROM base) - INTERVAL 10 MINUTE GROUP BY 1",
+        "decode_archives": b + "SELECT domain, client_ip, action, flags, count(*) AS n, min(t) AS first FROM base GROUP BY ALL UNION ALL SELECT NULL, NULL, CASE WHEN a % 3 = 0 THEN 'torn' ELSE 'misaligned' END, NULL, count(*), NULL FROM (SELECT DISTINCT event_id // 500 AS a FROM base) WHERE a % 3 < 2 GROUP BY 3",
+        "stream_talkers_expiry": _with(BASE, TALKER_DAYS) + "SELECT client_ip, floor(epoch(min(f)))::BIGINT AS first, floor(epoch(max(l)))::BIGINT AS last, sum(n)::BIGINT AS total, sum(b)::BIGINT AS blocked, max(l) + INTERVAL 1 DAY <= (SELECT max(m) FROM mm) AS expired FROM ss GROUP BY client_ip, sid",
+        "stream_heavy_hitters": b + "SELECT domain, count(*) AS hits FROM base GROUP BY domain ORDER BY hits DESC, domain LIMIT 20",
+        "stream_delivered": b + "SELECT t || ' ' || client_ip || ' ' || action || ' ' || domain AS line FROM base WHERE action IN ('Blocked', 'Suspicious')",
+        "timeline_sketch": b + " UNION ALL ".join(f"SELECT {z} AS zoom, (t // {z}) * {z} AS bucket, {_COUNTS}, count(*) AS total, count(DISTINCT client_ip) AS clients FROM base GROUP BY 2" for z in ZOOMS),
+        "retention_tiers": b + ", ".join(["SELECT 'hour' AS tier", "(t // 3600) * 3600 AS at", "client_ip", "action", "count(*) AS n FROM base WHERE date_trunc('day', ts) + INTERVAL 1 DAY > (SELECT max(ts) FROM base) - INTERVAL 240 HOUR GROUP BY ALL"]) + " UNION ALL SELECT 'event', (t // 86400) * 86400, NULL, NULL, count(*) FROM base WHERE date_trunc('day', ts) + INTERVAL 1 DAY > (SELECT max(ts) FROM base) - INTERVAL 72 HOUR GROUP BY 2",
+        "search_store": b + f"SELECT {rec} FROM base WHERE ts BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-12 18:00:00' AND client_ip = '10.0.0.7' {newest} LIMIT 1000",
+        "typosquat_2": _with(BASE, DOMAINS) + "SELECT name, brand, levenshtein(name, brand) AS edits FROM (SELECT DISTINCT p[1] AS name FROM dom) JOIN (SELECT DISTINCT p[1] AS brand FROM dom WHERE domain LIKE 'ads%.tracker.net') ON abs(length(name) - length(brand)) <= 2 WHERE levenshtein(name, brand) BETWEEN 1 AND 2",
+        "verdict_ngram": _with(BASE, LISTS, DOMAINS, FEATURES, MATCH, _ngrams(2, -6.5), _scores(2, "unnest(regexp_extract_all(lower(name), '[a-z]+'))", -6.5), "np AS (SELECT name, max(score) >= -4.0 AS ok FROM sc WHERE lang IN ('en', 'fr', 'de') GROUP BY name)", RESOLVE.replace("ELSE dga END AS reason", "WHEN dga IS NULL AND strlen(s) >= 8 AND NOT coalesce(np.ok, false) THEN 'LEXICAL_ANALYSIS' ELSE dga END AS reason").replace("fd.domain = mt.domain)", "fd.domain = mt.domain LEFT JOIN np ON np.name = fd.s)"))
+        + "SELECT event_id, CASE WHEN reason IS NOT NULL THEN 'Block' WHEN whitelisted THEN 'Allow' ELSE 'ProxyToUpstream' END AS action, reason, detail FROM base JOIN rs ON rs.domain = base.domain",
+        "verdict_status": _with(*_ALL, _fold("ag", "event_id", "(SELECT t0.total FROM base bb JOIN ds t0 ON t0.domain = bb.domain WHERE bb.event_id = s.event_id)", _STOPS), RESOLVE, VERDICT.replace("fc.added, fc.reasons AS r1", "CASE WHEN b.event_id % 3 = 0 THEN fc.added END AS added, CASE WHEN b.event_id % 3 = 0 THEN fc.reasons END AS r1").replace("CASE WHEN tot >= 10", "CASE WHEN event_id % 3 = 2 THEN NULL WHEN tot >= 10"))
+        + "SELECT event_id, action, reason, flags, total, reasons, pass_action FROM vd",
+        "entropy_modes": _with(WORDS) + f"SELECT w || '.example' AS domain, round(fast, 6) AS fast, round(slow, 6) AS full, {_mode('fast')} AS dga_fast, {_mode('slow')} AS dga_full FROM (SELECT w, w AS s, {_RATIO.replace(' s,', ' w,').replace('(s,', '(w,')} AS r, {_RUN.replace('(s,', '(w,')} AS c, {_entropy('w')} AS slow, {_BYTES} AS fast FROM wd)",
+        "idn_names": _with(WORDS) + "SELECT domain, regexp_matches(domain, '^[\\x00-\\x7F\\x{00C0}-\\x{024F}\\x{1E00}-\\x{1EFF}]*$') AS latin, regexp_matches(domain, '^[\\x00-\\x7F\\x{00C0}-\\x{00FF}\\x{0152}\\x{0153}]*$') AS western, strlen(domain) <> length(domain) OR regexp_matches(domain, '(^|\\.)xn--') AS illegal FROM (SELECT ['', 'ő', 'ж', '例'][(length(w) + 8) % 4 + 1] || w || '.example' AS domain FROM wd)",
         "stream_flags": b + f"SELECT {_FLAG_NAME}[bit + 1] AS flag, count(*) AS hits FROM ({flagged}) GROUP BY bit",
     }
     return q

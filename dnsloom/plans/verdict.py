@@ -10,37 +10,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnsloom.config import BIT, WHITELIST, WILDCARD, EngineConfig
-from dnsloom.functions.lexical import banned_keyword, dga_reason
-from dnsloom.functions.names import ancestors, forbidden_qtype, illegal_idn, normalize_domain, structure_invalid
+from dnsloom.functions.lexical import banned_keyword, dga_reason, ngram_verdicts
+from dnsloom.functions.names import ancestors, forbidden_qtype, illegal_idn, normalize_domain, sld, structure_invalid
 from dnsloom.operators.match import matches
 from dnsloom.operators.ranges import inside, network_table
 from dnsloom.operators.score import answer_score, classify, domain_score, inspected, nothing
 
 
-def domain_facts(domains: DataFrame, rules: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Per distinct domain: rule hits, heuristics and score."""
-    d = F.col("domain")
+def domain_facts(domains: DataFrame, rules: DataFrame, cfg: EngineConfig, model: DataFrame | None = None) -> DataFrame:
+    """Per distinct domain: rule hits, heuristics and score. ``model`` (as ``lexical.ngram_train`` makes it) is asked where ``cfg`` says so."""
+    d, passes = F.col("domain"), None
+    facts = matches(domains, rules)
+    if cfg.use_ngram:
+        if model is None:
+            raise ValueError("use_ngram needs a language model")
+        facts = facts.withColumn("sld", sld(d)).join(ngram_verdicts(facts.select("domain"), model, cfg), "sld", "left")
+        passes = F.coalesce("ngram_pass", F.lit(True))  # labels that are too short are not judged
     return (
-        matches(domains, rules)
+        facts
         .withColumn("structure_invalid", structure_invalid(d, cfg))
         .withColumn("illegal_idn", illegal_idn(d, cfg))
         .withColumn("keyword", banned_keyword(d, cfg))
-        .withColumn("dga", dga_reason(d, cfg))
+        .withColumn("dga", dga_reason(d, cfg, passes))
         .withColumn("score", domain_score(d, F.col("is_nrd"), cfg))
     )
 
 
-def _action(action: str, reason: str | None = None, detail: Column | None = None) -> Column:
-    return F.struct(F.lit(action).alias("action"), F.lit(reason).cast("string").alias("reason"), (detail if detail is not None else F.lit(None)).cast("string").alias("detail"))
+def _action(action: str, reason: str | None = None, detail: Column | None = None, source: Column | None = None) -> Column:
+    text = lambda c: (c if c is not None else F.lit(None)).cast("string")
+    return F.struct(F.lit(action).alias("action"), F.lit(reason).cast("string").alias("reason"), text(detail).alias("detail"), text(source).alias("source"))
 
 
 def resolution(cfg: EngineConfig) -> Column:
-    """(action, reason, detail) of the first step that decides. Structure and IDN come before the configured steps; the end is the upstream server."""
+    """(action, reason, detail, source: the list whose rule decided) of the first step that decides. Structure and IDN come before the configured steps; the end is the upstream server."""
     steps = {
         "whitelist": [(F.col("whitelisted"), _action("Allow"))],
         "hot_cache": [],
-        "static_block": [(F.col("static_blocked"), _action("Block", "STATIC_BLACKLIST", F.lit("blocklist")))],
-        "suffix_match": [(F.col(f"{k}_blocked"), _action("Block", "ABP_RULE", F.lit(v))) for k, v in (("suffix", "wildcard"), ("glob", "glob"), ("regex", "regex"))],
+        "static_block": [(F.col("static_blocked"), _action("Block", "STATIC_BLACKLIST", F.lit("blocklist"), F.col("rule_source")))],
+        "suffix_match": [(F.col(f"{k}_blocked"), _action("Block", "ABP_RULE", F.lit(v), F.col(f"{k}_source"))) for k, v in (("suffix", "wildcard"), ("glob", "glob"), ("regex", "regex"))],
         "heuristics": [(F.col("keyword").isNotNull(), _action("Block", "BANNED_KEYWORD", F.col("keyword"))), (F.col("dga") == "HIGH_ENTROPY", _action("Block", "HIGH_ENTROPY")), (F.col("dga").isNotNull(), _action("Block", "LEXICAL_ANALYSIS"))],
         "upstream": [(F.lit(True), _action("ProxyToUpstream"))],
     }
@@ -51,10 +58,10 @@ def resolution(cfg: EngineConfig) -> Column:
     return chain.otherwise(_action("ProxyToUpstream"))
 
 
-def resolve(queries: DataFrame, rules: DataFrame, cfg: EngineConfig) -> DataFrame:
+def resolve(queries: DataFrame, rules: DataFrame, cfg: EngineConfig, model: DataFrame | None = None) -> DataFrame:
     """``queries`` (with domain) plus resolution (action, reason, detail), score, facts of the domain."""
     normal = queries.withColumn("domain", normalize_domain(F.col("domain")))
-    facts = domain_facts(normal.select("domain"), rules, cfg).withColumn("resolution", resolution(cfg))
+    facts = domain_facts(normal.select("domain"), rules, cfg, model).withColumn("resolution", resolution(cfg))
     return normal.join(facts, "domain", "left")
 
 
@@ -81,7 +88,7 @@ def inspected_events(answers: DataFrame, rules: DataFrame, networks: DataFrame)
     return seen.join(marked(listed_events(answers, networks), "listed"), "event_id", "left")
 
 
-def verdict(queries: DataFrame, answers: DataFrame, rules: DataFrame, cfg: EngineConfig, networks: DataFrame | None = None) -> DataFrame:
+def verdict(queries: DataFrame, answers: DataFrame, rules: DataFrame, cfg: EngineConfig, networks: DataFrame | None = None, model: DataFrame | None = None) -> DataFrame:
     """Per query: event_id, ts, client_ip, domain, qtype, action, reason, detail, flags, total, reasons, pass_action.
 
     A forbidden query type blocks first, a resolution that blocks keeps its
@@ -91,7 +98,7 @@ def verdict(queries: DataFrame, answers: DataFrame, rules: DataFrame, cfg: Engin
     a query without answers counts as unparsed unless it says otherwise.
     ``networks``: blocked ones as ``ranges.parse_networks`` gives them, of any number; else those of ``cfg``.
     """
-    resolved = resolve(queries, rules, cfg)
+    resolved = resolve(queries, rules, cfg, model)
     seen = inspected_events(answers, rules, networks if networks is not None else network_table(answers.sparkSession, cfg.blocked_networks))
     j = resolved.join(seen, "event_id", "left")
     if "answer_status" not in queries.columns:
@@ -116,5 +123,5 @@ def verdict(queries: DataFrame, answers: DataFrame, rules: DataFrame, cfg: Engin
         F.when(bad_type | blocks, F.lit(None)).otherwise(F.col("final.total")).cast("int").alias("total"),
         F.when(bad_type | blocks, F.lit(None)).otherwise(F.array_join("final.reasons", ",")).alias("reasons"),
         F.when(bad_type | blocks, F.lit(None).cast("string")).otherwise(F.col("pass_action")).alias("pass_action"),
-        "rule_source",
+        F.when(~bad_type & blocks, F.col("resolution.source")).alias("rule_source"),
     )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from functools import partial
+from dataclasses import replace
+from datetime import datetime
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +17,11 @@ from dnsloom.operators import events as ev
 from dnsloom.operators import extras, match, ranges, rules, score
 from dnsloom.plans import verdict as vd
 from dnsloom.sources import frames as fr
-from dnsloom.sources import dimensions, lists
+from dnsloom.sources import dimensions, lists, versions
 from dnsloom.sources.dimensions import domain_map
 from dnsloom.sources.tables import stored, work_dir
 from dnsloom.streaming import streams
+from dnsloom.streaming.sinks import rocksdb_state
 
 CFG = EngineConfig()
 
@@ -196,6 +199,15 @@ def decoded(spark, d: str) -> DataFrame:
     return named.groupBy("domain", "client_ip", "action", "flags").agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_seconds("ts")).alias("first"))
 
 
+def decoded_archives(spark, d: str) -> DataFrame:
+    """Frames of archives, decoded and counted, and what the archives hold that is no frame."""
+    frames, rest = fr.split_archives(fx.archives(spark, d))
+    mappings, events, _ = fr.decode_frames(stored(frames, "frames"))
+    named = stored(events, "events").join(stored(mappings, "mappings"), "domain_hash", "left")
+    counted = named.groupBy("domain", "client_ip", "action", "flags").agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_seconds("ts")).alias("first"))
+    return counted.unionByName(rest.groupBy(F.col("fault").alias("action")).agg(F.count(F.lit(1)).alias("n")), allowMissingColumns=True)
+
+
 def _failures(spark, d: str) -> DataFrame:
     return fx.dns_events(spark, d).filter("action <> 'Allowed'")
 
@@ -208,10 +220,10 @@ def list_overlap(spark, d: str) -> DataFrame:
     return extras.list_overlap(_parsed(spark, d))
 
 
-def typosquat(spark, d: str) -> DataFrame:
+def typosquat(spark, d: str, most: int = 1) -> DataFrame:
     brands = _domains(spark, d).filter("domain like 'ads%.tracker.net'").select(F.regexp_extract("domain", r"^(ads\d+)", 1).alias("brand")).distinct()
     subs = _domains(spark, d).select(F.concat(F.element_at(F.split("domain", r"\."), 1), F.lit(".x")).alias("domain"))
-    return extras.typosquat(subs, brands, 1)
+    return extras.typosquat(subs, brands, most)
 
 
 def log_strategy(spark, d: str) -> DataFrame:
@@ -317,6 +329,58 @@ def retention(spark, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("client_ip").alias("clients"))
 
 
+def retention_tiers(spark, d: str) -> DataFrame:
+    """Events for 72 hours and their hourly rollup for ten days; half of every fifth hour comes late, and an hour is worked out twice."""
+    events, root = stored(fx.dns_events(spark, d), "events"), f"{work_dir(spark)}/tiers-{uuid.uuid4().hex}"
+    log, roll = f"{root}/log", f"{root}/hours"
+    late = (F.hour("ts") % 5 == 0) & (F.col("event_id") % 2 == 0)
+    for some in (events.filter(~late), events.filter(late)):
+        extras.write_events(some, log)
+        extras.refresh_rollup(spark, log, roll, some)
+    extras.refresh_rollup(spark, log, roll, events.filter(late))
+    newest = events.agg(F.max("ts")).first()[0]
+    extras.expire(spark, log, hours=72)
+    extras.expire(spark, roll, hours=240, newest=newest)
+    kept = spark.read.parquet(log).groupBy(F.unix_seconds(F.col("day").cast("timestamp")).alias("at")).agg(F.count(F.lit(1)).alias("n")).withColumn("tier", F.lit("event"))
+    hours = spark.read.parquet(roll).select(F.col("hour").cast("long").alias("at"), "client_ip", "action", "n", F.lit("hour").alias("tier"))
+    return hours.unionByName(kept, allowMissingColumns=True).select("tier", "at", "client_ip", "action", "n")
+
+
+def search_store(spark, d: str) -> DataFrame:
+    """A search in the stored log that opens three days and the files that can hold the client."""
+    path = f"{work_dir(spark)}/log-{uuid.uuid4().hex}"
+    extras.write_events(fx.dns_events(spark, d), path)
+    return extras.search_store(spark, path, since=datetime(2024, 1, 10, 6), until=datetime(2024, 1, 12, 18), client="10.0.0.7", limit=1000)
+
+
+def verdict_ngram(spark, d: str) -> DataFrame:
+    """Resolution with the language models asked after entropy and consonants."""
+    model = lexical.ngram_train(spark.read.parquet(f"{d}/documents.parquet"))
+    r = vd.resolve(fx.dns_queries(spark, d), compiled(spark, d), replace(CFG, use_ngram=True), stored(model, "model"))
+    return r.select("event_id", F.col("resolution.action").alias("action"), F.col("resolution.reason").alias("reason"), F.col("resolution.detail").alias("detail"))
+
+
+def verdict_status(spark, d: str) -> DataFrame:
+    """Verdicts where a third of the answers could not be read and a third never came."""
+    status = F.element_at(F.array(F.lit("ok"), F.lit("unparsed"), F.lit("error")), (F.col("event_id") % 3 + 1).cast("int"))
+    v = vd.verdict(fx.dns_queries(spark, d).withColumn("answer_status", status), fx.dns_answers(spark, d), compiled(spark, d), CFG)
+    return v.select("event_id", "action", "reason", "flags", "total", "reasons", "pass_action")
+
+
+def entropy_modes(spark, d: str) -> DataFrame:
+    """Entropy over bytes and over characters of names beyond ASCII, and what either mode makes of them."""
+    c = F.col("domain")
+    s, slow = names.sld(c), replace(CFG, entropy_fast=False)
+    return fx.words(spark, d).select("domain", F.round(lexical.entropy_fast(s), 6).alias("fast"), F.round(lexical.entropy_full(s), 6).alias("full"), lexical.dga_reason(c, CFG).alias("dga_fast"), lexical.dga_reason(c, slow).alias("dga_full"))
+
+
+def idn_names(spark, d: str) -> DataFrame:
+    """Names of several scripts against the scripts that are let through."""
+    heads = F.element_at(F.array(*[F.lit(x) for x in ("", "ő", "ж", "例")]), F.length("domain") % 4 + 1)
+    c = F.concat(heads, F.col("domain"))
+    return fx.words(spark, d).select(c.alias("domain"), names.in_scripts(c, ["latin"]).alias("latin"), names.in_scripts(c, ["western_european"]).alias("western"), names.illegal_idn(c, CFG).alias("illegal"))
+
+
 def _as_stream(spark, df: DataFrame, parts: int = 1) -> DataFrame:
     """A table as a stream of files of ``parts`` folders, one file for each trigger."""
     root = f"{work_dir(spark)}/source-{uuid.uuid4().hex}"
@@ -331,22 +395,28 @@ def stream_json(spark, d: str) -> DataFrame:
 
 
 def stream_refresh(spark, d: str) -> DataFrame:
-    """Events named from a map that is read anew for each micro-batch."""
-    known = stored(dimensions.domain_map(fx.dns_events(spark, d).filter("domain like '%.com'")), "map")
-    hashed, out = _streamed(spark, d).withColumn("domain_hash", F.xxhash64("domain")), f"{work_dir(spark)}/refresh-{uuid.uuid4().hex}"
-    started = streams.enrich_stream(hashed, lambda: known, lambda t, n: t.write.mode("overwrite").parquet(f"{out}/out/batch={n}"))
-    started.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    t = spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/out")
+    """Events in three batches, named from a map that changes in between: .com names, then .net names too, then .com names in capitals."""
+    events, root = stored(_typed_events(spark, d).withColumn("domain_hash", F.xxhash64("domain")), "events"), f"{work_dir(spark)}/refresh-{uuid.uuid4().hex}"
+    for k, like in enumerate(("%.com", "%.net", "%.com")):
+        loaded = domain_map(events.filter(F.col("domain").like(like)))
+        loaded = loaded.withColumn("domain", F.upper("domain")) if k == 2 else loaded
+        versions.publish(loaded, f"{root}/map", merge_with=dimensions.merge_domain_map)
+        events.filter(F.col("event_id") % 3 == k).write.mode("append").parquet(f"{root}/in")
+        named = streams.enrich_from_versions(spark.readStream.schema(events.schema).parquet(f"{root}/in"), f"{root}/map", "events", lambda t, n: t.write.mode("overwrite").parquet(f"{root}/out/batch={n}"))
+        named.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    t = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/out")
     return t.select("event_id", F.when(~F.col("domain").startswith("#"), F.col("domain")).alias("domain"))
 
 
 def stream_verdict(spark, d: str) -> DataFrame:
-    """Verdicts of queries and responses as two streams."""
+    """Verdicts of queries and responses as two streams. Some responses come too late and some never: those queries wait until the
+    watermark has passed them. A last row far ahead in both streams lets it pass all."""
     from dnsloom.streaming.sinks import each, read_or_empty
 
     rules_, root = compiled(spark, d), f"{work_dir(spark)}/verdicts-{uuid.uuid4().hex}"
     typed = fx.dns_queries(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    both = streams.answered_stream(_as_stream(spark, typed), _as_stream(spark, fx.dns_responses(spark, d)))
+    ahead = lambda t: t.unionByName(t.agg((F.max("ts") + F.make_interval(days=F.lit(1))).alias("ts")).withColumn("event_id", F.lit(-1).cast("long")), allowMissingColumns=True)
+    both = streams.answered_stream(_as_stream(spark, ahead(typed)), _as_stream(spark, ahead(fx.dns_responses(spark, d)))).filter("event_id >= 0")
     keep = ("event_id", "action", "reason", "flags", "total")
     each(spark, both, lambda batch, n: streams.verdicts_of_batch(batch, rules_, CFG).select(*keep), root, "append")
     return read_or_empty(spark, verdicts(spark, d).select(*keep).schema, f"{root}/out")
@@ -355,11 +425,60 @@ def stream_verdict(spark, d: str) -> DataFrame:
 def stream_talkers(spark, d: str) -> DataFrame:
     """Talkers kept as state over several micro-batches: the last word on each client."""
     s = streams.talkers_stream(_as_stream(spark, _typed_events(spark, d), 3), idle_seconds=10**9, late="3650 days")
-    last = _drained(spark, s, "update").groupBy("client_ip").agg(F.max_by(F.struct("first_seen", "last_seen", "total", "actions", "flag_hits", "blocked"), "total").alias("x")).select("client_ip", "x.*")
+    with rocksdb_state(spark):
+        t = _drained(spark, s, "update")
+    last = t.groupBy("client_ip").agg(F.max_by(F.struct("first_seen", "last_seen", "total", "actions", "flag_hits", "blocked"), "total").alias("x")).select("client_ip", "x.*")
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
     return last.select("client_ip", F.unix_seconds("first_seen").alias("first"), F.unix_seconds("last_seen").alias("last"), "total", text("actions"), text("flag_hits"), "blocked")
 
 
+def stream_talkers_expiry(spark, d: str) -> DataFrame:
+    """Talkers over three batches of ten days: who was silent for a day at the end of a batch is let go and may come back anew."""
+    from dnsloom.streaming.sinks import each
+
+    events, root = stored(_typed_events(spark, d), "events"), f"{work_dir(spark)}/talkers-{uuid.uuid4().hex}"
+    with rocksdb_state(spark):
+        for days in ((1, 10), (11, 20), (21, 31)):
+            events.filter(F.dayofmonth("ts").between(*days)).write.mode("append").parquet(f"{root}/in")
+            s = streams.talkers_stream(spark.readStream.schema(events.schema).parquet(f"{root}/in"), idle_seconds=86400, late="0 seconds")
+            each(spark, s, lambda batch, n: batch, root)
+    t = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/out")
+    g = t.groupBy("client_ip", "first_seen").agg(F.max("last_seen").alias("last_seen"), F.max("total").alias("total"), F.max("blocked").alias("blocked"), F.max("expired").alias("expired"))
+    return g.select("client_ip", F.unix_seconds("first_seen").alias("first"), F.unix_seconds("last_seen").alias("last"), "total", "blocked", "expired")
+
+
+def stream_heavy_hitters(spark, d: str) -> DataFrame:
+    """The most frequent domains from a state of bounded size."""
+    return streams.top_of(_drained(spark, streams.heavy_hitters_stream(_streamed(spark, d), "domain"), "complete"), 20, "domain")
+
+
+def timeline_sketch(spark, d: str) -> DataFrame:
+    """Timelines of all zooms from one table of minutes with sketches of their clients. A last event far ahead closes every minute."""
+    events = _typed_events(spark, d)
+    ahead = events.unionByName(events.agg((F.max("ts") + F.make_interval(days=F.lit(1))).alias("ts")), allowMissingColumns=True)
+    minutes = _drained(spark, streams.sketched_minutes(_as_stream(spark, ahead)), "append")
+    every = [streams.rolled_up(minutes, z).withColumn("zoom", F.lit(z)) for z in ev.ZOOMS]
+    return reduce(DataFrame.unionByName, every)
+
+
+def stream_delivered(spark, d: str) -> DataFrame:
+    """Lines delivered to text files by a stream whose last batch is run twice."""
+    from dnsloom.streaming.sinks import deliver_lines, read_delivered
+
+    root = f"{work_dir(spark)}/delivered-{uuid.uuid4().hex}"
+    events = stored(_typed_events(spark, d), "events")
+    for k in (0, 1):
+        events.filter(F.col("event_id") % 2 == k).write.mode("append").parquet(f"{root}/in")
+    lines = lambda: streams.forward_stream(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/in"), "{timestamp} {client_ip} {action} {domain}", ("Blocked", "Suspicious"))
+    deliver_lines(lines(), f"{root}/lines", f"{root}/checkpoint")
+    commits = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/checkpoint/commits")
+    system = commits.getFileSystem(spark._jsc.hadoopConfiguration())
+    last = max(int(f.getPath().getName()) for f in system.listStatus(commits) if f.getPath().getName().isdigit())
+    system.delete(spark._jvm.org.apache.hadoop.fs.Path(commits, str(last)), False)  # as if the driver had died before it noted the batch
+    deliver_lines(lines(), f"{root}/lines", f"{root}/checkpoint")
+    return read_delivered(spark, f"{root}/lines")
+
+
 def _typed_events(spark, d: str) -> DataFrame:
     return fx.dns_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -408,6 +527,7 @@ def queries() -> dict:
         "forward_lines": lambda s, d: ev.forward_lines(fx.dns_events(s, d), "{timestamp} [{action}] {client_ip} {domain}", ("Blocked", "Suspicious")),
         "forward_json": lambda s, d: ev.forward_json(fx.dns_events(s, d)),
         "decode_frames": decoded,
+        "decode_archives": decoded_archives,
         "name_features": name_features,
         "dga_features": dga_features,
         "ngram_model": ngram_model,
@@ -469,5 +589,16 @@ def queries() -> dict:
         "stream_verdict": stream_verdict,
         "stream_talkers": stream_talkers,
         "stream_late": stream_late,
+        "stream_talkers_expiry": stream_talkers_expiry,
+        "stream_heavy_hitters": stream_heavy_hitters,
+        "stream_delivered": stream_delivered,
+        "timeline_sketch": timeline_sketch,
+        "retention_tiers": retention_tiers,
+        "search_store": search_store,
+        "typosquat_2": partial(typosquat, most=2),
+        "verdict_ngram": verdict_ngram,
+        "verdict_status": verdict_status,
+        "entropy_modes": entropy_modes,
+        "idn_names": idn_names,
     }
     return q

@@ -7,6 +7,7 @@ or unknown frames go to a third table. Unknown reason bits are masked out.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,62 @@ def _number(h: Column, at: int, n: int) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
+#: Frames handed on at once.
+HELD = 50_000
+
+
+def _cut(content: bytes):
+    """(offset, bytes, fault) of each frame of an archive in turn; fault is None, or why the rest from there is no frame."""
+    at, end = 0, len(content)
+    while at < end:
+        size = int.from_bytes(content[at : at + 2], "little")
+        stop = at + 2 + size
+        if at + 2 > end or stop > end:
+            yield at, content[at:], "torn"
+            return
+        known = size > 0 and content[at + 2] in (0, 1)
+        if not known and stop < end and not (stop + 3 <= end and content[stop + 2] in (0, 1) and int.from_bytes(content[stop : stop + 2], "little") > 0):
+            yield at, content[at:], "misaligned"
+            return
+        yield at, content[at:stop], None
+        at = stop
+
+
+def _split(batches):
+    def rows(held):
+        cols = list(zip(*held, strict=True)) or [(), (), (), (), ()]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["archive", "frame_no", "at", "frame", "fault"])
+
+    for batch in batches:
+        for name, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
+            held = []
+            for k, (at, frame, fault) in enumerate(_cut(content.as_py() or b"")):
+                held.append((name, k, at, frame, fault))
+                if len(held) >= HELD:
+                    yield rows(held)
+                    held = []
+            yield rows(held)
+
+
+def split_archives(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Byte strings of many frames each (archive: a name, content) -> (archive, frame_no, at, frame; archive, frame_no, at, frame: the rest, fault).
+
+    Each frame begins with its length. Where fewer bytes are left than it says, the rest is set aside as ``torn``. A frame of an
+    unknown type is passed on (``decode_frames`` sets it aside alone) if another frame or the end follows it; else the lengths
+    cannot be trusted any more, and the rest is set aside as ``misaligned``. Archives are split side by side, each in one pass;
+    one archive has to fit into a task's memory. Null and empty ones have no frames.
+    """
+    one = archives.select(F.col("archive").cast("string").alias("archive"), "content")
+    found = one.mapInArrow(_split, "archive string, frame_no long, at long, frame binary, fault string")
+    return found.filter("fault is null").drop("fault"), found.filter("fault is not null")
+
+
+def read_archives(spark, path: str) -> DataFrame:
+    """Files of concatenated frames, a row each, for ``split_archives``."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
+
+
 def decode_frames(frames: DataFrame, column: str = "frame") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(mappings: domain_hash, domain; events: ts, domain_hash, client_ip, action, flags; frames that are neither)."""
     h = F.hex(column)

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from dnsloom.config import ACTIONS, BLOCKED_CLASS, REASONS, EngineConfig
 from dnsloom.operators.events import event_records, forward_json, forward_lines
@@ -53,23 +53,30 @@ def forward_stream(events: DataFrame, template: str | None = None, actions: Sequ
 
 
 TALKER = "first_seen timestamp, last_seen timestamp, total long, actions array<long>, flag_hits array<long>"
+_BAD = [a in BLOCKED_CLASS for a in ACTIONS]
 
 
-def talkers_stream(events: DataFrame, *, idle_seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
-    """Per client first and last seen, total, a count per action and per flag, blocked events, updated as they come.
+class Talkers(StatefulProcessor):
+    """A client's first and last seen, total, counts per action and per flag, as one value; a timer of event time lets it go.
 
-    A client without events for ``idle_seconds`` of event time is dropped with its counts. What a batch brings is counted
-    by Arrow columns; the state of a client is a row of 22 numbers, so it is bounded by the number of live clients.
+    What a batch brings is counted by columns. The state is a row of 22 numbers per live client.
     """
-    bad = [a in BLOCKED_CLASS for a in ACTIONS]
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        first, last, total, actions, hits = state.get if state.exists else (None, None, 0, [0] * len(ACTIONS), [0] * len(REASONS))
-        actions, hits = list(actions), list(hits)
-        for p in parts:
+
+    def __init__(self, idle_seconds: int):
+        self.idle = idle_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", TALKER)
+
+    def _row(self, client: str, expired: bool) -> pd.DataFrame:
+        first, last, total, actions, hits = self.seen.get()
+        blocked = sum(n for n, b in zip(actions, _BAD, strict=True) if b)
+        return pd.DataFrame({"client_ip": [client], "first_seen": [first], "last_seen": [last], "total": [total], "actions": [list(actions)], "flag_hits": [list(hits)], "blocked": [blocked], "expired": [expired]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (names are Spark's)
+        first, last, total, actions, hits = self.seen.get() if self.seen.exists() else (None, None, 0, [0] * len(ACTIONS), [0] * len(REASONS))
+        for p in rows:
             lo, hi = p["ts"].min(), p["ts"].max()
             first = lo if first is None else min(first, lo)
             last = hi if last is None else max(last, hi)
@@ -77,15 +84,61 @@ def talkers_stream(events: DataFrame, *, idle_seconds: int = 3600, late: str = "
             flags = p["flags"].fillna(0).astype("int64")
             actions = [n + int((p["action"] == a).sum()) for n, a in zip(actions, ACTIONS, strict=True)]
             hits = [n + int((flags // (1 << r[0]) % 2).sum()) for n, r in zip(hits, REASONS, strict=True)]
-        state.update((first, last, total, actions, hits))
-        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        blocked = sum(n for n, b in zip(actions, bad, strict=True) if b)
-        yield pd.DataFrame({"client_ip": [key[0]], "first_seen": [first], "last_seen": [last], "total": [total], "actions": [actions], "flag_hits": [hits], "blocked": [blocked]})
+        self.seen.update((first, last, total, actions, hits))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(max(int(pd.Timestamp(last).timestamp() * 1000) + self.idle, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._row(key[0], False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        row = self._row(key[0], True)
+        self.seen.clear()
+        yield row
+
+    def close(self) -> None:
+        pass
 
+
+def talkers_stream(events: DataFrame, *, idle_seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """Per client first and last seen, total, a count per action and per flag, blocked events, updated as they come.
+
+    A client without events for ``idle_seconds`` of event time is dropped: its counts come once more, as ``expired``, and if it
+    comes back it starts anew. Needs state in RocksDB (``sinks.rocksdb_state``).
+    """
     marked = events.withWatermark("ts", late).select("client_ip", "ts", "action", "flags")
-    return marked.groupBy("client_ip").applyInPandasWithState(
-        step, f"client_ip string, {TALKER}, blocked long", TALKER, "update", GroupStateTimeout.EventTimeTimeout
-    )
+    return marked.groupBy("client_ip").transformWithStateInPandas(Talkers(idle_seconds), f"client_ip string, {TALKER}, blocked long, expired boolean", "Update", "EventTime")
+
+
+#: Items that one part of a heavy-hitter sketch follows, and parts.
+TRACKED, SKETCHES = 4096, 16
+
+
+def heavy_hitters_stream(events: DataFrame, column: str, *, tracked: int = TRACKED, parts: int = SKETCHES) -> DataFrame:
+    """A mergeable frequent-items sketch per part of the values of ``column``, as running state: ``parts`` rows of ``tracked`` items, whatever the number of values.
+
+    A value always goes to the same part. Counts are exact while a part has at most three quarters of ``tracked`` different
+    values; past that, a count is off by at most 3.5 / ``tracked`` of the part's events. For complete mode; ``top_of`` reads it.
+    """
+    part = F.pmod(F.xxhash64(column), F.lit(parts))
+    return events.filter(F.col(column).isNotNull()).groupBy(part.alias("part")).agg(F.expr(f"approx_top_k_accumulate({column}, {tracked})").alias("sketch"))
+
+
+def top_of(sketches: DataFrame, n: int, column: str, *, tracked: int = TRACKED) -> DataFrame:
+    """The ``n`` most frequent values of ``heavy_hitters_stream``'s sketches, with their counts; equal counts in order of the value."""
+    items = sketches.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {tracked})")).alias("x")).select(F.col("x.item").alias(column), F.col("x.count").alias("hits"))
+    return items.orderBy(F.desc("hits"), column).limit(n)
+
+
+def sketched_minutes(events: DataFrame, *, late: str = "10 minutes") -> DataFrame:
+    """Per minute a count per action, total, and a mergeable sketch of the clients. Appended once a minute is over."""
+    w = events.withWatermark("ts", late).groupBy(F.window("ts", "1 minute"))
+    return w.agg(*[F.count_if(F.col("action") == a).alias(a.lower()) for a in ACTIONS], F.count(F.lit(1)).alias("total"), F.hll_sketch_agg("client_ip", 14).alias("clients")).select(F.unix_seconds("window.start").alias("minute"), *[a.lower() for a in ACTIONS], "total", "clients")
+
+
+def rolled_up(minutes: DataFrame, seconds: int) -> DataFrame:
+    """A timeline of any zoom from the sketches of minutes: counts add up, clients are those of the united sketches (about 0.8 % off)."""
+    at = (F.floor(F.col("minute") / seconds) * seconds).cast("long")
+    return minutes.groupBy(at.alias("bucket")).agg(*[F.sum(a.lower()).alias(a.lower()) for a in ACTIONS], F.sum("total").alias("total"), F.hll_sketch_estimate(F.hll_union_agg("clients")).alias("clients"))
 
 
 def top_n_stream(events: DataFrame, column: str) -> DataFrame:
@@ -108,10 +161,10 @@ def answered_stream(queries: DataFrame, responses: DataFrame, *, within: str = "
 
 
 def verdicts_of_batch(batch: DataFrame, rules: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Verdicts of a batch of ``answered_stream``: rules and heuristics are a stream-static join, worked out per distinct domain of the batch."""
+    """Verdicts of a batch of ``answered_stream``: rules and heuristics are a stream-static join, worked out per distinct domain of
+    the batch. The batch is read several times; whoever owns it keeps it meanwhile."""
     from dnsloom.plans.verdict import verdict
 
-    batch.persist()
     long = batch.select("event_id", F.explode("answers").alias("x")).select("event_id", "x.*")
     return verdict(batch.drop("answers"), long, rules, cfg)
 
@@ -120,14 +173,36 @@ def verdict_stream(queries: DataFrame, responses: DataFrame, read_rules: Callabl
     """Verdicts per micro-batch. Rules are read anew for each, so reloaded lists take effect while the stream runs."""
 
     def work(batch: DataFrame, n: int) -> None:
-        write(verdicts_of_batch(batch, read_rules(), cfg), n)
-        batch.unpersist()
+        batch.persist()
+        try:
+            write(verdicts_of_batch(batch, read_rules(), cfg), n)
+        finally:
+            batch.unpersist()
 
     return answered_stream(queries, responses).writeStream.foreachBatch(work)
 
 
-def enrich_stream(events: DataFrame, read_map: Callable[[], DataFrame], write: Callable[[DataFrame, int], None]):
-    """Events with their domains, the map read anew for each micro-batch."""
+def enrich_stream(events: DataFrame, read_map: Callable[[int], DataFrame | None], write: Callable[[DataFrame, int], None]):
+    """Events with their domains; ``read_map`` gives the map for a batch by its number, or None while there is none."""
     from dnsloom.operators.events import enrich_events
 
-    return events.writeStream.foreachBatch(lambda batch, n: write(enrich_events(batch, read_map()), n))
+    def work(batch: DataFrame, n: int) -> None:
+        known = read_map(n)
+        none = batch.sparkSession.createDataFrame([], "domain_hash long, domain string")
+        write(enrich_events(batch, known if known is not None else none), n)
+
+    return events.writeStream.foreachBatch(work)
+
+
+def enrich_from_versions(events: DataFrame, root: str, reader: str, write: Callable[[DataFrame, int], None]):
+    """Events with their domains from the versioned map below ``root``: each micro-batch takes the newest committed version, and
+    takes the same one again if it is run again."""
+    from dnsloom.sources import versions
+
+    spark = events.sparkSession
+
+    def read_map(n: int) -> DataFrame | None:
+        version = versions.pinned(spark, root, reader, n)
+        return None if version is None else versions.read(spark, root, version)
+
+    return enrich_stream(events, read_map, write)
