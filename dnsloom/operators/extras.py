@@ -104,7 +104,8 @@ def top_words(events: DataFrame, n: int = 50, *, least: int = 3) -> DataFrame:
 def write_events(events: DataFrame, path: str, *, files_a_day: int = 16) -> None:
     """The event log as a table partitioned by day. A day's clients are dealt to ``files_a_day`` files, each sorted by client and
     time and with Bloom filters of clients and domains, so a search opens few files and few row groups of them."""
-    dealt = events.withColumn("day", F.to_date("ts")).repartition("day", F.pmod(F.xxhash64("client_ip"), F.lit(files_a_day)))
+    parts = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), files_a_day)  # a number, so that small parts are not joined again
+    dealt = events.withColumn("day", F.to_date("ts")).repartition(parts, "day", F.pmod(F.xxhash64("client_ip"), F.lit(files_a_day)))
     writer = dealt.sortWithinPartitions("day", "client_ip", "ts").write.mode("append").partitionBy("day")
     for column in ("client_ip", "domain"):
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")

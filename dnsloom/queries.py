@@ -416,9 +416,9 @@ def stream_verdict(spark, d: str) -> DataFrame:
     rules_, root = compiled(spark, d), f"{work_dir(spark)}/verdicts-{uuid.uuid4().hex}"
     typed = fx.dns_queries(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     ahead = lambda t: t.unionByName(t.agg((F.max("ts") + F.make_interval(days=F.lit(1))).alias("ts")).withColumn("event_id", F.lit(-1).cast("long")), allowMissingColumns=True)
-    both = streams.answered_stream(_as_stream(spark, ahead(typed)), _as_stream(spark, ahead(fx.dns_responses(spark, d)))).filter("event_id >= 0")
+    both = streams.answered_stream(_as_stream(spark, ahead(typed)), _as_stream(spark, ahead(fx.dns_responses(spark, d))))
     keep = ("event_id", "action", "reason", "flags", "total")
-    each(spark, both, lambda batch, n: streams.verdicts_of_batch(batch, rules_, CFG).select(*keep), root, "append")
+    each(spark, both, lambda batch, n: streams.verdicts_of_batch(batch.filter("event_id >= 0"), rules_, CFG).select(*keep), root, "append")
     return read_or_empty(spark, verdicts(spark, d).select(*keep).schema, f"{root}/out")
 
 

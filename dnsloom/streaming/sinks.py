@@ -112,7 +112,7 @@ def deliver_with(lines: DataFrame, post: Callable[[str, Iterator[str]], None], f
         if not system.globStatus(_there(spark, f"{kept}/part=*")[1]):
             return  # nothing in this batch
         rows = spark.read.schema("line string, part int").parquet(kept)
-        before = [r[0] for r in read_or_empty(spark, StructType().add("part", "int"), done).distinct().collect()]  # parts of one batch
+        before = [r[0] for r in read_or_empty(spark, StructType().add("part", "integer"), done).distinct().collect()]  # parts of one batch
         left = rows.filter(~F.col("part").isin(before)) if before else rows
 
         # A part's rows together and in one task, handed on as they come.
