@@ -11,21 +11,22 @@ from dnsloom.config import EngineConfig
 from dnsloom.functions.names import clean_tlds, sld, suspicious_tld
 
 
-def _entropy(symbols: Column, size: Column) -> Column:
-    """Shannon entropy in bits of an array's values over ``size``."""
-    kinds = F.array_distinct(symbols)
-    share = lambda k: F.size(F.filter(symbols, lambda x: x == k)) / size
-    return F.when(size > 0, F.aggregate(F.transform(kinds, share), F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
+def _entropy(kinds: Column, count, size: Column) -> Column:
+    """Shannon entropy in bits over ``size`` of symbols that occur ``count(kind)`` times each."""
+    return F.when(size > 0, F.aggregate(F.transform(kinds, lambda k: count(k) / size), F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
 
 
-def entropy_fast(s: Column) -> Column:
-    """Over bytes."""
-    return _entropy(F.regexp_extract_all(F.hex(F.encode(s, "UTF-8")), F.lit("(..)"), F.lit(1)), F.octet_length(s))
+def entropy_full(s: Column) -> Column:
+    """Frequencies of characters over the number of bytes. A character is counted by what its removal takes away."""
+    kinds = F.filter(F.array_distinct(F.split(s, "")), lambda x: x != "")
+    return _entropy(kinds, lambda k: F.length(s) - F.length(F.replace(s, k, F.lit(""))), F.octet_length(s))
 
 
-def entropy_full(s: Column) -> Column:
-    """Frequencies of characters over the number of bytes."""
-    return _entropy(F.regexp_extract_all(s, F.lit("(?s)(.)"), F.lit(1)), F.octet_length(s))
+def entropy_fast(s: Column) -> Column:
+    """Over bytes; where each is a character, as over characters."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(s, "UTF-8")), F.lit("(..)"), F.lit(1))
+    by_bytes = _entropy(F.array_distinct(pairs), lambda k: F.size(F.filter(pairs, lambda x: x == k)), F.octet_length(s))
+    return F.when(F.octet_length(s) == F.length(s), entropy_full(s)).otherwise(by_bytes)
 
 
 def entropy(s: Column, cfg: EngineConfig) -> Column:
@@ -47,14 +48,22 @@ def consonant_suspicious(s: Column, cfg: EngineConfig) -> Column:
     return (F.octet_length(s) >= 4) & ((consonant_ratio(s) > cfg.consonant_ratio) | (max_consonant_run(s) > cfg.consonant_run))
 
 
-def dga_reason(d: Column, cfg: EngineConfig, ngram_pass: Column | None = None) -> Column:
-    """HIGH_ENTROPY, LEXICAL_ANALYSIS or null, judged on the second-level label of 8 bytes or more: by entropy, by consonants, and
-    by the language models where ``ngram_pass`` (whether one accepts the label) is given."""
+def generated(d: Column, cfg: EngineConfig) -> Column:
+    """Of the second-level label: high_entropy and consonants, both null below the length from which it is judged."""
     s = sld(d)
-    chain = F.when(entropy(s, cfg) > cfg.entropy_threshold + 1e-9, "HIGH_ENTROPY").when(consonant_suspicious(s, cfg), "LEXICAL_ANALYSIS")
+    judged = F.octet_length(s) >= cfg.dga_min_bytes
+    high = F.when(judged, entropy(s, cfg) > cfg.entropy_threshold + 1e-9)
+    return F.struct(high.alias("high_entropy"), F.when(judged, consonant_suspicious(s, cfg)).alias("consonants"))
+
+
+def dga_reason(d: Column, cfg: EngineConfig, ngram_pass: Column | None = None, signs: Column | None = None) -> Column:
+    """HIGH_ENTROPY, LEXICAL_ANALYSIS or null, judged on the second-level label of 8 bytes or more: by entropy, by consonants, and
+    by the language models where ``ngram_pass`` (whether one accepts the label) is given. ``signs``: ``generated`` as a column."""
+    signs = generated(d, cfg) if signs is None else signs
+    chain = F.when(signs["high_entropy"], "HIGH_ENTROPY").when(signs["consonants"], "LEXICAL_ANALYSIS")
     if ngram_pass is not None:
-        chain = chain.when(~ngram_pass, "LEXICAL_ANALYSIS")
-    return F.when(F.octet_length(s) >= cfg.dga_min_bytes, chain)
+        chain = chain.when(signs["consonants"].isNotNull() & ~ngram_pass, "LEXICAL_ANALYSIS")
+    return chain
 
 
 def banned_keyword(d: Column, cfg: EngineConfig) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnsloom.config import BIT, EngineConfig
-from dnsloom.functions.lexical import banned_keyword, consonant_suspicious, entropy
-from dnsloom.functions.names import depth, has_idn, normalize_domain, sld, suspicious_tld
+from dnsloom.functions.lexical import banned_keyword, generated
+from dnsloom.functions.names import depth, has_idn, normalize_domain, suspicious_tld
 from dnsloom.functions.network import is_private_ip
 
 Signal = tuple[Column, Column, str]
@@ -37,12 +37,12 @@ def nothing() -> Column:
     return F.struct(F.lit(0).alias("total"), F.array().cast("array<string>").alias("reasons"), F.lit(False).alias("stop"))
 
 
-def domain_score(d: Column, is_nrd: Column, cfg: EngineConfig) -> Column:
-    """(total, reasons) of a domain by its own looks and the newly-registered list."""
-    s = sld(d)
-    long_sld = F.octet_length(s) >= cfg.dga_min_bytes
+def domain_score(d: Column, is_nrd: Column, cfg: EngineConfig, signs: Column | None = None, keyword: Column | None = None) -> Column:
+    """(total, reasons) of a domain by its own looks and the newly-registered list. ``signs`` (``lexical.generated``) and ``keyword``
+    as columns, where they are there already."""
+    signs = generated(d, cfg) if signs is None else signs
     odd_tld = suspicious_tld(d, cfg.suspicious_tlds) if cfg.suspicious_tlds and cfg.lexical_enabled and cfg.keywords else F.lit(False)
-    keyword = banned_keyword(d, cfg).isNotNull()
+    keyword = (banned_keyword(d, cfg) if keyword is None else keyword).isNotNull()
     rows = [
         (F.octet_length(d) > cfg.long_domain_bytes, F.lit(3), "INVALID_STRUCTURE"),
         (depth(d) >= cfg.deep_dots, F.lit(3), "INVALID_STRUCTURE"),
@@ -50,8 +50,8 @@ def domain_score(d: Column, is_nrd: Column, cfg: EngineConfig) -> Column:
         (odd_tld & ~keyword, F.lit(3), "TLD_EXCLUDED"),
         (has_idn(d), F.lit(6), "SUSPICIOUS_IDN"),
         (is_nrd, F.lit(5), "NRD_LIST"),
-        (long_sld & (entropy(s, cfg) > cfg.entropy_threshold + 1e-9), F.lit(4), "HIGH_ENTROPY"),
-        (long_sld & consonant_suspicious(s, cfg), F.lit(3), "LEXICAL_ANALYSIS"),
+        (signs["high_entropy"], F.lit(4), "HIGH_ENTROPY"),
+        (signs["consonants"], F.lit(3), "LEXICAL_ANALYSIS"),
     ]
     return fold(nothing(), signals(rows), cfg.block_at)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnsloom.config import BIT, WHITELIST, WILDCARD, EngineConfig
-from dnsloom.functions.lexical import banned_keyword, dga_reason, ngram_verdicts
+from dnsloom.functions.lexical import banned_keyword, dga_reason, generated, ngram_verdicts
 from dnsloom.functions.names import ancestors, forbidden_qtype, illegal_idn, normalize_domain, sld, structure_invalid
 from dnsloom.operators.match import matches
 from dnsloom.operators.ranges import inside, network_table
@@ -27,12 +27,11 @@ def domain_facts(domains: DataFrame, rules: DataFrame, cfg: EngineConfig, model:
         facts = facts.withColumn("sld", sld(d)).join(ngram_verdicts(facts.select("domain"), model, cfg), "sld", "left")
         passes = F.coalesce("ngram_pass", F.lit(True))  # labels that are too short are not judged
     return (
-        facts
+        facts.withColumns({"keyword": banned_keyword(d, cfg), "signs": generated(d, cfg)})  # used twice below, worked out once
         .withColumn("structure_invalid", structure_invalid(d, cfg))
         .withColumn("illegal_idn", illegal_idn(d, cfg))
-        .withColumn("keyword", banned_keyword(d, cfg))
-        .withColumn("dga", dga_reason(d, cfg, passes))
-        .withColumn("score", domain_score(d, F.col("is_nrd"), cfg))
+        .withColumn("dga", dga_reason(d, cfg, passes, F.col("signs")))
+        .withColumn("score", domain_score(d, F.col("is_nrd"), cfg, F.col("signs"), F.col("keyword")))
     )
 
 
