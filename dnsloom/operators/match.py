@@ -32,28 +32,26 @@ def glob_to_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.when(deep, r"([^.]+\.)+").otherwise(""), F.regexp_replace(escaped, r"\*", "[^.]*"), F.lit("$"))
 
 
-def exact_flags(domains: DataFrame, rules: DataFrame) -> DataFrame:
-    """domain, rule_flags of the consolidated exact rule, if there is one."""
-    exact = rules.filter("kind = 'exact'").select(F.col("value").alias("domain"), F.col("flags").alias("rule_flags"), F.col("source").alias("rule_source"))
-    return domains.join(exact, "domain", "left")
+def exact_hits(domains: DataFrame, rules: DataFrame) -> DataFrame:
+    """domain, flags and source of the consolidated exact rule of domains that have one."""
+    exact = rules.filter("kind = 'exact'").select(F.col("value").alias("domain"), "flags", "source")
+    return domains.join(exact, "domain")
 
 
-def glob_sources(hits: DataFrame, rules: DataFrame) -> DataFrame:
-    """domain, glob_source: of domains that a blocking glob matches, the source of the first such glob."""
+def glob_rules(hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """domain, rule: every blocking glob of domains that some glob matches."""
     last = lambda c: F.element_at(F.split(c, r"\."), -1)
     globs = rules.filter((F.col("kind") == "glob") & (F.col("flags").bitwiseAND(WHITELIST) == 0)).groupBy("value").agg(F.min(_place()).alias("rule"))
-    globs = globs.select(glob_to_regex(F.col("value")).alias("pattern"), F.when(~last(F.col("value")).contains("*"), last(F.col("value"))).alias("last"), "rule")
-    keyed = hits.withColumn("last", last(F.col("domain")))
-    own = _traced(keyed, globs.filter("last is not null"), ["last"])
-    free = _traced(hits.withColumn("last", F.lit("")), globs.filter("last is null").withColumn("last", F.lit("")), ["last"])
-    return own.unionByName(free).groupBy("domain").agg(F.min("rule")["source"].alias("glob_source"))
+    globs = globs.select(glob_to_regex(F.col("value")).alias("pattern"), F.when(last(F.col("value")).contains("*"), "*").otherwise(last(F.col("value"))).alias("last"), "rule")
+    # Globs with a starred last label are tried on every domain that is hit.
+    keyed = hits.select("domain", F.explode(F.array(last(F.col("domain")), F.lit("*"))).alias("last"))
+    return _traced(keyed, globs, ["last"])
 
 
-def regex_sources(hits: DataFrame, rules: DataFrame) -> DataFrame:
-    """domain, regex_source: of domains that a blocking regex matches, the source of the first such regex."""
+def regex_rules(hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """domain, rule: every blocking regex of domains in which some regex finds a match."""
     pool = rules.filter((F.col("kind") == "regex") & (F.col("flags").bitwiseAND(WHITELIST) == 0)).groupBy(F.col("value").alias("pattern")).agg(F.min(_place()).alias("rule"))
-    found = _traced(hits.withColumn("key", F.lit(0)), pool.withColumn("key", F.lit(0)), ["key"])
-    return found.groupBy("domain").agg(F.min("rule")["source"].alias("regex_source"))
+    return _traced(hits.withColumn("key", F.lit(0)), pool.withColumn("key", F.lit(0)), ["key"])
 
 
 def _traced(hits: DataFrame, patterns: DataFrame, key: list[str]) -> DataFrame:
@@ -71,12 +69,12 @@ def _parents(domains: DataFrame) -> DataFrame:
     return domains.select("domain", F.explode(ancestors(F.col("domain"))).alias("parent"))
 
 
-def parent_flags(domains: DataFrame, rules: DataFrame) -> DataFrame:
-    """Of domains with a wildcard rule on a strict parent: whether one allows, whether one blocks."""
+def parent_hits(domains: DataFrame, rules: DataFrame) -> DataFrame:
+    """Domains with a wildcard rule on a strict parent, a row per such parent: whether it allows, and the first rule that blocks."""
     wild = rules.filter((F.col("kind").isin("suffix", "exact")) & (F.col("flags").bitwiseAND(WILDCARD) != 0))
     white = F.col("flags").bitwiseAND(WHITELIST)
-    wild = wild.groupBy(F.col("value").alias("parent")).agg(F.max(white).alias("allows"), F.max(1 - white).alias("blocks"), F.min(F.when(white == 0, _place())).alias("rule"))
-    return _parents(domains).join(wild, "parent").groupBy("domain").agg((F.max("allows") > 0).alias("parent_allows"), (F.max("blocks") > 0).alias("parent_blocks"), F.min("rule")["source"].alias("suffix_source"))
+    wild = wild.groupBy(F.col("value").alias("parent")).agg((F.max(white) > 0).alias("allows"), F.min(F.when(white == 0, _place())).alias("rule"))
+    return _parents(domains).join(wild, "parent").select("domain", "allows", "rule")
 
 
 def _place() -> Column:
@@ -132,29 +130,30 @@ def matches(domains: DataFrame, rules: DataFrame, *, match_parents: bool = False
     for its children too.
     """
     distinct = stored(domains.select("domain").distinct(), "domains")
-    hit = lambda df, name: df.select("domain", F.lit(True).alias(name))
-    d = exact_flags(distinct, rules).join(parent_flags(distinct, rules), "domain", "left")
+    tag = lambda df, kind: df.withColumn("hit", F.lit(kind))
     globbed, matched = stored(glob_hits(distinct, rules), "hits"), stored(regex_hits(distinct, rules), "hits")
-    d = d.join(hit(globbed, "glob"), "domain", "left").join(hit(matched, "regex"), "domain", "left")
-    d = d.join(glob_sources(globbed, rules), "domain", "left").join(regex_sources(matched, rules), "domain", "left")
-    f = F.col("rule_flags")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    static = F.coalesce(f.bitwiseAND(WHITELIST) == 0, F.lit(False))
+    parts = [tag(exact_hits(distinct, rules), "exact"), tag(parent_hits(distinct, rules), "suffix"), tag(glob_rules(globbed, rules), "glob"), tag(regex_rules(matched, rules), "regex")]
     if match_parents:
         exact = rules.filter((F.col("kind") == "exact") & (F.col("flags").bitwiseAND(WHITELIST) == 0)).select(F.col("value").alias("parent")).distinct()
-        d = d.join(hit(_parents(distinct).join(exact, "parent", "left_semi").distinct(), "above").distinct(), "domain", "left")
-        static = static | yes("above")
+        parts.append(tag(_parents(distinct).join(exact, "parent", "left_semi").select("domain"), "above"))
+    # All hits of a domain in one aggregation, and one join back to the domains.
+    first = lambda kind: F.min(F.when(F.col("hit") == kind, F.col("rule")))
+    found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).groupBy("domain").agg(
+        F.max("flags").alias("rule_flags"),
+        F.max("source").alias("rule_source"),
+        F.max("allows").alias("allows"),
+        *[first(kind).alias(kind) for kind in ("suffix", "glob", "regex")],
+        F.max(F.col("hit") == "above").alias("above"),
+    )
+    d = distinct.join(found, "domain", "left")
+    f, yes = F.col("rule_flags"), lambda c: F.coalesce(F.col(c), F.lit(False))
     return d.select(
         "domain",
         "rule_flags",
         "rule_source",
-        F.when(f.isNotNull(), f.bitwiseAND(WHITELIST) != 0).otherwise(yes("parent_allows")).alias("whitelisted"),
-        static.alias("static_blocked"),
+        F.when(f.isNotNull(), f.bitwiseAND(WHITELIST) != 0).otherwise(yes("allows")).alias("whitelisted"),
+        (F.coalesce(f.bitwiseAND(WHITELIST) == 0, F.lit(False)) | yes("above")).alias("static_blocked"),
         F.coalesce(f.bitwiseAND(NRD) != 0, F.lit(False)).alias("is_nrd"),
-        yes("parent_blocks").alias("suffix_blocked"),
-        yes("glob").alias("glob_blocked"),
-        yes("regex").alias("regex_blocked"),
-        "suffix_source",
-        "glob_source",
-        "regex_source",
+        *[F.col(kind).isNotNull().alias(f"{kind}_blocked") for kind in ("suffix", "glob", "regex")],
+        *[F.col(kind)["source"].alias(f"{kind}_source") for kind in ("suffix", "glob", "regex")],
     )

@@ -64,25 +64,45 @@ def inspected(answers: DataFrame) -> DataFrame:
     )
 
 
-def answer_signals(cfg: EngineConfig, cloaked: Column, listed: Column) -> list[Signal]:
-    """In order; rebinding, networks and cloaking end the fold. ``listed``: an address lies in a blocked network."""
-    ips = F.concat("a", "aaaa")
+def answer_facts(answers: DataFrame, cloaked: DataFrame, listed: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Long answers as a row per event: n_answers, min_ttl over all records, long_txt, private, listed, cloaked.
+
+    ``cloaked``: names (rdata) that hide a blocked one; ``listed``: addresses (rdata) in blocked networks. What depends on a
+    record's value alone is worked out once per distinct value, and an event's records are added up once.
+    """
+    no = F.lit(None).cast("boolean")
+    addresses = answers.filter("rtype in ('A', 'AAAA')").select("rdata").distinct()
+    marks = addresses.join(listed.select("rdata", F.lit(True).alias("listed")), "rdata", "left").select(F.lit("ip").alias("kind"), "rdata", is_private_ip(F.col("rdata")).alias("private"), "listed", no.alias("cloaked"))
+    marks = marks.unionByName(cloaked.select(F.lit("name").alias("kind"), "rdata", no.alias("private"), no.alias("listed"), F.lit(True).alias("cloaked")))
+    kind = F.when(F.col("rtype").isin("A", "AAAA"), "ip").when(F.col("rtype") == "CNAME", "name")
+    j = answers.withColumn("kind", kind).join(marks, ["kind", "rdata"], "left")
+    any_ = lambda c: F.coalesce(F.max(c), F.lit(False))
+    return j.groupBy("event_id").agg(
+        F.count_if(F.col("rtype").isin("A", "AAAA", "TXT", "CNAME") & F.col("rdata").isNotNull()).alias("n_answers"),
+        F.min("ttl").alias("min_ttl"),
+        any_((F.col("rtype") == "TXT") & (F.octet_length("rdata") > cfg.long_txt_bytes)).alias("long_txt"),
+        *[any_(c).alias(c) for c in ("private", "listed", "cloaked")],
+    )
+
+
+def answer_signals(cfg: EngineConfig) -> list[Signal]:
+    """Of ``answer_facts``, in order; rebinding, networks and cloaking end the fold."""
     return [
-        (F.size("a") + F.size("aaaa") + F.size("txt") + F.size("cname") > cfg.max_answers, F.lit(2), "INVALID_STRUCTURE"),
+        (F.col("n_answers") > cfg.max_answers, F.lit(2), "INVALID_STRUCTURE"),
         (F.col("min_ttl") < cfg.low_ttl, F.lit(2), "LOW_TTL"),
-        (F.exists("txt", lambda x: F.octet_length(x) > cfg.long_txt_bytes), F.lit(3), "INVALID_STRUCTURE"),
-        (F.exists(ips, is_private_ip), F.lit(10), "DNS_REBINDING"),
-        (listed, F.lit(10), "ASN_BLOCKED"),
-        (cloaked, F.lit(10), "CNAME_CLOAKING"),
+        (F.col("long_txt"), F.lit(3), "INVALID_STRUCTURE"),
+        (F.col("private"), F.lit(10), "DNS_REBINDING"),
+        (F.col("listed"), F.lit(10), "ASN_BLOCKED"),
+        (F.col("cloaked"), F.lit(10), "CNAME_CLOAKING"),
     ]
 
 
 ENDS = ("DNS_REBINDING", "ASN_BLOCKED", "CNAME_CLOAKING")
 
 
-def answer_score(start: Column, cfg: EngineConfig, cloaked: Column, listed: Column) -> Column:
+def answer_score(start: Column, cfg: EngineConfig) -> Column:
     """The score of a domain with its answer's signals on top. The first answer signal always counts."""
-    return fold(start, signals(answer_signals(cfg, cloaked, listed)), cfg.block_at, ENDS)
+    return fold(start, signals(answer_signals(cfg)), cfg.block_at, ENDS)
 
 
 def reason_bit(reason: Column) -> Column:

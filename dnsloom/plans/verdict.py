@@ -13,8 +13,8 @@ from dnsloom.config import BIT, WHITELIST, WILDCARD, EngineConfig
 from dnsloom.functions.lexical import banned_keyword, dga_reason, generated, ngram_verdicts
 from dnsloom.functions.names import ancestors, forbidden_qtype, illegal_idn, normalize_domain, sld, structure_invalid
 from dnsloom.operators.match import matches
-from dnsloom.operators.ranges import inside, network_table
-from dnsloom.operators.score import answer_score, classify, domain_score, inspected, nothing
+from dnsloom.operators.ranges import network_table, within
+from dnsloom.operators.score import answer_facts, answer_score, classify, domain_score, nothing
 
 
 def domain_facts(domains: DataFrame, rules: DataFrame, cfg: EngineConfig, model: DataFrame | None = None) -> DataFrame:
@@ -64,27 +64,22 @@ def resolve(queries: DataFrame, rules: DataFrame, cfg: EngineConfig, model: Data
     return normal.join(facts, "domain", "left")
 
 
-def cloaked_events(answers: DataFrame, rules: DataFrame) -> DataFrame:
-    """Events with a CNAME whose target is blocked by an exact or suffix rule."""
-    targets = answers.filter("rtype = 'CNAME'").select("event_id", normalize_domain(F.col("rdata")).alias("domain"))
-    exact = rules.filter((F.col("kind") == "exact") & (F.col("flags").bitwiseAND(WHITELIST) == 0)).select(F.col("value").alias("domain"))
-    wild = rules.filter((F.col("kind") == "suffix") & (F.col("flags").bitwiseAND(WILDCARD) != 0) & (F.col("flags").bitwiseAND(WHITELIST) == 0)).select(F.col("value").alias("domain")).distinct()
-    direct = targets.join(exact, "domain", "left_semi").select("event_id")
-    above = targets.select("event_id", F.explode(ancestors(F.col("domain"))).alias("domain")).join(wild, "domain", "left_semi").select("event_id")
+def cloaked_names(answers: DataFrame, rules: DataFrame) -> DataFrame:
+    """rdata of the CNAME records whose target is blocked by an exact or suffix rule; each distinct target is looked up once."""
+    targets = answers.filter("rtype = 'CNAME'").select("rdata").distinct().withColumn("domain", normalize_domain(F.col("rdata")))
+    black = rules.filter(F.col("flags").bitwiseAND(WHITELIST) == 0)
+    exact = black.filter("kind = 'exact'").select(F.col("value").alias("domain"))
+    wild = black.filter((F.col("kind") == "suffix") & (F.col("flags").bitwiseAND(WILDCARD) != 0)).select(F.col("value").alias("domain")).distinct()
+    direct = targets.join(exact, "domain", "left_semi").select("rdata")
+    above = targets.select("rdata", F.explode(ancestors(F.col("domain"))).alias("domain")).join(wild, "domain", "left_semi").select("rdata")
     return direct.unionByName(above).distinct()
 
 
-def listed_events(answers: DataFrame, networks: DataFrame) -> DataFrame:
-    """Events with an address in one of the parsed networks; each distinct address is looked up once."""
-    addresses = answers.filter("rtype in ('A', 'AAAA')").select("event_id", "rdata")
-    return inside(addresses, networks, "rdata").select("event_id").distinct()
-
-
-def inspected_events(answers: DataFrame, rules: DataFrame, networks: DataFrame) -> DataFrame:
-    """A row per event with its answers, and whether a name in them is cloaked and an address listed."""
-    marked = lambda t, name: t.withColumn(name, F.lit(True))
-    seen = inspected(answers).join(marked(cloaked_events(answers, rules), "cloaked"), "event_id", "left")
-    return seen.join(marked(listed_events(answers, networks), "listed"), "event_id", "left")
+def inspected_events(answers: DataFrame, rules: DataFrame, networks: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """A row per event with what its answers say."""
+    addresses = answers.filter("rtype in ('A', 'AAAA')").select("rdata")
+    listed = within(addresses, networks, "rdata").select(F.col("ip").alias("rdata")).distinct()
+    return answer_facts(answers, cloaked_names(answers, rules), listed, cfg)
 
 
 def verdict(queries: DataFrame, answers: DataFrame, rules: DataFrame, cfg: EngineConfig, networks: DataFrame | None = None, model: DataFrame | None = None) -> DataFrame:
@@ -98,13 +93,13 @@ def verdict(queries: DataFrame, answers: DataFrame, rules: DataFrame, cfg: Engin
     ``networks``: blocked ones as ``ranges.parse_networks`` gives them, of any number; else those of ``cfg``.
     """
     resolved = resolve(queries, rules, cfg, model)
-    seen = inspected_events(answers, rules, networks if networks is not None else network_table(answers.sparkSession, cfg.blocked_networks))
+    seen = inspected_events(answers, rules, networks if networks is not None else network_table(answers.sparkSession, cfg.blocked_networks), cfg)
     j = resolved.join(seen, "event_id", "left")
     if "answer_status" not in queries.columns:
-        j = j.withColumn("answer_status", F.when(F.col("a").isNull(), "unparsed").otherwise("ok"))
+        j = j.withColumn("answer_status", F.when(F.col("n_answers").isNull(), "unparsed").otherwise("ok"))
     passed = F.when(F.col("resolution.action") == "Allow", "Allowed").otherwise("Proxied")
     start = F.coalesce(F.col("score"), nothing())
-    total = F.when((F.col("answer_status") == "ok") & F.col("a").isNotNull(), answer_score(start, cfg, F.coalesce("cloaked", F.lit(False)), F.coalesce("listed", F.lit(False)))).otherwise(start)
+    total = F.when((F.col("answer_status") == "ok") & F.col("n_answers").isNotNull(), answer_score(start, cfg)).otherwise(start)
     j = j.withColumn("pass_action", passed).withColumn("final", total)
     j = j.withColumn("classified", F.when(F.col("answer_status") == "error", F.struct(F.col("pass_action").alias("action"), F.lit(None).cast("int").alias("flags"))).otherwise(classify(F.col("final"), F.col("pass_action"), cfg)))
     bad_type, blocks = forbidden_qtype(F.col("qtype"), cfg), F.col("resolution.action") == "Block"

@@ -103,8 +103,8 @@ def domain_scores(spark, d: str) -> DataFrame:
 
 def answer_scores(spark, d: str) -> DataFrame:
     answers = fx.dns_answers(spark, d)
-    seen = vd.inspected_events(answers, compiled(spark, d), ranges.network_table(spark, CFG.blocked_networks))
-    s = score.answer_score(score.nothing(), CFG, F.coalesce("cloaked", F.lit(False)), F.coalesce("listed", F.lit(False)))
+    seen = vd.inspected_events(answers, compiled(spark, d), ranges.network_table(spark, CFG.blocked_networks), CFG)
+    s = score.answer_score(score.nothing(), CFG)
     return seen.select("event_id", s.alias("s"), "min_ttl").select("event_id", "min_ttl", F.col("s.total").alias("total"), F.array_join("s.reasons", ",").alias("reasons"))
 
 
