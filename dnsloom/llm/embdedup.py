@@ -238,7 +238,9 @@ def _compare(classes: DataFrame, d: int, kind: str, threshold: float, block: int
     placed = settle(classes.select("node", "n", "v").mapInArrow(_placed(turn), "node long, n long, place long, raw binary"), "placed")
     # Places are at most 4 ** PLACED; a crowded one is dealt to several blocks, sparse neighbours share one.
     filled = sorted((r[0], r[1]) for r in placed.groupBy("place").count().collect())
-    block = max(block, sum(n for _, n in filled) // MOST_BLOCKS)
+    rows = sum(n for _, n in filled)
+    # What moves is rows * rows / block: blocks grow with the table while there are tiles enough to share out.
+    block = max(min(max(block, rows // 64), 8 * block), rows // MOST_BLOCKS)
     begin, share, now, room = {}, {}, -1, 0
     for place, n in filled:
         if n > room:
