@@ -97,9 +97,35 @@ def glob_hits(domains: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def regex_hits(domains: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct domains in which a blocking regex finds a match."""
-    pool = rules.filter((F.col("kind") == "regex") & (F.col("flags").bitwiseAND(WHITELIST) == 0)).select(F.col("value").alias("pattern"))
-    return _pool_hits(domains, pool)
+    """Distinct domains in which a blocking regex finds a match.
+
+    A regex that cannot match without some three letters in a row meets only the domains that hold them, by an equi join on
+    the trigram; the others meet all domains, as one alternation. A domain comes up once for each such regex of its trigrams.
+    """
+    pool = rules.filter((F.col("kind") == "regex") & (F.col("flags").bitwiseAND(WHITELIST) == 0)).select(F.col("value").alias("pattern")).distinct()
+    keyed = pool.withColumn("gram", mandatory_trigram(F.col("pattern")))
+    grams = F.transform(F.sequence(F.lit(1), F.length("domain") - 2), lambda i: F.substr(F.col("domain"), i, F.lit(3)))
+    own = keyed.filter("gram is not null").withColumn("slice", F.floor(F.row_number().over(Window.partitionBy("gram").orderBy("pattern")) / POOL))
+    own = own.withColumn("alone", F.when(F.col("pattern").rlike(ALONE), F.col("pattern")))
+    joined = F.array_join(F.transform(F.collect_list("pattern"), lambda p: F.concat(F.lit("(?:"), p, F.lit(")"))), "|")
+    own = own.groupBy("gram", "slice", "alone").agg(F.coalesce("alone", joined).alias("any_of"))
+    spread = domains.filter(F.length("domain") > 2).select("domain", F.explode(F.array_distinct(grams)).alias("gram"))
+    near = spread.join(own, "gram").filter("domain rlike any_of").select("domain")
+    return near.unionByName(_pool_hits(domains, keyed.filter("gram is null").select("pattern"))).distinct()
+
+
+#: What makes it unsure that a literal stands in every match: choices, groups, classes, options and quotes.
+UNSURE = r"[|()\[\]]|\\[QEpPxucN0-9k]|\(\?"
+
+
+def mandatory_trigram(pattern: Column) -> Column:
+    """Three letters or digits in a row that every match of the regex holds, or null. Only regexes without choices, groups and
+    classes are read; a letter that may be left out or repeated ends the run before it."""
+    plain = F.regexp_replace(pattern, r"\\[dDwWsSbBAzZGnrtfaehHvVRX]", " ")
+    # What is quantified may be missing: it goes with its quantifier. A dot, an anchor and any sign stands for itself at best.
+    fixed = F.regexp_replace(plain, r"(\\.|.)(\{[^}]*\}|[*?+])[?+]?", " ")
+    runs = F.regexp_extract_all(F.regexp_replace(fixed, r"\\.", " "), F.lit("([a-z0-9]{3,})"), F.lit(1))
+    return F.when(~pattern.rlike(UNSURE) & (F.size(runs) > 0), F.substring(F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"], 1, 3))
 
 
 def _pool_hits(domains: DataFrame, pool: DataFrame) -> DataFrame:

@@ -246,6 +246,28 @@ def test_every_block_names_its_list(spark, monkeypatch):
     assert {(r.kind, r.source): r.blocks for r in ruled} == {("blocklist", "s2"): 1, ("wildcard", "s2"): 1, ("glob", "s1"): 1, ("glob", "s3"): 1, ("glob", "s9"): 1, ("glob", "s2"): 1, ("regex", "s3"): 1, ("regex", "s2"): 1, ("regex", "s9"): 1}
 
 
+@pytest.mark.parametrize(
+    "pattern, gram",
+    [("^track", "tra"), (r"ads\.net$", "net"), (r"a.bcd", "bcd"), ("abc?d", None), ("xabc?", "xab"), ("ab+cde", "cde"), ("ab{2}cd", None), ("(abc)", None), ("abc|def", None), ("[abc]def", None), (r"ab\.cd", None), (r"\bfoo\d", "foo"), ("ABC", None), (r"\x61bcd", None), ("a*", None), ("", None), ("^play-casino\\.3", "cas")],
+)
+def test_letters_that_every_match_holds(spark, pattern, gram):
+    got = spark.createDataFrame([(pattern,)], "p string").select(match.mandatory_trigram(F.col("p"))).first()[0]
+    assert got == gram
+
+
+def test_regexes_by_trigram_and_by_alternation_agree(spark):
+    letters = "abcx.1-"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    patterns = ["".join(rng.choice(["a", "b", "c", "ab", "abc", "xa", r"\.", ".", "b?", "c+", "1{2}", "^", "$", r"\d", r"\w*"]) for _ in range(rng.randrange(1, 7))) for _ in range(120)]
+    patterns = [p for p in patterns if not re.search(r"\^.*\^|\$.|[\^$][?+{*]", p)]
+    names = {word(rng.randrange(1, 12)) for _ in range(300)}
+    table = spark.createDataFrame([("regex", 0, p) for p in patterns], "kind string, flags int, value string")
+    for some in (patterns, patterns[:1], []):
+        t = table.filter(F.col("value").isin(some)) if some else table.limit(0)
+        got = {r.domain for r in match.regex_hits(spark.createDataFrame([(n,) for n in names], "domain string"), t).collect()}
+        assert got == {n for n in names if any(re.search(p, n) for p in some)}
+
+
 def test_language_models_come_last(spark):
     model = lexical.ngram_train(spark.createDataFrame([("banana banana" * 20, "en"), ("qxqx", "xx")], "text string, lang string"))
     d = spark.createDataFrame([("banananana.com",), ("qaxaqaxaqa.com",), ("12345678.com",), ("short.com",), ("a1b2c3d4e5f6g7h8i9j0.com",), ("nodot",)], "domain string")
