@@ -11,7 +11,10 @@ Texts are keyed by a 64-bit hash, so copies share postings; a collision of
 hashes costs a needless search, never a missing one.
 
 Null text: empty, no spans. Repeated rows and ids: a row each. Empty tables
-give empty results. Positions are code points, the end is exclusive.
+give empty results. Positions are code points, the end is exclusive. Ties: spans
+of several rules at one start come in the order of the rules; within a rule
+matches never overlap. Very long texts are searched whole. Other columns are not
+read, so their names cannot clash.
 """
 
 from __future__ import annotations
