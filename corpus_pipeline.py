@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from dnsloom.llm import decontam, jaccard, mixing, quality, tokens
-from dnsloom.llm.common import shared_dir
+from dnsloom.llm.common import scratch, shared_dir
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -60,7 +60,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*DOCUMENT)
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{k}")
+        with scratch(spark):  # what a stage keeps for itself goes once its rows are written
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{folder}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
     return docs
