@@ -42,27 +42,47 @@ def glob_rules(hits: DataFrame, rules: DataFrame) -> DataFrame:
     """domain, rule: every blocking glob of domains that some glob matches."""
     last = lambda c: F.element_at(F.split(c, r"\."), -1)
     globs = rules.filter((F.col("kind") == "glob") & (F.col("flags").bitwiseAND(WHITELIST) == 0)).groupBy("value").agg(F.min(_place()).alias("rule"))
-    globs = globs.select(glob_to_regex(F.col("value")).alias("pattern"), F.when(last(F.col("value")).contains("*"), "*").otherwise(last(F.col("value"))).alias("last"), "rule")
+    free = last(F.col("value")).contains("*")
+    globs = globs.select(glob_to_regex(F.col("value")).alias("pattern"), F.explode(F.when(free, _every_share()).otherwise(F.array(last(F.col("value"))))).alias("key"), "rule")
     # Globs with a starred last label are tried on every domain that is hit.
-    keyed = hits.select("domain", F.explode(F.array(last(F.col("domain")), F.lit("*"))).alias("last"))
-    return _traced(keyed, globs, ["last"])
+    return _traced(hits.select("domain", F.explode(F.array(last(F.col("domain")), _share())).alias("key")), globs)
 
 
 def regex_rules(hits: DataFrame, rules: DataFrame) -> DataFrame:
     """domain, rule: every blocking regex of domains in which some regex finds a match."""
     pool = rules.filter((F.col("kind") == "regex") & (F.col("flags").bitwiseAND(WHITELIST) == 0)).groupBy(F.col("value").alias("pattern")).agg(F.min(_place()).alias("rule"))
-    return _traced(hits.withColumn("key", F.lit(0)), pool.withColumn("key", F.lit(0)), ["key"])
+    gram = mandatory_trigram(F.col("pattern"))
+    pool = pool.select("pattern", F.explode(F.when(gram.isNull(), _every_share()).otherwise(F.array(gram))).alias("key"), "rule")
+    return _traced(hits.select("domain", F.explode(F.array_union(F.array_distinct(_trigrams()), F.array(_share()))).alias("key")), pool)
 
 
-def _traced(hits: DataFrame, patterns: DataFrame, key: list[str]) -> DataFrame:
+#: Shares that domains are dealt to where patterns without a key meet all of them.
+SHARES = 64
+
+
+def _share() -> Column:
+    return F.concat(F.lit("*"), F.pmod(F.xxhash64("domain"), F.lit(SHARES)).cast("string"))
+
+
+def _every_share() -> Column:
+    return F.array(*[F.lit(f"*{i}") for i in range(SHARES)])
+
+
+def _trigrams() -> Column:
+    """The runs of three characters of a domain; none where it is shorter."""
+    runs = F.transform(F.sequence(F.lit(1), F.length("domain") - 2), lambda i: F.substr(F.col("domain"), i, F.lit(3)))
+    return F.when(F.length("domain") > 2, runs).otherwise(F.array().cast("array<string>"))
+
+
+def _traced(hits: DataFrame, patterns: DataFrame) -> DataFrame:
     """domain and rule of every pattern (columns key, pattern, rule) that matches a domain of the same key: by parts of ``PART``
     patterns first, one by one in the parts that match. Only domains that match something come here."""
-    at = F.row_number().over(Window.partitionBy(*key).orderBy("pattern"))
+    at = F.row_number().over(Window.partitionBy("key").orderBy("pattern"))
     dealt = patterns.withColumn("part", F.when(F.col("pattern").rlike(ALONE), -at).otherwise(F.floor(at / PART)).cast("int"))
     dealt = dealt.withColumn("wrapped", F.when(F.col("part") < 0, F.col("pattern")).otherwise(F.concat(F.lit("(?:"), F.col("pattern"), F.lit(")"))))
-    parts = dealt.groupBy(*key, "part").agg(F.array_join(F.collect_list("wrapped"), "|").alias("any_of"))
-    near = hits.join(parts, key).filter("domain rlike any_of").select("domain", *key, "part")
-    return near.join(dealt.select(*key, "part", "pattern", "rule"), [*key, "part"]).filter("domain rlike pattern").select("domain", "rule")
+    parts = dealt.groupBy("key", "part").agg(F.array_join(F.collect_list("wrapped"), "|").alias("any_of"))
+    near = hits.join(parts, "key").filter("domain rlike any_of").select("domain", "key", "part")
+    return near.join(dealt.select("key", "part", "pattern", "rule"), ["key", "part"]).filter("domain rlike pattern").select("domain", "rule")
 
 
 def _parents(domains: DataFrame) -> DataFrame:
@@ -104,12 +124,11 @@ def regex_hits(domains: DataFrame, rules: DataFrame) -> DataFrame:
     """
     pool = rules.filter((F.col("kind") == "regex") & (F.col("flags").bitwiseAND(WHITELIST) == 0)).select(F.col("value").alias("pattern")).distinct()
     keyed = pool.withColumn("gram", mandatory_trigram(F.col("pattern")))
-    grams = F.transform(F.sequence(F.lit(1), F.length("domain") - 2), lambda i: F.substr(F.col("domain"), i, F.lit(3)))
     own = keyed.filter("gram is not null").withColumn("slice", F.floor(F.row_number().over(Window.partitionBy("gram").orderBy("pattern")) / POOL))
     own = own.withColumn("alone", F.when(F.col("pattern").rlike(ALONE), F.col("pattern")))
     joined = F.array_join(F.transform(F.collect_list("pattern"), lambda p: F.concat(F.lit("(?:"), p, F.lit(")"))), "|")
     own = own.groupBy("gram", "slice", "alone").agg(F.coalesce("alone", joined).alias("any_of"))
-    spread = domains.filter(F.length("domain") > 2).select("domain", F.explode(F.array_distinct(grams)).alias("gram"))
+    spread = domains.select("domain", F.explode(F.array_distinct(_trigrams())).alias("gram"))
     near = spread.join(own, "gram").filter("domain rlike any_of").select("domain")
     return near.unionByName(_pool_hits(domains, keyed.filter("gram is null").select("pattern"))).distinct()
 
