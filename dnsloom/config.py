@@ -25,6 +25,11 @@ class EngineConfig:
     entropy_threshold: float = 4.0
     consonant_ratio: float = 0.6
     consonant_run: int = 5
+    qtype_enabled: bool = True
+    dga_enabled: bool = True
+    low_ttl_enabled: bool = True
+    rebinding_enabled: bool = True
+    asn_enabled: bool = True
     entropy_fast: bool = True
     ngram_threshold: float = -4.0
     ngram_languages: tuple[str, ...] = ("en", "fr", "de")

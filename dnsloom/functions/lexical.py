@@ -49,9 +49,9 @@ def consonant_suspicious(s: Column, cfg: EngineConfig) -> Column:
 
 
 def generated(d: Column, cfg: EngineConfig) -> Column:
-    """Of the second-level label: high_entropy and consonants, both null below the length from which it is judged."""
+    """Of the second-level label: high_entropy and consonants, both null below the length from which it is judged, or if nothing is to be judged."""
     s = sld(d)
-    judged = F.octet_length(s) >= cfg.dga_min_bytes
+    judged = (F.octet_length(s) >= cfg.dga_min_bytes) & F.lit(cfg.dga_enabled)
     high = F.when(judged, entropy(s, cfg) > cfg.entropy_threshold + 1e-9)
     return F.struct(high.alias("high_entropy"), F.when(judged, consonant_suspicious(s, cfg)).alias("consonants"))
 

@@ -71,7 +71,7 @@ def suspicious_tld(d: Column, tlds: Sequence[str]) -> Column:
 
 
 def forbidden_qtype(q: Column, cfg: EngineConfig) -> Column:
-    return q.isin(list(cfg.forbidden_qtypes))
+    return q.isin(list(cfg.forbidden_qtypes)) if cfg.qtype_enabled else F.lit(False)
 
 
 def registrable(d: Column) -> Column:

@@ -86,13 +86,13 @@ def answer_facts(answers: DataFrame, cloaked: DataFrame, listed: DataFrame, cfg:
 
 
 def answer_signals(cfg: EngineConfig) -> list[Signal]:
-    """Of ``answer_facts``, in order; rebinding, networks and cloaking end the fold."""
+    """Of ``answer_facts``, in order; rebinding, networks and cloaking end the fold. Some can be switched off."""
     return [
         (F.col("n_answers") > cfg.max_answers, F.lit(2), "INVALID_STRUCTURE"),
-        (F.col("min_ttl") < cfg.low_ttl, F.lit(2), "LOW_TTL"),
+        ((F.col("min_ttl") < cfg.low_ttl) & F.lit(cfg.low_ttl_enabled), F.lit(2), "LOW_TTL"),
         (F.col("long_txt"), F.lit(3), "INVALID_STRUCTURE"),
-        (F.col("private"), F.lit(10), "DNS_REBINDING"),
-        (F.col("listed"), F.lit(10), "ASN_BLOCKED"),
+        (F.col("private") & F.lit(cfg.rebinding_enabled), F.lit(10), "DNS_REBINDING"),
+        (F.col("listed") & F.lit(cfg.asn_enabled), F.lit(10), "ASN_BLOCKED"),
         (F.col("cloaked"), F.lit(10), "CNAME_CLOAKING"),
     ]
 

@@ -98,3 +98,78 @@ def test_search_asks_for_all_flags(spark):
     found = lambda f: sorted(r.event_id for r in ev.search_events(e, flags=f).collect())
     assert found(0b101) == [3, 4] and found(0) == [0, 1, 2, 3, 4] and found(0b100) == [2, 3, 4]
     assert ev.search_events(e, action="blocked").count() == 0 and ev.search_events(e, action="Blocked").count() == 6
+
+
+A, TXT, C = "A", "TXT", "CNAME"
+#: Answers (type, data, ttl), what differs from the defaults, points and reasons: cases known from the rules' own description.
+ANSWERS = [
+    ([(A, "1.2.3.4", 300)], {}, 0, []),
+    ([(A, f"1.2.3.{i}", 300) for i in range(10)], {}, 0, []),
+    ([(A, f"1.2.3.{i}", 300) for i in range(11)], {}, 2, ["INVALID_STRUCTURE"]),
+    ([(TXT, "x" * 128, 300)], {}, 0, []),
+    ([(TXT, "x" * 129, 300)], {}, 3, ["INVALID_STRUCTURE"]),
+    ([(TXT, "x" * 200, 300), (TXT, "y" * 200, 300)], {}, 3, ["INVALID_STRUCTURE"]),
+    ([*[(A, f"1.2.3.{i}", 300) for i in range(11)], (TXT, "x" * 200, 300)], {}, 5, ["INVALID_STRUCTURE", "INVALID_STRUCTURE"]),
+    ([(C, "cdn.clean.net", 300)], {}, 0, []),
+    ([(C, "one.example", 300)], {}, 10, ["CNAME_CLOAKING"]),
+    ([(C, "deep.tracker.net", 300)], {}, 10, ["CNAME_CLOAKING"]),
+    ([(C, "cdn.clean.net", 300), (C, "One.Example.", 300)], {}, 10, ["CNAME_CLOAKING"]),
+    ([(A, "10.0.0.1", 300)], {}, 10, ["DNS_REBINDING"]),
+    ([(A, "127.0.0.1", 300)], {}, 10, ["DNS_REBINDING"]),
+    ([("AAAA", "fd00::1", 300)], {}, 10, ["DNS_REBINDING"]),
+    ([(A, "8.8.8.8", 300), ("AAAA", "2606:4700::1", 300)], {}, 0, []),
+    ([(A, "10.0.0.1", 300)], {"rebinding_enabled": False}, 0, []),
+    ([(A, "1.2.3.4", 9)], {}, 2, ["LOW_TTL"]),
+    ([(A, "1.2.3.4", 10)], {}, 0, []),
+    ([(A, "1.2.3.4", 0)], {}, 2, ["LOW_TTL"]),
+    ([(A, "1.2.3.4", None)], {}, 0, []),
+    ([(A, "1.2.3.4", 5)], {"low_ttl_enabled": False}, 0, []),
+    ([(A, "1.2.3.4", 30)], {"low_ttl": 60}, 2, ["LOW_TTL"]),
+    ([(A, "1.2.3.4", 300), ("NS", "x", 3)], {}, 2, ["LOW_TTL"]),
+    ([(A, "203.0.113.42", 300)], {}, 10, ["ASN_BLOCKED"]),
+    ([("AAAA", "2001:db8::cafe", 300)], {}, 10, ["ASN_BLOCKED"]),
+    ([(A, "203.0.114.1", 300)], {}, 0, []),
+    ([(A, "203.0.113.42", 300)], {"asn_enabled": False}, 0, []),
+    ([(A, "203.0.113.42", 300)], {"blocked_networks": ()}, 0, []),
+    ([(A, "198.51.100.7", 300)], {"blocked_networks": ("203.0.113.0/24", "198.51.100.0/24")}, 10, ["ASN_BLOCKED"]),
+    ([(A, "10.0.0.1", 300), (A, "203.0.113.42", 300), (C, "one.example", 300)], {}, 10, ["DNS_REBINDING"]),
+    ([(A, "10.0.0.1", 5), (TXT, "x" * 200, 5)], {}, 15, ["LOW_TTL", "INVALID_STRUCTURE", "DNS_REBINDING"]),
+]
+
+
+def test_answer_points(spark):
+    from dataclasses import replace
+
+    from dnsloom.operators import ranges
+    from dnsloom.plans.verdict import inspected_events
+
+    parsed = stored(rules.parse_lines(spark.createDataFrame(ROWS, lists.LINES)), "t")
+    compiled = stored(rules.consolidate_exact(parsed).unionByName(parsed.filter("kind in ('suffix', 'glob', 'regex')")), "t")
+    for change in {tuple(sorted(c.items())) for _, c, _, _ in ANSWERS}:
+        cfg = replace(CFG, **dict(change))
+        own = {i: x for i, x in enumerate(ANSWERS) if tuple(sorted(x[1].items())) == change}
+        a = spark.createDataFrame([(i, *r) for i, (records, *_) in own.items() for r in records], "event_id long, rtype string, rdata string, ttl int")
+        seen = inspected_events(a, compiled, ranges.network_table(spark, cfg.blocked_networks), cfg)
+        got = {r.event_id: (r.s.total, r.s.reasons) for r in seen.select("event_id", score.answer_score(score.nothing(), cfg).alias("s")).collect()}
+        assert got == {i: (total, reasons) for i, (_, _, total, reasons) in own.items()}, change
+
+
+def test_switches(spark):
+    from dataclasses import replace
+
+    from dnsloom.functions import lexical, names
+
+    d = spark.createDataFrame([("bcdfghjkl.com", 255), ("a1b2c3d4e5f6g7h8i9j0.com", 1)], "d string, q int")
+    off = replace(CFG, dga_enabled=False, qtype_enabled=False)
+    assert [tuple(r) for r in d.select(lexical.dga_reason(F.col("d"), off), names.forbidden_qtype(F.col("q"), off), score.domain_score(F.col("d"), F.lit(False), off)["total"]).collect()] == [(None, False, 0)] * 2
+    assert [tuple(r) for r in d.select(lexical.dga_reason(F.col("d"), CFG), names.forbidden_qtype(F.col("q"), CFG)).collect()] == [("LEXICAL_ANALYSIS", True), ("HIGH_ENTROPY", False)]
+    loose = replace(CFG, strict_keywords=False)
+    k = spark.createDataFrame([("mycasinoapp.biz",), ("alphabet.biz",), ("mycasinoapp.com",)], "d string")
+    assert [r[0] for r in k.select(lexical.banned_keyword(F.col("d"), loose)).collect()] == ["casino", "bet", None]
+
+
+def test_talker_filters(spark):
+    t = spark.createDataFrame([("10.0.0.1", "printer.local"), ("10.0.0.12", ""), ("10.0.1.1", None), ("9.1.1.1", "Printer")], "client_ip string, hostname string")
+    got = lambda **f: sorted(r.client_ip for r in ev.talker_filter(t, **f).collect())
+    assert got(text="10.0.0.1") == ["10.0.0.1", "10.0.0.12"] and got(text="rinter") == ["10.0.0.1", "9.1.1.1"] and got(text="Printer") == ["9.1.1.1"]
+    assert got(client="10.0.0.1") == ["10.0.0.1"] and got(hostname="printer.local") == ["10.0.0.1"] and got(hostname="") == ["10.0.0.12"]
