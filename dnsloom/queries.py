@@ -424,9 +424,8 @@ def stream_verdict(spark, d: str) -> DataFrame:
 
 def stream_talkers(spark, d: str) -> DataFrame:
     """Talkers kept as state over several micro-batches: the last word on each client."""
-    s = streams.talkers_stream(_as_stream(spark, _typed_events(spark, d), 3), idle_seconds=10**9, late="3650 days")
     with rocksdb_state(spark):
-        t = _drained(spark, s, "update")
+        t = _drained(spark, streams.talkers_stream(_as_stream(spark, _typed_events(spark, d), 3), idle_seconds=10**9, late="3650 days"), "update")
     last = t.groupBy("client_ip").agg(F.max_by(F.struct("first_seen", "last_seen", "total", "actions", "flag_hits", "blocked"), "total").alias("x")).select("client_ip", "x.*")
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
     return last.select("client_ip", F.unix_seconds("first_seen").alias("first"), F.unix_seconds("last_seen").alias("last"), "total", text("actions"), text("flag_hits"), "blocked")
@@ -440,7 +439,7 @@ def stream_talkers_expiry(spark, d: str) -> DataFrame:
     with rocksdb_state(spark):
         for days in ((1, 10), (11, 20), (21, 31)):
             events.filter(F.dayofmonth("ts").between(*days)).write.mode("append").parquet(f"{root}/in")
-            s = streams.talkers_stream(spark.readStream.schema(events.schema).parquet(f"{root}/in"), idle_seconds=86400, late="0 seconds")
+            s = streams.talkers_stream(spark.readStream.schema(events.schema).parquet(f"{root}/in"), idle_seconds=86400, late="0 seconds", tell_expired=True)
             each(spark, s, lambda batch, n: batch, root)
     t = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/out")
     g = t.groupBy("client_ip", "first_seen").agg(F.max("last_seen").alias("last_seen"), F.max("total").alias("total"), F.max("blocked").alias("blocked"), F.max("expired").alias("expired"))

@@ -68,10 +68,9 @@ def drain(spark, df: DataFrame, mode: str) -> DataFrame:
 
 @contextmanager
 def rocksdb_state(spark):
-    """Streams started within keep their state in RocksDB, as ``transformWithStateInPandas`` asks for."""
+    """Streams made and started within may keep their state in RocksDB; after, streams keep it as before."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         yield
     finally:

@@ -52,6 +52,8 @@ def forward_stream(events: DataFrame, template: str | None = None, actions: Sequ
     return forward_lines(events, template, actions) if template else forward_json(events, actions)
 
 
+#: Where state is kept that has more than one value per key.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TALKER = "first_seen timestamp, last_seen timestamp, total long, actions array<long>, flag_hits array<long>"
 _BAD = [a in BLOCKED_CLASS for a in ACTIONS]
 
@@ -62,8 +64,8 @@ class Talkers(StatefulProcessor):
     What a batch brings is counted by columns. The state is a row of 22 numbers per live client.
     """
 
-    def __init__(self, idle_seconds: int):
-        self.idle = idle_seconds * 1000
+    def __init__(self, idle_seconds: int, tell_expired: bool):
+        self.idle, self.tell = idle_seconds * 1000, tell_expired
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -72,7 +74,8 @@ class Talkers(StatefulProcessor):
     def _row(self, client: str, expired: bool) -> pd.DataFrame:
         first, last, total, actions, hits = self.seen.get()
         blocked = sum(n for n, b in zip(actions, _BAD, strict=True) if b)
-        return pd.DataFrame({"client_ip": [client], "first_seen": [first], "last_seen": [last], "total": [total], "actions": [list(actions)], "flag_hits": [list(hits)], "blocked": [blocked], "expired": [expired]})
+        row = {"client_ip": [client], "first_seen": [first], "last_seen": [last], "total": [total], "actions": [list(actions)], "flag_hits": [list(hits)], "blocked": [blocked]}
+        return pd.DataFrame(row | ({"expired": [expired]} if self.tell else {}))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (names are Spark's)
         first, last, total, actions, hits = self.seen.get() if self.seen.exists() else (None, None, 0, [0] * len(ACTIONS), [0] * len(REASONS))
@@ -93,20 +96,23 @@ class Talkers(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         row = self._row(key[0], True)
         self.seen.clear()
-        yield row
+        if self.tell:
+            yield row
 
     def close(self) -> None:
         pass
 
 
-def talkers_stream(events: DataFrame, *, idle_seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+def talkers_stream(events: DataFrame, *, idle_seconds: int = 3600, late: str = "10 minutes", tell_expired: bool = False) -> DataFrame:
     """Per client first and last seen, total, a count per action and per flag, blocked events, updated as they come.
 
-    A client without events for ``idle_seconds`` of event time is dropped: its counts come once more, as ``expired``, and if it
-    comes back it starts anew. Needs state in RocksDB (``sinks.rocksdb_state``).
+    A client without events for ``idle_seconds`` of event time is dropped, and if it comes back it starts anew. With
+    ``tell_expired`` its counts come once more when it goes, and a column says so. Such state asks for RocksDB, so the session's
+    streams keep their state there from now on (``sinks.rocksdb_state`` limits that to a block).
     """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     marked = events.withWatermark("ts", late).select("client_ip", "ts", "action", "flags")
-    return marked.groupBy("client_ip").transformWithStateInPandas(Talkers(idle_seconds), f"client_ip string, {TALKER}, blocked long, expired boolean", "Update", "EventTime")
+    return marked.groupBy("client_ip").transformWithStateInPandas(Talkers(idle_seconds, tell_expired), f"client_ip string, {TALKER}, blocked long" + ", expired boolean" * tell_expired, "Update", "EventTime")
 
 
 #: Items that one part of a heavy-hitter sketch follows, and parts.
