@@ -119,10 +119,12 @@ def glob_hits(domains: DataFrame, rules: DataFrame) -> DataFrame:
 def regex_hits(domains: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct domains in which a blocking regex finds a match.
 
-    A regex that cannot match without some three letters in a row meets only the domains that hold them, by an equi join on
+    Up to ``POOL`` of them meet all domains as one alternation. Of more, a regex that cannot match without some three letters in a row meets only the domains that hold them, by an equi join on
     the trigram; the others meet all domains, as one alternation. A domain comes up once for each such regex of its trigrams.
     """
     pool = rules.filter((F.col("kind") == "regex") & (F.col("flags").bitwiseAND(WHITELIST) == 0)).select(F.col("value").alias("pattern")).distinct()
+    if pool.count() <= POOL:
+        return _pool_hits(domains, pool)
     keyed = pool.withColumn("gram", mandatory_trigram(F.col("pattern")))
     own = keyed.filter("gram is not null").withColumn("slice", F.floor(F.row_number().over(Window.partitionBy("gram").orderBy("pattern")) / POOL))
     own = own.withColumn("alone", F.when(F.col("pattern").rlike(ALONE), F.col("pattern")))

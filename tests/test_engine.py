@@ -255,7 +255,9 @@ def test_letters_that_every_match_holds(spark, pattern, gram):
     assert got == gram
 
 
-def test_regexes_by_trigram_and_by_alternation_agree(spark):
+@pytest.mark.parametrize("pool", [1000, 5])
+def test_regexes_by_trigram_and_by_alternation_agree(spark, pool, monkeypatch):
+    monkeypatch.setattr(match, "POOL", pool)
     letters = "abcx.1-"
     word = lambda n: "".join(rng.choice(letters) for _ in range(n))
     patterns = ["".join(rng.choice(["a", "b", "c", "ab", "abc", "xa", r"\.", ".", "b?", "c+", "1{2}", "^", "$", r"\d", r"\w*"]) for _ in range(rng.randrange(1, 7))) for _ in range(120)]
