@@ -12,8 +12,10 @@ once. The levels end at the target length.
 Words are white-space words, unchanged. Word sequences are compared by 64-bit
 hashes within groups of equal anchors. Null text: no words. Texts of fewer
 words than the window lose nothing. A text that occurs in several rows loses
-all its words if it has a window. Repeated rows and ids: a row each. Empty
-tables give empty results.
+all its words if it has a window. Repeated rows and ids: a row each. Very long
+texts are cut into overlapping segments that hold every window. Of k-grams with
+one hash the first counts. Only the two columns named are read, so others may
+have any name. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -73,14 +75,6 @@ def repeated_windows(pieces: list[bytes], several: np.ndarray, window: int = WIN
     return np.split(mark, offset[1:-1])
 
 
-def _window_key(window: int):
-    def keys(piece: bytes):
-        words = piece.split()
-        return [(b" ".join(words[i : i + 4] + words[i + window - 4 : i + window]), b" ".join(words[i : i + window])) for i in range(len(words) - window + 1)]
-
-    return keys
-
-
 def _whole(batches):
     """tid, tid2, words and the digest of all words."""
     for batch in batches:
@@ -119,7 +113,7 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, *, id_col: str = "doc_i
         texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
         texts = texts.select("id", F.xxhash64("text").alias("tid"), "text", F.xxhash64(F.lit("copy"), "text").alias("tid2"))
         first = min(FIRST, window)
-        spans, held = repeated(texts, WORDS, window, first, lambda p, s: repeated_windows(p, s, window), _window_key(window))
+        spans, held = repeated(texts, WORDS, window, first, lambda p, s: repeated_windows(p, s, window))
         counts = texts.groupBy("tid", "tid2").agg(F.count(F.lit(1)).alias("rows"))
         digests = settle(held.join(spans, "tid").mapInArrow(_digests, "tid long, tid2 long, n_removed long, kept_sha256 string").dropDuplicates(["tid", "tid2"]).join(counts, ["tid", "tid2"], "full"), "digests")
         out = texts.mapInArrow(_whole, f"id {id_type}, tid long, tid2 long, n_words long, whole string").join(digests, ["tid", "tid2"])

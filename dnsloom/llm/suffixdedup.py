@@ -17,7 +17,10 @@ without a boundary are the strings of L bytes that occur several times.
 Blocks are compared by 64-bit hashes, seeded; copies of texts by 128 bits.
 Null text: empty. Texts shorter than L lose nothing. A text that occurs in
 several rows loses all its bytes if it has L or more. Repeated rows and ids:
-a row each. Empty tables give empty results.
+a row each. Very long texts are cut into overlapping segments that hold every
+window. Of k-grams with one hash the first counts, and equal suffixes of a shard
+keep their places' order. Only the two columns named are read, so others may
+have any name. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -155,10 +158,6 @@ def repeated_strings(pieces: list[bytes], several: np.ndarray, length: int = LEN
     return np.split(mark, begin[1:-1])
 
 
-def _window_key(length: int):
-    return lambda piece: [(piece[i : i + 25] + piece[i + length - 25 : i + length], piece[i : i + length]) for i in range(len(piece) - length + 1)]
-
-
 def _digests(batches):
     for batch in batches:
         raw, at = flat_bytes(batch.column("text"))
@@ -177,7 +176,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, *, anchor: int | None
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = texts.select("id", F.xxhash64("text").alias("tid"), "text", F.xxhash64(F.lit("copy"), "text").alias("tid2"))
     k = anchor or max(1, min(ANCHOR, length // 3))
-    spans, held = repeated(texts, BYTES, length, k, lambda p, s: repeated_strings(p, s, length), _window_key(length))
+    spans, held = repeated(texts, BYTES, length, k, lambda p, s: repeated_strings(p, s, length))
     return texts, spans, held
 
 

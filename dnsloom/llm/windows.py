@@ -10,9 +10,11 @@ occurs elsewhere can repeat. The steps:
 2. pieces: around each surviving anchor, the stretch that its windows cover.
    Equal pieces become one row with a flag that it occurs several times.
 3. kernel: all pieces of an anchor meet in one bucket, where the operator's
-   own method finds which of their windows repeat. Anchors with very many
-   different pieces are dealt out by window, keyed by the anchor and by the
-   first and last tokens, so a bucket stays bounded.
+   own method finds which of their windows repeat. Where very many different
+   pieces would meet, they are divided first: by the anchors that their windows
+   have under other orders of the k-grams, four, then eight, and so on, until
+   few enough meet. Equal windows have equal anchors under any order, so they
+   still meet, and the same kernel decides on them.
 4. what repeats goes back to the texts, as spans of tokens.
 
 Texts are keyed by a 64-bit hash; copies are one text that occurs several
@@ -39,8 +41,10 @@ from dnsloom.llm.common import M64, flat_bytes, hot_join, mix64, portions, settl
 
 #: Bytes of text that are worked on at once (arrays of so many words stay in a core's cache), and tokens of a text that are hashed at once.
 PORTION, SEGMENT = 256 << 10, 4 << 20
-#: Bytes of pieces in a bucket, about; different pieces of an anchor beyond which its windows are dealt out.
+#: Bytes of pieces in a bucket, about; different pieces that meet under one key, beyond which they are divided.
 BUCKET, MANY = 256 << 10, 4000
+#: Orders of k-grams that divide such pieces, step by step; two windows that differ agree in all of them about never.
+ORDERS = (4, 8, 16, 32, 64, 128, 256)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -79,17 +83,21 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return now
 
 
+def _window_starts(begin: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Where the windows of texts begin, of n tokens in all."""
+    step = np.zeros(n + 1, np.int32)
+    long = np.diff(begin) >= length
+    np.add.at(step, begin[:-1][long], 1)
+    np.add.at(step, begin[1:][long] - length + 1, -1)
+    return np.flatnonzero(np.cumsum(step[:-1]) > 0)
+
+
 def anchors(sym: np.ndarray, begin: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of window starts with one anchor: first start, last start, anchor's place, its k-gram's hash. ``begin``: where texts begin, and the end."""
     none = np.zeros(0, np.int64)
-    sizes = np.diff(begin)
-    if not len(sym) or sizes.max(initial=0) < length:
+    starts = _window_starts(begin, length, len(sym))
+    if not len(starts):
         return none, none, none, np.zeros(0, np.uint64)
-    step = np.zeros(len(sym) + 1, np.int32)
-    long = sizes >= length
-    np.add.at(step, begin[:-1][long], 1)
-    np.add.at(step, begin[1:][long] - length + 1, -1)
-    starts = np.flatnonzero(np.cumsum(step[:-1]) > 0)
     h = gram_hashes(sym, k)
     least = sliding_least((h & ~_PLACE) | np.arange(len(sym), dtype=np.uint64), length - k + 1)
     owner = (least[starts] & _PLACE).astype(np.int64)
@@ -166,13 +174,12 @@ def _piece_rows(cut: Tokens, length: int, k: int):
     return run
 
 
-def repeated(texts: DataFrame, cut: Tokens, length: int, k: int, kernel: Callable[[list[bytes], np.ndarray], list[np.ndarray]], window_key: Callable[[bytes], list[tuple[bytes, bytes]]]) -> tuple[DataFrame, DataFrame]:
+def repeated(texts: DataFrame, cut: Tokens, length: int, k: int, kernel: Callable[[list[bytes], np.ndarray], list[np.ndarray]]) -> tuple[DataFrame, DataFrame]:
     """Spans of repeated windows: (tid, spans array<struct<a: int, b: int>>), in tokens and not yet merged, and the texts they are in (tid, tid2, text).
 
     ``texts``: id, tid, text, tid2 (hashes of the text), one row per document. ``kernel`` gets the pieces
     of a bucket and whether each occurs several times, and returns for each piece
-    which of its windows repeat. ``window_key`` gives a piece's windows, each
-    with its first and last tokens.
+    which of its windows repeat.
     """
     found = settle(texts.select("tid", "text").mapInArrow(_anchor_rows(cut, length, k), "h long, tid long, place int"), "anchors")
     twice = found.groupBy("h").agg(F.min(F.xxhash64("tid", "place")).alias("lo"), F.max(F.xxhash64("tid", "place")).alias("hi"), F.count(F.lit(1)).alias("_n")).filter("lo < hi").select("h", "_n")
@@ -187,13 +194,15 @@ def repeated(texts: DataFrame, cut: Tokens, length: int, k: int, kernel: Callabl
     once = pieces.groupBy("h", "ph").agg(F.min(loc).alias("lo"), F.max(loc).alias("hi"), F.first("piece").alias("piece"), F.count(F.lit(1)).alias("_n")).select("h", "ph", (F.col("lo") < F.col("hi")).alias("several"), "piece", "_n")
     once = settle(once, "once")
     many = settle(once.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("piece")).alias("bytes")).filter(F.col("n") > MANY), "many")
-    few = once.join(many, "h", "left_anti").select(F.col("h").alias("key"), "h", "ph", F.lit(0).alias("at"), "several", "piece")
-    wide = once.drop("_n").join(many.select("h"), "h").mapInArrow(_window_rows(window_key), "key long, h long, ph long, at int, several boolean, piece binary")
-    wide = wide.withColumn("wh", F.xxhash64("piece"))
-    merged = wide.groupBy("key", "wh").agg(F.min(F.xxhash64("ph", "at")).alias("lo"), F.max(F.xxhash64("ph", "at")).alias("hi"), F.max("several").alias("several"), F.first("piece").alias("piece"))
-    merged = merged.select("key", F.col("key").alias("h"), F.col("wh").alias("ph"), F.lit(-1).alias("at"), (F.col("several") | (F.col("lo") < F.col("hi"))).alias("several"), "piece")
+    work = once.join(many, "h", "left_anti").select(F.col("h").alias("key"), "h", "ph", F.lit(0).alias("at"), "several", "piece")
     hot = not many.isEmpty()
-    work = few.unionByName(merged) if hot else few
+    if hot:
+        crowd = once.drop("_n").join(many.select("h"), "h").withColumn("key", F.col("h")).withColumn("at", F.lit(0))
+        parts = settle(_divide(crowd, cut, length, k), "parts")
+        # Equal stretches under one key are one row, as equal pieces are.
+        merged = parts.groupBy("key", "wh").agg(F.min(F.xxhash64("ph", "at")).alias("lo"), F.max(F.xxhash64("ph", "at")).alias("hi"), F.max("several").alias("several"), F.first("piece").alias("piece"), F.count(F.lit(1)).alias("_n"))
+        merged = settle(merged.select("key", "wh", (F.col("several") | (F.col("lo") < F.col("hi"))).alias("several"), "piece", "_n"), "merged")
+        work = work.unionByName(merged.select("key", F.col("key").alias("h"), F.col("wh").alias("ph"), F.lit(-1).alias("at"), "several", "piece"))
     total = once.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     buckets = spread(total, BUCKET, 12)
 
@@ -211,7 +220,7 @@ def repeated(texts: DataFrame, cut: Tokens, length: int, k: int, kernel: Callabl
     solved = settle(solved, "solved")
     marked = solved.filter("at = 0").select("h", "ph", F.lit(0).alias("shift"), "runs")
     if hot:
-        again = wide.select("key", "wh", "h", "ph", "at").join(solved.filter("at = -1").select("key", F.col("ph").alias("wh"), "runs"), ["key", "wh"])
+        again = hot_join(parts.select("key", "wh", "h", "ph", "at"), solved.filter("at = -1").select("key", F.col("ph").alias("wh"), "runs"), ["key", "wh"], merged.select("key", "wh", "_n"))
         marked = marked.unionByName(again.select("h", "ph", F.col("at").alias("shift"), "runs"))
     # A run's first and last window starts, within its piece, give a span of tokens of the text.
     spans = hot_join(pieces.select("h", "ph", "tid", "start"), marked, ["h", "ph"], once.select("h", "ph", "_n"))
@@ -220,26 +229,54 @@ def repeated(texts: DataFrame, cut: Tokens, length: int, k: int, kernel: Callabl
     return by_text, held.select("tid", "tid2", "text")
 
 
-def _window_rows(window_key):
-    def run(batches):
-        for batch in batches:
-            for h, ph, several, piece in zip(*(batch.column(c).to_pylist() for c in ("h", "ph", "several", "piece")), strict=True):
-                windows = window_key(piece)
-                n = len(windows)
-                ends = np.array([hash_bytes(e) for e, _ in windows], np.uint64)
-                key = mix64(ends ^ np.uint64(h & ((1 << 64) - 1))).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array([h] * n, pa.int64()), pa.array([ph] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([several] * n), pa.array([w for _, w in windows], pa.binary())],
-                    ["key", "h", "ph", "at", "several", "piece"],
-                )
+def _divide(crowd: DataFrame, cut: Tokens, length: int, k: int) -> DataFrame:
+    """key, h, ph, at, several, piece, wh (hash of the piece) of the pieces' stretches, divided until at most MANY different ones share a key.
+    Only what is still crowded goes on to the next step; what is after the last one stays whole and meets in one task."""
+    done = None
+    for step in range(len(ORDERS)):
+        cut_up = crowd.select("key", "h", "ph", "at", "several", "piece").mapInArrow(_stretches(cut, length, k, step), "key long, h long, ph long, at int, several boolean, piece binary")
+        now = settle(cut_up.withColumn("wh", F.xxhash64("piece")), "stretches")
+        kinds = now.groupBy("key", "wh").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("_n"))
+        kinds = settle(kinds, "kinds")
+        if step + 1 == len(ORDERS) or kinds.filter(F.col("kinds") > MANY).isEmpty():
+            return now if done is None else done.unionByName(now)
+        told = settle(hot_join(now, kinds.drop("_n"), ["key"], kinds.select("key", "_n")), "told")
+        calm = told.filter(F.col("kinds") <= MANY).drop("kinds")
+        done = calm if done is None else done.unionByName(calm)
+        crowd = told.filter(F.col("kinds") > MANY)
 
-    return run
 
+def _stretches(cut: Tokens, length: int, k: int, step: int):
+    """Divides pieces into the stretches of windows that have one anchor under each of ``ORDERS[step]`` orders; these anchors enter the key."""
 
-def hash_bytes(b: bytes) -> int:
-    import xxhash
+    def run(batches):
+        salts = np.random.default_rng(step).integers(1, 1 << 63, ORDERS[step], dtype=np.uint64)
+        for batch in batches:
+            raw, at = flat_bytes(batch.column("piece"))
+            for i, j in portions(np.diff(at), PORTION >> 3):
+                sym, begin, state = cut.symbols(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+                starts = _window_starts(begin, length, len(sym))
+                if not len(starts):
+                    continue
+                row = np.searchsorted(begin, starts, "right") - 1
+                h, order = gram_hashes(sym, k), np.arange(len(sym), dtype=np.uint64)
+                new = np.ones(len(starts), bool)
+                new[1:] = starts[1:] != starts[:-1] + 1
+                key = batch.column("key").slice(i, j - i).to_numpy().view(np.uint64)[row]
+                for salt in salts:
+                    owner = (sliding_least((mix64(h ^ salt) & ~_PLACE) | order, length - k + 1)[starts] & _PLACE).astype(np.int64)
+                    new[1:] |= owner[1:] != owner[:-1]
+                    key = mix64(key ^ h[owner])
+                first = np.flatnonzero(new)
+                lo, hi = starts[first], starts[np.concatenate([first[1:], [len(starts)]]) - 1] + length
+                pieces = [cut.piece(state, x, y) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                of = pa.array(row[first])
+                some = batch.slice(i, j - i)
+                shift = some.column("at").to_numpy()[row[first]] + (lo - begin[row[first]])
+                kept = [some.column(c).take(of) for c in ("h", "ph")]
+                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), *kept, pa.array(shift.astype(np.int32)), some.column("several").take(of), pa.array(pieces, pa.binary())], ["key", "h", "ph", "at", "several", "piece"])
 
-    return xxhash.xxh3_64_intdigest(b)
+    return run
 
 
 def _runs(mark: np.ndarray) -> np.ndarray:

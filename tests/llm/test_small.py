@@ -246,6 +246,39 @@ def test_many_documents_with_one_passage(spark, monkeypatch):
         assert op.strip_repeats(d).count() == 12
 
 
+def test_crowded_anchors_are_divided_until_few_meet(spark, monkeypatch):
+    """40 pieces share a string of 70 bytes; where 3 different ones may meet, its windows of 60 still find each other, and the kernel sees each."""
+    rng = np.random.default_rng(5)
+    noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    shared = noise(70)
+    pieces = [noise(40) + shared + noise(40) for _ in range(40)]
+    crowd = spark.createDataFrame([(9, 9, i, 0, False, p) for i, p in enumerate(pieces)], "key long, h long, ph long, at int, several boolean, piece binary")
+    monkeypatch.setattr(windows, "MANY", 3)
+    rows = windows._divide(crowd, suffixdedup.BYTES, 60, 20).toPandas()
+    kinds = rows.groupby("key").wh.nunique()
+    assert len(kinds) > 100 and kinds.max() <= 3
+    keys = {}
+    for r in rows.itertuples():
+        assert bytes(r.piece) == pieces[r.ph][r.at : r.at + len(r.piece)]
+        for i in range(len(r.piece) - 59):
+            keys.setdefault(bytes(r.piece[i : i + 60]), []).append((r.key, r.ph, r.at + i))
+    # Every window is in one stretch, and equal ones have one key.
+    assert sum(map(len, keys.values())) == sum(len(p) - 59 for p in pieces)
+    assert all(len({k for k, _, _ in found}) == 1 for found in keys.values())
+    assert sum(len(found) == 40 for found in keys.values()) == 11
+
+
+def test_passage_across_segments_of_a_very_long_text(spark):
+    rng = np.random.default_rng(6)
+    noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    passage = noise(300)
+    long = noise(windows.SEGMENT - 150) + passage + noise(50_000)
+    d = spark.createDataFrame([(1, long), (2, noise(30) + passage)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.strip_repeats(d).collect()}
+    want = {i: (len(t), 300, 1, hashlib.sha256(t.replace(passage, "").encode()).hexdigest()) for i, t in ((1, long), (2, d.filter("doc_id = 2").first().text))}
+    assert got == want
+
+
 def test_hot_keys_of_a_join_are_dealt(spark, monkeypatch):
     from dnsloom.llm import common
 
