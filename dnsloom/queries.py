@@ -419,7 +419,7 @@ def stream_verdict(spark, d: str) -> DataFrame:
     both = streams.answered_stream(_as_stream(spark, ahead(typed)), _as_stream(spark, ahead(fx.dns_responses(spark, d))))
     keep = ("event_id", "action", "reason", "flags", "total")
     each(spark, both, lambda batch, n: streams.verdicts_of_batch(batch.filter("event_id >= 0"), rules_, CFG).select(*keep), root, "append")
-    return read_or_empty(spark, verdicts(spark, d).select(*keep).schema, f"{root}/out")
+    return read_or_empty(spark, "event_id long, action string, reason string, flags int, total int", f"{root}/out")
 
 
 def stream_talkers(spark, d: str) -> DataFrame:

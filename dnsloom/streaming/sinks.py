@@ -31,7 +31,7 @@ def each(spark, df: DataFrame, work: Callable[[DataFrame, int], DataFrame], fold
     writer.foreachBatch(write).start().awaitTermination()
 
 
-def read_or_empty(spark, schema: StructType, path: str) -> DataFrame:
+def read_or_empty(spark, schema: StructType | str, path: str) -> DataFrame:
     """The rows below ``path``; none where nothing was written."""
     system, there = _there(spark, path)
     if not system.exists(there):
