@@ -15,6 +15,9 @@ from pyspark.sql.types import StructType
 
 from dnsloom.sources.tables import work_dir
 
+#: Where state is kept on disk, and where state with more than one value per key has to be.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def each(spark, df: DataFrame, work: Callable[[DataFrame, int], DataFrame], folder: str, mode: str = "update") -> None:
     """Runs ``df`` until its input is read, ``work`` over every batch; results go below ``folder``/out, a folder per batch. A batch
@@ -68,10 +71,11 @@ def drain(spark, df: DataFrame, mode: str) -> DataFrame:
 
 @contextmanager
 def rocksdb_state(spark):
-    """Streams made and started within may keep their state in RocksDB; after, streams keep it as before."""
+    """Streams made and started within keep their state in RocksDB; after, streams keep it as before."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     try:
+        spark.conf.set(name, ROCKSDB)
         yield
     finally:
         spark.conf.set(name, before)
