@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dnsloom.config import ACTIONS
 from dnsloom.functions.network import format_ip
+from dnsloom.sources.tables import stored
 
 REASON_MASK = 0x7FFF
 
@@ -74,11 +75,11 @@ def split_archives(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Each frame begins with its length. Where fewer bytes are left than it says, the rest is set aside as ``torn``. A frame of an
     unknown type is passed on (``decode_frames`` sets it aside alone) if another frame or the end follows it; else the lengths
-    cannot be trusted any more, and the rest is set aside as ``misaligned``. Archives are split side by side, each in one pass;
-    one archive has to fit into a task's memory. Null and empty ones have no frames.
+    cannot be trusted any more, and the rest is set aside as ``misaligned``. Archives are split side by side, each in one pass,
+    and what comes of it is stored: both tables read from there. One archive has to fit into a task's memory. Null and empty ones have no frames.
     """
     one = archives.select(F.col("archive").cast("string").alias("archive"), "content")
-    found = one.mapInArrow(_split, "archive string, frame_no long, at long, frame binary, fault string")
+    found = stored(one.mapInArrow(_split, "archive string, frame_no long, at long, frame binary, fault string"), "split")
     return found.filter("fault is null").drop("fault"), found.filter("fault is not null")
 
 
