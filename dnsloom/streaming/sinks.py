@@ -19,11 +19,19 @@ from dnsloom.sources.tables import work_dir
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def each(spark, df: DataFrame, work: Callable[[DataFrame, int], DataFrame], folder: str, mode: str = "update") -> None:
+def each(spark, df: DataFrame, work: Callable[[DataFrame, int], DataFrame], folder: str, mode: str = "update", store: bool = False) -> None:
     """Runs ``df`` until its input is read, ``work`` over every batch; results go below ``folder``/out, a folder per batch. A batch
-    is kept while ``work`` uses it, and let go after."""
+    is kept while ``work`` uses it, and let go after: in the executors, or with ``store`` as Parquet below ``folder``, for batches
+    that are large or come from much state, which is then read once whatever ``work`` does."""
 
     def write(batch: DataFrame, n: int) -> None:
+        if store:
+            kept = f"{folder}/kept-{n}"
+            batch.write.mode("overwrite").parquet(kept)
+            work(spark.read.schema(batch.schema).parquet(kept), n).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+            system, there = _there(spark, kept)
+            system.delete(there, True)
+            return
         batch.persist()
         try:
             work(batch, n).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
