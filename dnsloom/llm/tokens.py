@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import arrow_rows, flat_bytes, portions, run_hashes, shared_dir, spread
+from dnsloom.llm.common import few_rows_within, flat_bytes, portions, run_hashes, settle, shared_dir, spread
 
 #: Options of the Parquet writer: row groups and pages that a selective read can skip.
 LAYOUT = {
@@ -294,7 +294,7 @@ def write_token_ids(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_
     placed = source.repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
     encoded = placed.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id), "doc_id long, n_tokens long, ids array<int>")
     rows = encoded.select("doc_id", "n_tokens", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), "ids")
-    with arrow_rows(spark, 1000):
+    with few_rows_within(spark):
         rows.write.options(**LAYOUT).parquet(f"{path}/rows")
     per_file = spark.read.schema(ROWS).parquet(f"{path}/rows").groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -331,7 +331,8 @@ def _checksums(batches):
 def digest(spark, path: str) -> DataFrame:
     """From the written files: doc_id, start, n_tokens and ids_crc32 (little-endian unsigned 32-bit ids)."""
     rows = spark.read.schema(ROWS).parquet(f"{path}/rows").select("doc_id", "ids", "part", "place")
-    summed = rows.mapInArrow(_checksums, "doc_id long, n_tokens long, ids_crc32 long, part int, place long")
+    with few_rows_within(spark):  # the lists are read here; what is settled has none
+        summed = settle(rows.mapInArrow(_checksums, "doc_id long, n_tokens long, ids_crc32 long, part int, place long"), "summed")
     return _started(spark, path, summed).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -5,10 +5,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from dnsloom.llm import ann, decontam, jaccard, licenses, mixing, quality, secrets, substring, suffixdedup, tokens, windows
+from dnsloom.llm import ann, common, decontam, jaccard, licenses, mixing, quality, secrets, substring, suffixdedup, tokens, windows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, tid long, tokens string"
 rng = random.Random(5)
@@ -354,3 +355,65 @@ def test_order_by_digits_is_the_stable_order():
         for size in (0, 1, 5000):
             x = rng.integers(0, top, size)
             assert (suffixdedup._order(x) == np.argsort(x, kind="stable")).all()
+
+def _most_rows_at_once(batches):
+    yield pa.record_batch([pa.array([max((len(b) for b in batches), default=0)], pa.int64())], ["n"])
+
+
+def test_stages_hand_few_rows_to_python_whoever_writes_them(spark, monkeypatch, tmp_path):
+    import corpus_pipeline as cp
+
+    names = [*common.FEW_ROWS]
+    before = [spark.conf.get(n) for n in names]
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.format_string("text %d", "id").alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(9).cast("long").alias("n_chars")).coalesce(1)
+    docs.limit(0).selectExpr("doc_id", "1 as quality").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.limit(0).selectExpr("cast(doc_id as string) item_id", "text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    most = lambda docs, *_, **__: docs.mapInArrow(_most_rows_at_once, "n long")
+    try:
+        for module, name, stage in ((quality, "keep_good", cp.quality_stage), (decontam, "decontaminate", cp.decontamination_stage)):
+            for n, value in zip(names, before, strict=True):
+                spark.conf.set(n, value)
+            with monkeypatch.context() as m:
+                m.setattr(module, name, most)
+                out = stage(spark, docs, str(tmp_path))
+            assert max(r.n for r in out.collect()) <= 1000
+            assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
+        for n, value in zip(names, before, strict=True):
+            spark.conf.set(n, value)
+        docs.write.parquet(f"{tmp_path}/documents.parquet")
+        assert cp.run(spark, str(tmp_path)).count() > 0
+        assert [spark.conf.get(n) for n in names] == before
+    finally:
+        for n, value in zip(names, before, strict=True):
+            spark.conf.set(n, value)
+
+
+def test_token_files_are_read_back_few_rows_at_once(spark, monkeypatch, tmp_path):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.format_string("text %d", "id").alias("text"))
+    path = tokens.write_token_ids(docs, str(tmp_path / "t"))
+    want = {(r.doc_id, r.n_tokens, r.start) for r in tokens.read_token_ids(spark, path, ("doc_id", "n_tokens", "start")).collect()}
+    real = tokens._checksums
+
+    def held(batches):
+        def few():
+            for b in batches:
+                assert len(b) <= 1000
+                yield b
+
+        yield from real(few())
+
+    monkeypatch.setattr(tokens, "_checksums", held)
+    assert {(r.doc_id, r.n_tokens, r.start) for r in tokens.digest(spark, path).collect()} == want
+
+
+def test_no_limit_counts_as_more_than_any(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for value, within in (("0", 1000), ("-1", 1000), ("32", 32), ("10000", 1000)):
+            spark.conf.set(name, value)
+            with common.few_rows_within(spark):
+                assert int(spark.conf.get(name)) == within
+            assert spark.conf.get(name) == value
+    finally:
+        spark.conf.set(name, before)
